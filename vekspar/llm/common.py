@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -91,3 +92,21 @@ def texts_of(batch, column: str = "text") -> Iterator[str]:
     """Each text of an Arrow batch, null as empty."""
     for value in batch.column(column):
         yield value.as_py() or ""
+
+
+def slices(batch, column: str = "text", size: int = 6_000_000) -> Iterator:
+    """The rows of an Arrow batch, in runs whose texts have about size bytes or less (one row at least)."""
+    import pyarrow.compute as pc
+
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    part, at = np.cumsum(lengths) // size, 0
+    for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
+        if end > at:
+            yield batch.slice(at, end - at)
+        at = end
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps whose results are saved."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

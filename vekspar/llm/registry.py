@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media_gif, packing, secrets, simhash
+from . import bpe, media_gif, packing, secrets, simhash, substring_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_gif.store_texts(table(spark, sf_dir, "documents"))
 
@@ -32,9 +36,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_media_gif": op5_media_gif,
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": substring_dedup.ORACLE_SQL}
