@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media_gif, packing, secrets, simhash, substring_dedup
+from . import bpe, langid, media_gif, packing, secrets, simhash, substring_dedup, topk_search
 from .common import table
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,16 +35,22 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op3_simhash": op3_simhash,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_media_gif": op5_media_gif,
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_langid": op9_langid,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": substring_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL}
