@@ -94,7 +94,7 @@ def texts_of(batch, column: str = "text") -> Iterator[str]:
         yield value.as_py() or ""
 
 
-def slices(batch, column: str = "text", size: int = 6_000_000) -> Iterator:
+def slices(batch, column: str | int = "text", size: int = 6_000_000) -> Iterator:
     """The rows of an Arrow batch, in runs whose texts have about size bytes or less (one row at least)."""
     import pyarrow.compute as pc
 

@@ -181,14 +181,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def accept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.2) -> DataFrame:
     """The rows of docs whose text is in a known language: not `und`, and a score of least at least. All columns stay."""
     found = fit(docs, ~held_out(F.col("doc_id")), id_col, text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+    shared, at = docs.sparkSession.sparkContext.broadcast(found), docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        lang, score = decide(shared.value, pa.array(texts, pa.string()))
-        import pandas as pd
-
-        return pd.Series([l != "und" and s >= least for l, s in zip(lang, score, strict=True)], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, at)):
+            lang, score = decide(shared.value, batch.column(at))
+            yield batch.filter(pa.array(np.array([l != "und" for l in lang], bool) & (score >= least)))
 
     small_batches(docs.sparkSession)
-    return docs.where(known(F.col(f"`{text_col}`")))
+    return docs.mapInArrow(run, docs.schema)

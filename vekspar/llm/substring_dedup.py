@@ -208,9 +208,9 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     scratch = Scratch(docs.sparkSession)
     found = removals(docs, scratch, id_col, text_col, length)
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), inner.columns
     keyed = inner.withColumn("doc_id", F.col(f"c{docs.columns.index(id_col)}")).withColumn("tk", F.xxhash64(f"c{at}"))
-    joined = keyed.join(found, "doc_id", "left").select(*inner.columns, F.col(f"c{at}").alias("text"), "tk", "whole", "tks", "ps")
+    joined = keyed.join(found, "doc_id", "left").select(*names, F.col(f"c{at}").alias("text"), "tk", "whole", "tks", "ps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -218,8 +218,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             for i, words, stays in _each(batch, length):
                 if not stays.all():
                     texts[i] = " ".join(words.filter(pa.array(stays)).to_pylist())
-            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(inner.columns))]
-            yield pa.record_batch(columns, inner.columns)
+            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.record_batch(columns, names)
 
     out = joined.mapInArrow(run, inner.schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
