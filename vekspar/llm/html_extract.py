@@ -283,8 +283,10 @@ def extract(sources: list[str | None], support: int = 3, small: float = 0.3) ->
         own = {i: [(b, s) for b, s in zip(pages[i].blocks, slots(pages[i], template), strict=True) if not b.aside and f"{b.path}\x00{b.text}" not in template.texts] for i in bare}
         best = _container([b for i in bare for b, _ in own[i]])
         for i in bare:
-            held = {s for b, s in own[i] if f"{b.path}/".startswith(best) and _running(b)}
-            content[i] = [b for b, s in own[i] if f"{b.path}/".startswith(best) and (_running(b) or s in held)]
+            shared = any(f"{b.path}/".startswith(best) and _running(b) for b, _ in own[i])
+            place = best if shared else _container([b for b, _ in own[i]])
+            held = {s for b, s in own[i] if f"{b.path}/".startswith(place) and _running(b)}
+            content[i] = [b for b, s in own[i] if f"{b.path}/".startswith(place) and (_running(b) or s in held)]
     # Text that three different articles or more share.
     articles = {tuple(b.text for b in c) for c in content if c}
     shared = Counter(t for a in articles for t in set(a))

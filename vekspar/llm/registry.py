@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, media_gif, packing, secrets, simhash, substring_dedup, topk_search
+from . import bpe, html_extract, langid, lm_score, media_gif, packing, secrets, simhash, substring_dedup, topk_search
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media_gif": op5_media_gif,
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_lm_score": op8_lm_score,
     "op9_langid": op9_langid,
     "op10_packing": op10_packing,
 }
