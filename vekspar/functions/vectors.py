@@ -107,7 +107,7 @@ def sparse_canonical(v: Column, most: int = 16_384) -> Column:
     """Sorted by coordinate; null if coordinates repeat, are too many or don't match the values."""
     pairs = F.array_sort(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("x")))
     fine = (F.size(v["indices"]) == F.size(v["values"])) & (F.size(F.array_distinct(v["indices"])) == F.size(v["indices"])) & (F.size(v["indices"]) <= most)
-    return F.when(fine, F.struct(F.transform(pairs, lambda p: p.getField("0")).alias("indices"), F.transform(pairs, lambda p: p.getField("1")).alias("values")))
+    return F.when(fine, F.struct(F.transform(pairs, lambda p: p["i"]).alias("indices"), F.transform(pairs, lambda p: p["x"]).alias("values")))
 
 
 # --- Scalar quantization -------------------------------------------------------------------

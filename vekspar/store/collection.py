@@ -118,6 +118,7 @@ class Manifest:
     log: list[str] = field(default_factory=list)
     deletes: list[str] = field(default_factory=list)
     indexes: dict[str, dict] = field(default_factory=dict)
+    progress: dict[str, int] = field(default_factory=dict)
     version: int = 1
 
 
@@ -353,18 +354,53 @@ class Collection:
     def update(self, documents: Iterable[tuple[str, dict[str, Any]]]) -> list[WriteResult]:
         return self._write("update", writes.update, documents, False)
 
-    def insert_frame(self, rows: DataFrame) -> DataFrame:
-        """Bulk insert of a DataFrame with _pk, _pos and the fields; the results stay distributed."""
-        self._writable("insert")
-        new, results = writes.insert(self.live(), rows, self._manifest.next_doc_id, self._required())
+    def _frame(self, op: str, plan: Callable, rows: DataFrame, required: list[str]) -> DataFrame:
+        """A write of a DataFrame with _pos and _pk; the results stay distributed."""
+        self._writable(op)
+        known = {f.name: S.spark_type(f.data_type) for f in self.schema.fields}
+        unknown = set(rows.columns) - set(known) - {"_pos", "_pk", "_present"}
+        if unknown:
+            raise InvalidArgument(f"no fields {sorted(unknown)}", op, self.path)
+        given = [c for c in rows.columns if c in known]
+        if "_present" not in rows.columns:
+            rows = rows.withColumn("_present", F.array(*map(F.lit, given)).cast("array<string>"))
+        whole = rows.select("_pos", "_pk", "_present", *((F.col(f"`{c}`").cast(k) if c in given else F.lit(None).cast(k)).alias(c) for c, k in known.items()))
+        new, results = plan(self.live(), whole, self._manifest.next_doc_id, required)
         name = f"data/results-{uuid.uuid4().hex}"
         results.write.parquet(self._files.full(name))
         results = self.spark.read.schema(results.schema).parquet(self._files.full(name))
         wrote = results.where(F.col("_error").isNull()).count()
         if wrote:
-            self._append("insert", new, None, wrote)
+            self._append(op, new, None, wrote)
         return results
 
+    def insert_frame(self, rows: DataFrame) -> DataFrame:
+        return self._frame("insert", writes.insert, rows, self._required())
+
+    def merge_frame(self, rows: DataFrame, create: bool = True) -> DataFrame:
+        """Upsert (create) or update; fields that rows lacks keep their values."""
+        return self._frame("upsert" if create else "update", writes.upsert if create else writes.update, rows, self._required())
+
+    def delete_frame(self, keys: DataFrame) -> DataFrame:
+        """Keys with their _pos; the results stay distributed."""
+        self._writable("delete")
+        gone, results = writes.delete(self.live(), keys.select("_pos", "_pk"))
+        name = f"data/results-{uuid.uuid4().hex}"
+        results.write.parquet(self._files.full(name))
+        results = self.spark.read.schema(results.schema).parquet(self._files.full(name))
+        if results.where(F.col("_error").isNull()).take(1):
+            self._append("delete", None, gone, 0)
+        return results
+
+    def progress(self, source: str) -> int:
+        """The last batch of a stream that was written, -1 for none."""
+        return self._manifest.progress.get(source, -1)
+
+    def set_progress(self, source: str, number: int) -> None:
+        self._writable("progress")
+        m = self._manifest
+        self._publish(replace(m, generation=m.generation + 1, progress={**m.progress, source: number}))
+
     def delete(self, keys: Sequence[str]) -> list[WriteResult]:
         self._writable("delete")
         given = self.spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "_pos long, _pk string")
