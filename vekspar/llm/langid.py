@@ -131,7 +131,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     sample = d.where(usable).join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, size=1_000_000)):
             g, owner = grams(batch.column("text"))
             coded = batch.column("lang").dictionary_encode()
             of = np.asarray(coded.indices)[owner] if len(owner) else np.zeros(0, np.int64)
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, found: Filter, id_col: str = "doc_id", text_col: st
     d = pick(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, size=1_000_000)):
             lang, score = decide(shared.value, batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -184,7 +184,7 @@ def accept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     shared, at = docs.sparkSession.sparkContext.broadcast(found), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, at)):
+        for batch in (part for whole in batches for part in slices(whole, at, 1_000_000)):
             lang, score = decide(shared.value, batch.column(at))
             yield batch.filter(pa.array(np.array([l != "und" for l in lang], bool) & (score >= least)))
 
