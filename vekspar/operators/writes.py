@@ -11,9 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OK = F.lit(None).cast("string")
-
-
 def _missing(fields: list[str], required: list[str]) -> Column:
     """Whether a required field is null."""
     found = F.lit(False)
@@ -45,7 +42,7 @@ def _failures(rows: DataFrame) -> DataFrame:
 
 
 def _results(written: DataFrame, checked: DataFrame) -> DataFrame:
-    return written.select("_pos", "_pk", "_doc_id", OK.alias("_error")).unionByName(_failures(checked))
+    return written.select("_pos", "_pk", "_doc_id", F.lit(None).cast("string").alias("_error")).unionByName(_failures(checked))
 
 
 def insert(live: DataFrame, batch: DataFrame, next_id: int, required: list[str]) -> tuple[DataFrame, DataFrame]:

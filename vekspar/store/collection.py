@@ -447,7 +447,7 @@ class Collection:
         count = rows.count()
         parts = max(1, -(-count // schema.max_docs_per_segment))
         name = f"data/segment-{m.generation + 1}"
-        rows.select(*(F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in kind.fields)).repartitionByRange(parts, "_doc_id").sortWithinPartitions("_doc_id").write.option("maxRecordsPerFile", schema.max_docs_per_segment).parquet(self._files.full(name))
+        rows.select(*(F.col(f"`{c.name}`") if isinstance(c.dataType, T.ArrayType | T.StructType) else F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in kind.fields)).repartitionByRange(parts, "_doc_id").sortWithinPartitions("_doc_id").write.option("maxRecordsPerFile", schema.max_docs_per_segment).parquet(self._files.full(name))
         old = [*m.segments, *m.log, *m.deletes]
         self._publish(replace(m, generation=m.generation + 1, schema=schema.to_json(), segments=[name], log=[], deletes=[], indexes={}))
         for n in old:
