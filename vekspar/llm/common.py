@@ -28,6 +28,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ..., whatever they are called."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null or empty text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATOR), "")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, slices, small_batches
+from .common import pick, plain_names, slices, small_batches
 
 U = np.uint64
 ORDERS = (1, 2, 3, 4)
@@ -189,4 +189,5 @@ def accept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             yield batch.filter(pa.array(np.array([l != "und" for l in lang], bool) & (score >= least)))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    inner = plain_names(docs)
+    return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)

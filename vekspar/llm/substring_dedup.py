@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, release, slices, small_batches
+from .common import Scratch, pick, plain_names, release, slices, small_batches
 
 U = np.uint64
 
@@ -207,7 +207,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """
     scratch = Scratch(docs.sparkSession)
     found = removals(docs, scratch, id_col, text_col, length)
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    inner = plain_names(docs)
     at, names = docs.columns.index(text_col), inner.columns
     keyed = inner.withColumn("doc_id", F.col(f"c{docs.columns.index(id_col)}")).withColumn("tk", F.xxhash64(f"c{at}"))
     joined = keyed.join(found, "doc_id", "left").select(*names, F.col(f"c{at}").alias("text"), "tk", "whole", "tks", "ps")
@@ -221,8 +221,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.record_batch(columns, names)
 
-    out = joined.mapInArrow(run, inner.schema)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return joined.mapInArrow(run, inner.schema).toDF(*docs.columns)
 
 
 #: Words of each text in DuckDB; every window of 50 words with the smallest id that starts it.
