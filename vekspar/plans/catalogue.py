@@ -7,6 +7,7 @@ floor(x * 1e6 + 0.5). Ranks and counts are BIGINT on both sides.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -339,7 +340,7 @@ def quant_fp16_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/{tempfile._get_candidate_names().__next__()}" if root else tempfile.mkdtemp(prefix="vekspar-index-") + "/index"
+    return f"{root.rstrip('/')}/vekspar-index-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="vekspar-index-") + "/index"
 
 
 def _indexed(index: S.IndexParams, params: S.QueryParams, k: int = 10, label: int | None = None) -> Query:
