@@ -92,6 +92,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def head_count(counts: DataFrame, head: int) -> int:
+    """A count that at most head words reach, from a histogram of fixed size; no sort of all words."""
+    bucket = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(((r.b, r.words) for r in counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    total, least = 0, None
+    for b, words in sizes:
+        total += words
+        if total > head:
+            break
+        least = b
+    # One more than the last count of the bucket below, so that rounding never adds a word.
+    return (1 << 62) if least is None else int(np.floor(2 ** (least / 16) + 1e-9)) + (least > 0 and 2 ** (least / 16) % 1 > 1e-9)
+
+
 def subword_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
     """How often each id occurs in the counted words; a row for each id goes to the driver."""
 
@@ -168,7 +182,7 @@ def score(
     release(spark)
     floor = float(np.log10(n + 0.1 * (v + 1))) if n else float(np.log10(0.1))
 
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow().combine_chunks()
+    top = counts.where(F.col("n") >= head_count(counts, head)).toArrow().combine_chunks()  # head rows at most
     ids = subword_counts(counts, vocabulary)
     ids[END] = rows
     classes, inputs, model = fit_attention(sample_windows(train, rows, train_rows, windows_per_row, vocabulary), ids, vocabulary, steps=steps)
