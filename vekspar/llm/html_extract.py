@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches
+from .common import Scratch, pick, small_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[A-Za-z/])[^<>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -301,7 +301,7 @@ def extract(sources: list[str | None], support: int = 3, small: float = 0.3) ->
     return out
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int = 32, support: int = 3) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int = 32, support: int = 3, broadcast_hosts: int = 50_000) -> DataFrame:
     """Columns page_id, url, text, n_chars; one row for each row of pages.
 
     A host's pages are spread over blocks of about `block` pages, so a host that holds a third
@@ -310,8 +310,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     small_batches(pages.sparkSession)
     p = pick(pages, page_id=id_col, url=url_col, html=html_col)
     p = p.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit("")))
-    sizes = p.groupBy("host").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1")
+    scratch = Scratch(pages.sparkSession)
+    sizes = scratch.save(p.groupBy("host").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"), "sizes")
+    # Only hosts of more than one block are listed. A short list goes to every task; a long one is joined.
+    sizes = F.broadcast(sizes) if sizes.count() <= broadcast_hosts else sizes
     spread = p.join(sizes, "host", "left").withColumn("block", F.pmod(F.xxhash64("url", "page_id"), F.coalesce("blocks", F.lit(1)))).drop("blocks")
+    spread = spread.repartition("host", "block")  # else a join by host would keep a host's blocks in one task
     schema = f"page_id {p.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def run(table: pa.Table) -> pa.Table:
