@@ -35,6 +35,8 @@ from .tokens import SEP, WordEncoder, encoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 START, END, IDS = 49406, 49407, 49408
+#: Pre-tokens that a worker remembers.
+REMEMBERED = 400_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,7 +45,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _subwords(words: list[str], vocabulary: str) -> list[bytes]:
     """The ids of each word as 16-bit numbers."""
-    encode = encoder(WordEncoder, vocabulary)
+    encode = encoder(WordEncoder, vocabulary, REMEMBERED)
     odd = [i for i, w in enumerate(words) if SEP in w]
     if not odd:
         return encode.chunks(encode.normal(words))
@@ -84,7 +86,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """Columns word, n over the texts of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, size=12_000_000)):
+        for batch in (part for whole in batches for part in slices(whole, size=6_000_000)):
             words, _ = split_words(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
             found = words.value_counts()
             yield pa.record_batch([found.field("values"), found.field("counts")], ["word", "n"])
@@ -145,7 +147,7 @@ def sample_windows(train: DataFrame, rows: int, train_rows: int, windows_per_row
 
 def fit_attention(ids: list[np.ndarray], counts: np.ndarray, vocabulary: str, embedded: int = 1024, steps: int = 1200) -> tuple[Classes, np.ndarray, Model]:
     """Classes, the input row of each id, and the trained model."""
-    names = encoder(WordEncoder, vocabulary).tokenizer.get_vocab()
+    names = encoder(WordEncoder, vocabulary, REMEMBERED).tokenizer.get_vocab()
     ends_word = np.zeros(IDS, bool)
     ends_word[[i for token, i in names.items() if token.endswith("</w>")]] = True
     classes = Classes.build(counts, ends_word)
@@ -171,7 +173,7 @@ def score(
 ) -> DataFrame:
     """Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, "8m")
     scratch = Scratch(spark)
     d = pick(docs, doc_id=id_col, text=text_col).withColumn("held_out", held_out(F.col("doc_id")))
     train = d.where(~F.col("held_out"))
@@ -192,7 +194,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        for batch in (part for whole in batches for part in slices(whole, size=8_000_000)):
+        for batch in (part for whole in batches for part in slices(whole, size=3_000_000)):
             found, bounds = split_words(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
             coded, many = found.dictionary_encode(), np.diff(bounds)
             doc, index = np.repeat(np.arange(len(many)), many), np.asarray(coded.indices)
