@@ -117,15 +117,24 @@ def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
             yield pa.record_batch([pa.array(minima[at]), batch.column("doc_id").take(pa.array(doc))], ["h", "doc_id"])
 
     half = scratch.save(keyed.select("doc_id", "text").mapInArrow(sample, f"h long, doc_id {kind}"), "half")
-    repeated = half.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h")
-    survivors = half.join(repeated, "h").select("doc_id", "h")
+    # Texts that are copies: their ids, the keys of these texts, and whether an id has no other text.
     digests = keyed.select("doc_id", "tk", F.unhex(F.sha2("text", 256)).alias("sha"))
     first = digests.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = digests.join(first, "sha").where("doc_id > least").select("doc_id", "tk")
-    both = survivors.select("doc_id", "h", F.lit(None).cast("long").alias("tk")).unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("h"), "tk"))
-    facts = scratch.save(both.groupBy("doc_id").agg(F.collect_set("h").alias("half"), F.collect_set("tk").alias("whole")), "facts")
+    marked = digests.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
+    copies = marked.groupBy("doc_id").agg(F.collect_set(F.when(F.col("copy"), F.col("tk"))).alias("whole"), F.min("copy").alias("every")).where(F.size("whole") > 0)
+    copies = scratch.save(copies, "copies")
+    # Their samples don't count: what they share with others, the first of the copies shares too.
+    own = scratch.save(half.join(copies.where("every").select("doc_id"), "doc_id", "left_anti").select("h", "doc_id"), "own")
     scratch.drop("half")
     release(spark)
+    repeated = own.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h")
+    survivors = own.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("half"))
+    none = F.array().cast("array<long>")
+    facts = survivors.join(copies.select("doc_id", "whole"), "doc_id", "full").select("doc_id", F.coalesce("half", none).alias("half"), F.coalesce("whole", none).alias("whole"))
+    facts = scratch.save(facts, "facts")
+    scratch.drop("own")
+    scratch.drop("copies")
+    release(spark)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -147,7 +156,7 @@ def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     least = full.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     gone = full.join(least, ["a", "b"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list(F.struct("tk", "p")).alias("gone"))
     wholes = facts.where(F.size("whole") > 0).select("doc_id", "whole")
-    found = wholes.join(gone, "doc_id", "full").select("doc_id", F.coalesce("whole", F.array().cast("array<long>")).alias("whole"), F.coalesce(F.col("gone.tk"), F.array().cast("array<long>")).alias("tks"), F.coalesce(F.col("gone.p"), F.array().cast("array<long>")).alias("ps"))
+    found = wholes.join(gone, "doc_id", "full").select("doc_id", F.coalesce("whole", none).alias("whole"), F.coalesce(F.col("gone.tk"), none).alias("tks"), F.coalesce(F.col("gone.p"), none).alias("ps"))
     found = scratch.save(found, "gone")
     scratch.drop("full")
     scratch.drop("facts")
