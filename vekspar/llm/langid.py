@@ -122,7 +122,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1500, grams_per_language: int = 20_000, typical: float = 0.6) -> Filter:
     """The filter from rows that learn (over column doc_id) marks and whose text and language are set."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, "6m")
     d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     usable = learn & F.col("text").isNotNull() & F.col("lang").isNotNull()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     sample = d.where(usable).join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, size=1_000_000)):
+        for batch in (part for whole in batches for part in slices(whole, size=500_000)):
             g, owner = grams(batch.column("text"))
             coded = batch.column("lang").dictionary_encode()
             of = np.asarray(coded.indices)[owner] if len(owner) else np.zeros(0, np.int64)
@@ -155,11 +155,11 @@ def predict(docs: DataFrame, found: Filter, id_col: str = "doc_id", text_col: st
     d = pick(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, size=1_000_000)):
+        for batch in (part for whole in batches for part in slices(whole, size=500_000)):
             lang, score = decide(shared.value, batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, "6m")
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
@@ -184,10 +184,10 @@ def accept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     shared, at = docs.sparkSession.sparkContext.broadcast(found), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, at, 1_000_000)):
+        for batch in (part for whole in batches for part in slices(whole, at, 500_000)):
             lang, score = decide(shared.value, batch.column(at))
             yield batch.filter(pa.array(np.array([l != "und" for l in lang], bool) & (score >= least)))
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, "6m")
     inner = plain_names(docs)
     return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
