@@ -198,6 +198,29 @@ def test_named(text, literals):
     assert [text[a:b] for a, b in secrets.named_spans(text)] == literals
 
 
+@pytest.mark.parametrize("name", ["stripe.api.key", "aws.access.key", "x.private.key", "pass_word", "api__key", "s.e.c.r.e.t"])
+def test_names_do_not_need_other_words(name):
+    text = f'{name}="q7Rt9Zx2Lm4Kd8"'
+    assert secrets.name_score(name) and text[len(name) + 2 : -1] in [text[a:b] for a, b in secrets.named_spans(text)]
+
+
+def test_long_constants():
+    parts = [f"q{i}Z" for i in range(200)]
+    lines = ["k = " + " + ".join(f'"{p}"' for p in parts), "password = k"]
+    text = "\n".join(lines)
+    assert [text[a:b] for a, b in secrets.named_spans(text)] == parts
+    text = 'k = "aB3x"\n' + "k = k + k\n" * 3000 + "password = k"
+    assert [text[a:b] for a, b in secrets.named_spans(text)] == ["aB3x"]
+
+
+def test_joined_values_score_as_their_text():
+    r = random.Random(3)
+    for _ in range(3000):
+        parts = ["".join(r.choice(["x", "Q", "7", "<", ">", "$", "{", "}", "%", "(", ")", "exam", "ple", "nu", "ll", "tO", "dO", "place", "holder", ".", "*"]) for _ in range(r.randrange(6))) for _ in range(r.randrange(1, 6))]
+        joined, whole = secrets.Value.join([secrets.Value(p) for p in parts]), secrets.Value("".join(parts))
+        assert (joined.score(True), joined.placeholder, joined.size) == (whole.score(True), whole.placeholder, whole.size), parts
+
+
 def test_scan_and_redact(edges, nothing, spark):
     for r in secrets.scan(edges).collect():
         wanted = {hashlib.sha256(secrets.written(brute_base(t or "")).encode()).hexdigest() for d, t in EDGES if d == r.doc_id}

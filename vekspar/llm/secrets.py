@@ -37,14 +37,17 @@ _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Parts of names, and what they say about the value.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "privatekey": 3, "accesskey": 3, "secretkey": 3, "authkey": 3, "signingkey": 3, "encryptionkey": 3, "credential": 2, "bearer": 2, "authorization": 2}
-_HINT = re.compile("(?ai:passw|passphrase|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|auth[_-]?key|signing[_-]?key|encryption[_-]?key|credential|bearer|authorization)")
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,80}"
 #: A name with an assignment sign, as keys of mappings too; the expression is read from there.
 _PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])(?:["'](?P<quoted>{_NAME})["']|(?P<plain>{_NAME}))(?:\x20*(?::=|=>|=(?!=)|:(?![:/]))|\x20+(?:is|to)(?=\x20["']))[\x20\t]*""")
 _TERM = re.compile(rf"""(?P<quote>["'`])(?P<literal>(?:(?!(?P=quote))[^\\\n]|\\.)*)(?P=quote)|(?P<bare>[A-Za-z0-9+/_=@#$%^&*!~.-]+)""")
 _JOIN = re.compile(r"\x20*(?:\+|\.(?=\x20|[\"'`]))\x20*")
 _IDENTIFIER = re.compile(_NAME).fullmatch
-_PLACEHOLDER = re.compile(r"(?ai:change_?me|example|placeholder|your[_-]|dummy|xxx+|\*\*\*+|\.\.\.+|<.*>|\$\{.*\}|%\(.*\)|\{\{.*\}\}|none|null|true|false|todo)")
+#: Placeholders: words (none longer than EDGE), and what stands between an opening and a closing sign.
+_PLACEHOLDER = re.compile(r"(?ai:change_?me|example|placeholder|your[_-]|dummy|xxx|\*\*\*|\.\.\.|none|null|true|false|todo)")
+_BRACKETS = (("<", ">"), ("${", "}"), ("%(", ")"), ("{{", "}}"))
+EDGE = 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -64,14 +67,60 @@ def name_score(name: str) -> int:
     return max((v for k, v in SENSITIVE.items() if k in flat), default=0)
 
 
+def may_name(text: str) -> bool:
+    """Whether any name in the text can have a score: names are ASCII and lie in one piece, so their letters do so here."""
+    flat = text.encode("ascii", "ignore").lower().translate(None, _NO_LETTERS).decode()
+    return any(k in flat for k in SENSITIVE)
+
+
+class Value:
+    """What a name stands for: a term, or joined values, with all that its score needs.
+
+    Joined values keep their parts instead of their text, so a value that feeds on itself
+    stays small and nothing of it is forgotten.
+    """
+
+    __slots__ = ("closed", "counts", "head", "opened", "parts", "placeholder", "quoted", "size", "span", "tail")
+
+    def __init__(self, text: str = "", span: tuple[int, int] = (0, 0), quoted: bool = True) -> None:
+        self.parts: tuple[Value, ...] = ()
+        self.span, self.quoted, self.size, self.counts = span, quoted, len(text), Counter(text)
+        self.head, self.tail = text[:EDGE], text[-EDGE:]
+        self.opened, self.closed = [a in text for a, _ in _BRACKETS], [b in text for _, b in _BRACKETS]
+        self.placeholder = bool(_PLACEHOLDER.search(text)) or any(0 <= text.find(a) < text.rfind(b) for a, b in _BRACKETS)
+
+    @classmethod
+    def join(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        out = cls()
+        out.parts = tuple(parts)
+        for p in parts:
+            seam = out.tail + p.head
+            cut = len(out.tail)
+            opens = [a in seam[max(0, cut - 1) : cut + 1] and len(a) > 1 for a, _ in _BRACKETS]
+            closes = [b in seam[max(0, cut - 1) : cut + 1] and len(b) > 1 for _, b in _BRACKETS]
+            out.placeholder |= p.placeholder or bool(_PLACEHOLDER.search(seam)) or any((a or s) and (b or t) for a, s, b, t in zip(out.opened, opens, p.closed, closes, strict=True))
+            out.opened = [a or b or c for a, b, c in zip(out.opened, p.opened, opens, strict=True)]
+            out.closed = [a or b or c for a, b, c in zip(out.closed, p.closed, closes, strict=True)]
+            out.head, out.tail = (out.head + p.head)[:EDGE] if out.size < EDGE else out.head, (out.tail + p.tail)[-EDGE:] if p.size < EDGE else p.tail
+            out.quoted, out.size = out.quoted and p.quoted, out.size + p.size
+            out.counts.update(p.counts)
+        return out
+
+    def score(self, quoted: bool) -> float:
+        """How much it looks like a secret: length, kinds of characters and entropy."""
+        if self.size < 8 or " " in self.counts or self.placeholder:
+            return 0.0
+        chars = "".join(self.counts)
+        classes = sum(bool(re.search(c, chars)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        shares = [c / self.size for c in self.counts.values()]
+        entropy = -sum(x * math.log2(x) for x in shares if x > 0)
+        return (classes - 1) * 0.75 + max(0.0, entropy - 2.5) + 0.5 * quoted
+
+
 def literal_score(value: str, quoted: bool) -> float:
-    """How much a literal looks like a secret: length, kinds of characters and entropy."""
-    if len(value) < 8 or " " in value or _PLACEHOLDER.search(value):
-        return 0.0
-    classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    counts = Counter(value).values()
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts)
-    return (classes - 1) * 0.75 + max(0.0, entropy - 2.5) + 0.5 * quoted
+    return Value(value).score(quoted)
 
 
 def _expression(text: str, at: int) -> tuple[list[tuple[str, int, int, bool]], int]:
@@ -91,25 +140,31 @@ def _expression(text: str, at: int) -> tuple[list[tuple[str, int, int, bool]], i
 
 def named_spans(text: str, threshold: float = 4.0) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name with enough score."""
-    if not _HINT.search(text):
+    if not may_name(text):
         return []
-    constants: dict[str, list[tuple[str, int, int, bool]]] = {}
-    found = set()
+    constants: dict[str, Value] = {}
+    found, told, keep = set(), set(), []  # told: ids of the values in keep
     for m in _PAIR.finditer(text):
         name = m["quoted"] or m["plain"]
         terms, _ = _expression(text, m.end())
-        value = []
-        for term in terms:
-            known = constants.get(term[0]) if not term[3] and _IDENTIFIER(term[0]) else None
-            value += known if known is not None else [term]
-        if not value:
+        if not terms:
             continue
-        constants[name] = value[:64]  # a value that feeds on itself does not grow without end
+        parts = []
+        for literal, start, end, quoted in terms:
+            known = constants.get(literal) if not quoted and _IDENTIFIER(literal) else None
+            parts.append(known if known is not None else Value(literal, (start, end), quoted))
+        value = constants[name] = Value.join(parts)
         weight = name_score(name)
-        if weight:
-            whole = "".join(v[0] for v in value)
-            if weight + literal_score(whole, all(v[3] for v in value)) >= threshold and literal_score(whole, False) > 0:
-                found |= {(v[1], v[2]) for v in value if v[2] > v[1]}
+        if weight and weight + value.score(value.quoted) >= threshold and value.score(False) > 0:
+            open_ = [value]
+            while open_:  # each part once in a text, however often it is joined
+                v = open_.pop()
+                if id(v) not in told:
+                    told.add(id(v))
+                    keep.append(v)
+                    open_ += v.parts
+                    if v.span[1] > v.span[0]:
+                        found.add(v.span)
     return sorted(found)
 
 
