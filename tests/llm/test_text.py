@@ -204,6 +204,29 @@ def test_names_do_not_need_other_words(name):
     assert secrets.name_score(name) and text[len(name) + 2 : -1] in [text[a:b] for a, b in secrets.named_spans(text)]
 
 
+LITERAL = "q7Rt9Zx2Lm4Kd8"
+
+
+@pytest.mark.parametrize("line", [
+    'config["password"] = "{}"', 'os.environ["DB_PASSWORD"] = "{}"', "cfg['a'][0]['api_key'] = '{}'", 'load()["password"] = "{}"', 'config["db"].password = "{}"', '$this->password = "{}";', 'a::secret = "{}"',
+    'password\t=\t"{}"', 'password \t: "{}"', 'password: str = "{}"', 'password: Optional[str] = "{}"', "password: str | None='{}'", 'const apiKey: string = "{}"', 'apiKey?: string = "{}"', "let token: &str = '{}';", 'secret: Option<String> = "{}"',
+    'set password "{}"', "set password {}", "set -gx API_KEY {}", "SET  token\t'{}'", 'set password = "{}"', 'set password to "{}"', 'k: str = "{}"\npassword: str = k', 'password: {}',
+])
+def test_assignments(line):
+    text = line.format(LITERAL)
+    assert [text[a:b] for a, b in secrets.named_spans(text)] == [LITERAL]
+
+
+@pytest.mark.parametrize("text", ['config["size"] = "q7Rt9Zx2Lm4Kd8"', "we set the token and go", 'if password: str == "q7Rt9Zx2Lm4Kd8"', "set token here now"])
+def test_no_assignments(text):
+    assert secrets.named_spans(text) == []
+
+
+def test_padded_value_is_no_type():
+    text = "password: QUJDREVGRwA=\nname: x"
+    assert [text[a:b] for a, b in secrets.named_spans(text)] == ["QUJDREVGRwA="]
+
+
 def test_long_constants():
     parts = [f"q{i}Z" for i in range(200)]
     lines = ["k = " + " + ".join(f'"{p}"' for p in parts), "password = k"]

@@ -1,7 +1,8 @@
 """Secret scans: patterns, and an assignment-aware lexer of source and configuration text.
 
 The lexer finds pairs of a name and an expression (``name = "literal"``, ``name: literal``,
-``"name": "literal"``, ``name => 'literal'``, ``set name literal`` and the like). An expression
+``"name": "literal"``, ``name => 'literal'``, ``name: type = "literal"``, ``set name literal``
+and the like); names may have subscripts and attributes (``a["name"].b``). An expression
 is made of quoted literals, bare values and other names, joined by ``+`` or ``.``; names stand
 for what was last assigned to them, so a literal kept in a plain constant is found where a
 sensitive name takes it. A literal's score adds what the target's name says and how random the
@@ -38,11 +39,17 @@ _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Parts of names, and what they say about the value.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "privatekey": 3, "accesskey": 3, "secretkey": 3, "authkey": 3, "signingkey": 3, "encryptionkey": 3, "credential": 2, "bearer": 2, "authorization": 2}
 _NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
-_NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,80}"
-#: A name with an assignment sign, as keys of mappings too; the expression is read from there.
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])(?:["'](?P<quoted>{_NAME})["']|(?P<plain>{_NAME}))(?:\x20*(?::=|=>|=(?!=)|:(?![:/]))|\x20+(?:is|to)(?=\x20["']))[\x20\t]*""")
+_NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,80}+"
+_BLANK = r"[\x20\t]"
+#: Subscripts and attributes behind a name.
+_PATH = rf"""(?:\[{_BLANK}*(?:"[^"\]\n]{{0,80}}"|'[^'\]\n]{{0,80}}'|[A-Za-z0-9_.-]{{1,80}}){_BLANK}*\]|(?:\?\.|\.|->|::){_NAME})*+"""
+_TYPE_NAME = r"[&*]?[A-Za-z_][A-Za-z0-9_.:]*+(?:\[[^\]\n=]{0,80}\]|<[^\n=>]{0,80}>)*\??"
+#: A type between a colon and the sign; the sign stands apart or before a quote, as a bare value may end in '='.
+_TYPE = rf""":{_BLANK}*{_TYPE_NAME}(?:{_BLANK}*\|{_BLANK}*{_TYPE_NAME})*(?:{_BLANK}+=(?![=>~])|=(?=["'`]))(?={_BLANK}*[^\x20\t\n])"""
+#: A name with an assignment sign, as keys of mappings and subscripts too, or 'set name'; the expression is read from there.
+_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])(?P<set>(?ai:set){_BLANK}+(?:--?[A-Za-z]+{_BLANK}+)*)?(?:["'](?P<quoted>{_NAME})["'](?:{_BLANK}*\])*|(?P<plain>{_NAME}{_PATH}))(?:[?!]?{_BLANK}*(?:{_TYPE}|:=|=>|=(?!=)|:(?![:/]))|{_BLANK}+(?:is|to)(?={_BLANK}["'])|(?(set){_BLANK}+(?=["'`A-Za-z0-9+/_$])|(?!))){_BLANK}*""")
 _TERM = re.compile(rf"""(?P<quote>["'`])(?P<literal>(?:(?!(?P=quote))[^\\\n]|\\.)*)(?P=quote)|(?P<bare>[A-Za-z0-9+/_=@#$%^&*!~.-]+)""")
-_JOIN = re.compile(r"\x20*(?:\+|\.(?=\x20|[\"'`]))\x20*")
+_JOIN = re.compile(r"[\x20\t]*(?:\+|\.(?=[\x20\t]|[\"'`]))[\x20\t]*")
 _IDENTIFIER = re.compile(_NAME).fullmatch
 #: Placeholders: words (none longer than EDGE), and what stands between an opening and a closing sign.
 _PLACEHOLDER = re.compile(r"(?ai:change_?me|example|placeholder|your[_-]|dummy|xxx|\*\*\*|\.\.\.|none|null|true|false|todo)")
