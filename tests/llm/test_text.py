@@ -15,7 +15,8 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from vekspar.llm import bpe, html_extract, langid, lm_score, media_gif, packing, secrets
-from vekspar.llm.attention import WINDOW, Classes, Model, windows
+from vekspar.llm.attention import WINDOW, Classes, Model, all_windows, windows
+from vekspar.llm.common import pick
 from vekspar.llm.tokens import ByteEncoder, WordEncoder, encoder
 
 from .conftest import EDGES, make_docs
@@ -317,6 +318,43 @@ def test_model_sums_to_one_and_learns():
     assert np.mean(losses[-10:]) < 0.6 * np.mean(losses[:10])
 
 
+def test_all_windows_hold_each_id_once():
+    sizes = [1, 5, 32, 33, 64, 100]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    ids = np.arange(bounds[-1]) + 10
+    x, y = all_windows(ids, bounds, 3)
+    assert y[y >= 0].tolist() == ids.tolist()
+    before = ids - 1
+    before[bounds[:-1]] = 3
+    assert x[y >= 0].tolist() == before.tolist()
+    assert all(len(a) == 0 for a in all_windows(ids[:0], np.zeros(1, np.int64), 3))
+
+
+def test_training_sees_all_rows(spark):
+    """More rows and longer texts than the sample holds: each id takes part, and held-out texts score better."""
+    r = random.Random(5)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu") for b in ("ra", "te", "so")]
+
+    def text(n):
+        at, out = r.randrange(12), []
+        for _ in range(n):
+            out.append(words[at])
+            at = (at * 5 + r.choice([1, 1, 1, 2])) % 12
+        return " ".join(out)
+
+    docs = pick(make_docs(spark, [(i, text(400)) for i in range(200)]).repartition(2), doc_id="doc_id", text="text")
+    v = lm_score.VOCABULARY
+    ids = lm_score.subword_counts(lm_score.word_counts(docs), v)
+    ids[lm_score.END] = 200
+    classes, inputs, model = lm_score.fit_attention(lm_score.sample_windows(docs, 200, 5, 2, v), ids, v, steps=30)
+    after, seen = lm_score.fit_all(docs, classes, inputs, model, v)
+    assert seen == ids.sum()
+    words_of, bounds = lm_score.split_words(pa.array([text(3000)]))
+    seq, ends = lm_score._sequences(words_of.dictionary_encode(), bounds, v)
+    before = np.concatenate(([lm_score.START], seq[:-1]))
+    assert after.score(inputs[before], classes.of[seq], ends).mean() > model.score(inputs[before], classes.of[seq], ends).mean() + 0.02
+
+
 def test_gradients():
     model = Model(6, 6, 1)
     r = np.random.default_rng(2)

@@ -11,6 +11,7 @@ connections, and a softmax over classes.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,59 +130,75 @@ class Model:
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss (nats) over real places and its gradients."""
-        p, f, g = self.p, {}, {}
-        m = self.forward(x, f)
-        logits = m @ p["c"] + p["cb"]
-        logits -= logits.max(axis=2, keepdims=True)
-        prob = np.exp(logits)
-        total = prob.sum(axis=2, keepdims=True)
-        prob /= total
-        i, j = np.indices(y.shape)
-        loss = float(((np.log(total[..., 0]) - logits[i, j, y]) * real).sum() / real.sum())
-        prob[i, j, y] -= 1
-        d = prob * (real / real.sum())[..., None].astype(np.float32)
-
-        def flat(t: np.ndarray) -> np.ndarray:
-            return t.reshape(-1, t.shape[-1])
-
-        g["c"], g["cb"] = flat(m).T @ flat(d), flat(d).sum(axis=0)
+        p, g, n = self.p, {}, len(x)
+        scale, at = np.float32(DIM**-0.5), x.ravel()
+
+        def cut(t: np.ndarray) -> np.ndarray:
+            return t.reshape(n, WINDOW, DIM)
+
+        e = (p["emb"][x] + p["pos"]).reshape(-1, DIM)
+        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
+        a = cut(q * scale) @ cut(k).transpose(0, 2, 1)
+        np.exp(np.minimum(a, 80, out=a), out=a)
+        a *= self.open
+        a /= (a @ np.ones(WINDOW, np.float32))[..., None]
+        z = (a @ cut(v)).reshape(-1, DIM)
+        h = e + z @ p["o"]
+        u = h @ p["w1"] + p["b1"]
+        np.maximum(u, 0, out=u)
+        m = h + u @ p["w2"]
+        d = m @ p["c"] + p["cb"]
+        np.minimum(d, 80, out=d)
+        place, weight = np.arange(len(at)) * d.shape[1] + y.ravel(), (real / real.sum()).ravel().astype(np.float32)
+        right = d.ravel()[place]
+        np.exp(d, out=d)
+        total = d @ np.ones(d.shape[1], np.float32)
+        loss = float(((np.log(total) - right) * weight).sum())
+        d *= (weight / total)[:, None]
+        d.ravel()[place] -= weight
+        g["c"], g["cb"] = m.T @ d, d.sum(axis=0)
         dm = d @ p["c"].T
-        g["w2"] = flat(f["u"]).T @ flat(dm)
-        du = (dm @ p["w2"].T) * (f["u"] > 0)
-        g["w1"], g["b1"] = flat(f["h"]).T @ flat(du), flat(du).sum(axis=0)
-        dh = dm + du @ p["w1"].T
-        g["o"] = flat(f["z"]).T @ flat(dh)
-        dz = dh @ p["o"].T
-        da = dz @ f["v"].transpose(0, 2, 1)
-        dv = f["a"].transpose(0, 2, 1) @ dz
-        ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True)) * np.float32(DIM**-0.5)
-        dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-        de = dh.copy()
+        g["w2"] = u.T @ dm
+        du = (dm @ p["w2"].T) * (u > 0)
+        g["w1"], g["b1"] = h.T @ du, du.sum(axis=0)
+        de = dm + du @ p["w1"].T
+        g["o"] = z.T @ de
+        dz = cut(de @ p["o"].T)
+        dv = (a.transpose(0, 2, 1) @ dz).reshape(-1, DIM)
+        ds = dz @ cut(v).transpose(0, 2, 1)
+        ds -= (dz * cut(z)).sum(axis=2, keepdims=True)  # the mean of ds under a
+        ds *= a
+        ds *= scale
+        dq, dk = (ds @ cut(k)).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ cut(q)).reshape(-1, DIM)
         for name, dx in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(f["e"]).T @ flat(dx)
+            g[name] = e.T @ dx
             de += dx @ p[name].T
-        g["pos"] = de.sum(axis=0)
-        g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], x.ravel(), flat(de))
+        g["pos"] = cut(de).sum(axis=0)
+        g["emb"] = np.bincount((at[:, None] * DIM + np.arange(DIM)).ravel(), de.ravel(), p["emb"].size).reshape(-1, DIM).astype(np.float32)
         return loss, g
 
     def train(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, steps: int = 1200, batch: int = 64, rate: float = 6e-3, seed: int = 7) -> list[float]:
         """Adam over random batches of windows; the losses of the steps."""
-        r = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        r, adam = np.random.default_rng(seed), Adam(self)
         losses = []
         for t in range(1, steps + 1):
             at = r.integers(0, len(x), batch)
-            loss, g = self.gradients(x[at], y[at], real[at])
-            losses.append(loss)
-            lr = rate * min(1.0, t / 50) * (1 - 0.95 * t / steps)
-            for k, v in self.p.items():
-                first[k] += 0.1 * (g[k] - first[k])
-                second[k] += 0.01 * (g[k] ** 2 - second[k])
-                v -= (lr * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            losses.append(adam.step(x[at], y[at], real[at], rate * min(1.0, t / 50) * (1 - 0.95 * t / steps)))
         return losses
 
+    def flat(self) -> np.ndarray:
+        """All weights in one row."""
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def with_weights(self, flat: np.ndarray) -> Model:
+        """A model of the same shape with weights as flat() gives them."""
+        out, at = copy.copy(self), 0
+        out.p = {}
+        for k, v in self.p.items():
+            out.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+        return out
+
     def score(self, inputs: np.ndarray, target: np.ndarray, bounds: np.ndarray, batch: int = 128) -> np.ndarray:
         """log10 probability of each target class, in sequences that lie one after the other."""
         out = np.zeros(len(target), np.float32)
@@ -197,6 +214,38 @@ class Model:
         return out
 
 
+class Adam:
+    """Steps of Adam on a model's weights."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.t = model, 0
+        self.first = {k: np.zeros_like(v) for k, v in model.p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in model.p.items()}
+
+    def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, rate: float) -> float:
+        self.t += 1
+        loss, g = self.model.gradients(x, y, real)
+        for k, v in self.model.p.items():
+            self.first[k] += 0.1 * (g[k] - self.first[k])
+            self.second[k] += 0.01 * (g[k] ** 2 - self.second[k])
+            v -= (rate * (self.first[k] / (1 - 0.9**self.t)) / (np.sqrt(self.second[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        return loss
+
+
+def all_windows(ids: np.ndarray, bounds: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets (-1 behind the end) of windows that hold each id of each sequence once as a target."""
+    sizes = np.diff(bounds)
+    many = -(-sizes // WINDOW)
+    k = run_lengths(np.zeros(len(sizes), np.int64), many)
+    at = np.repeat(bounds[:-1], many) + k * WINDOW
+    pos = at[:, None] + np.arange(WINDOW)
+    inside = pos < np.repeat(bounds[1:], many)[:, None]
+    y = np.where(inside, ids[np.minimum(pos, max(len(ids) - 1, 0))], -1) if len(ids) else pos
+    x = np.where(inside, ids[np.clip(pos - 1, 0, max(len(ids) - 1, 0))], -1) if len(ids) else pos
+    x[k == 0, 0] = start
+    return x, y
+
+
 def training_windows(sequences: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Windows of WINDOW + 1 ids (-1 behind the end) as inputs and targets."""
     rows = np.full((0, WINDOW + 1), -1, np.int64)

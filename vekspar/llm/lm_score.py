@@ -3,8 +3,11 @@
 Words are runs of characters other than ASCII white space, A-Z in lower case; each text ends
 with one end token. Statistics are counted over all training rows (crc32 of the id as text,
 modulo 10, is not 0): the words for the base score, and from them the subword ids that the
-attention model shares out within its classes. The attention weights are trained on a bounded
-number of windows, chosen by hash from training rows (`train_rows`, `windows_per_row`).
+attention model shares out within its classes. The attention weights start from those of a
+sample of windows (`train_rows`, `windows_per_row`, `steps`), which gives all tasks a common
+start; from there each task takes steps over every window of all of its training rows, each
+id once, and the tasks' weights are averaged by their numbers of ids. So windows and steps grow
+with the training rows. The weights depend on how the input is split.
 
 The base score needs every word's count. The `head` most frequent words are looked up in a
 broadcast table of bounded size; all other words of a text are joined with the whole table of
@@ -25,10 +28,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention import WINDOW, Classes, Model, training_windows
+from .attention import WINDOW, Adam, Classes, Model, all_windows, training_windows
 from .common import Scratch, pick, release, run_lengths, slices, small_batches
 from .substring_dedup import split_words
 from .tokens import SEP, WordEncoder, encoder
@@ -161,6 +165,41 @@ def fit_attention(ids: list[np.ndarray], counts: np.ndarray, vocabulary: str, em
     return classes, inputs, model
 
 
+def fit_all(train: DataFrame, classes: Classes, inputs: np.ndarray, model: Model, vocabulary: str, batch: int = 64, rate: float = 1.5e-3) -> tuple[Model, int]:
+    """The model after steps over all windows of train, and the number of ids that it has seen.
+
+    Each task yields one row of weights; they are summed in 32 groups before the driver.
+    """
+    shared = train.sparkSession.sparkContext.broadcast((classes.of, inputs, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, rows, start = shared.value
+        own, seen, part = start.with_weights(start.flat()), 0, TaskContext.get().partitionId()
+        adam, order = Adam(own), np.random.default_rng(part)
+        for piece in (p for whole in batches for p in slices(whole, size=3_000_000)):
+            words, bounds = split_words(pc.ascii_lower(pc.fill_null(piece.column("text"), "")))
+            x, y = all_windows(*_sequences(words.dictionary_encode(), bounds, vocabulary), START)
+            mixed = order.permutation(len(x))
+            for at in range(0, len(x), batch):
+                i = mixed[at : at + batch]
+                real = y[i] >= 0
+                # A step counts by its ids, so that the last few windows of a piece don't weigh as much as a whole batch.
+                adam.step(rows[np.maximum(x[i], 0)], of[np.maximum(y[i], 0)], real.astype(np.float32), rate * len(i) / batch * min(1.0, (adam.t + 1) / 50) / (1 + adam.t / 200) ** 0.5)
+                seen += int(real.sum())
+        if seen:
+            yield pa.record_batch([pa.array([part % 32]), pa.array([seen]), pa.array([(own.flat().astype(np.float64) * seen).tobytes()], pa.binary())], ["part", "seen", "weights"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(w.as_py()) for w in table.column("weights"))
+        return pa.table([table.column("part")[:1], pa.array([pc.sum(table.column("seen")).as_py()]), pa.array([total.tobytes()], pa.binary())], ["part", "seen", "weights"])
+
+    kind = "part long, seen long, weights binary"
+    found = sorted(train.select("text").mapInArrow(run, kind).groupBy("part").applyInArrow(add, kind).collect())
+    shared.destroy()
+    seen = sum(r.seen for r in found)
+    return (model.with_weights(sum(np.frombuffer(r.weights) for r in found) / seen), seen) if seen else (model, 0)
+
+
 def score(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -188,6 +227,7 @@ def score(
     ids = subword_counts(counts, vocabulary)
     ids[END] = rows
     classes, inputs, model = fit_attention(sample_windows(train, rows, train_rows, windows_per_row, vocabulary), ids, vocabulary, steps=steps)
+    model, _ = fit_all(train, classes, inputs, model, vocabulary)
     shared = spark.sparkContext.broadcast(Shared(_plain(top.column("word")), np.log10(np.asarray(top.column("n"), float) + 0.1), classes, inputs, model))
     del top
     end_log = float(np.log10(rows + 0.1))
