@@ -404,6 +404,23 @@ def test_template_and_slots():
     assert t.root and any("Share this article" in x for x in t.texts)
 
 
+@pytest.mark.parametrize("name", ["football", "footnotes", "formula", "navy", "shareholders", "social-science", "promotion", "recommendations", "legal", "search", "entry-header", "post format-standard", "related"])
+def test_sections_keep_their_text(name):
+    body = "<p>The text of this section is no menu.</p>"
+    inner = f'<article><h1>Head</h1><section id="{name}">{body}</section><div class="{name}">{body}</div></article>'
+    assert html_extract.extract([inner]) == ["\n\n".join(["Head", *["The text of this section is no menu."] * 2])]
+    if name not in ("related", "footer"):
+        assert html_extract.extract([f'<div class="{name}"><article><p>All of it.</p></article></div>']) == ["All of it."]
+
+
+def test_named_containers_go_when_confirmed():
+    linked = '<article><p>Text of the page.</p><div class="related"><a href="/a">One</a> <a href="/b">Two</a></div></article>'
+    assert html_extract.extract([linked]) == ["Text of the page."]
+    same = ['<html><article><p>Text {0} of its own, {0}.</p><div class="newsletter"><p>Have our letter.</p></div></article></html>'.format(i) for i in range(5)]
+    assert html_extract.extract(same) == [f"Text {i} of its own, {i}." for i in range(5)]
+    assert html_extract.extract(['<div class="ad">Buy</div><article><p>Text.</p></article>']) == ["Text."]
+
+
 def test_copies_keep_their_text():
     same = PAGE.format(1, "the same words on every page")
     for text in html_extract.extract([same] * 5):

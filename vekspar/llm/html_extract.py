@@ -40,9 +40,11 @@ _BLOCK = set("address article aside blockquote body caption center dd details di
 #: Containers that are never main text.
 _ASIDE = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "select", "option", "label", "head", "object", "canvas", "audio", "video", "fieldset"}
 _ASIDE_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|nav\w*|menus?|breadcrumbs?|side-?bar\w*|aside|foot\w*|mast-?head|site-?header|page-?header|header|top-?bar|comments?|comment-?list|disqus|respond|replies|reply|share\w*|sharing|social\w*|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|widgets?|toolbar|pagination|pager|tags?|tagcloud|meta|byline|copyright|legal|disclaimer|skip-?link|search|form\w*)(?=$|[\s_-])",
+    r"(?:^|\s)(?:ads?|advert|adverts|advertisement|advertisements|advertising|adsense|ad[_-](?:box|slot|unit|banner|container|wrapper)|sponsor|sponsors|sponsored|promo|promos|banner|banners|cookies?|cookie[_-](?:notice|banner|bar|consent)|consent|gdpr|nav|navbar|navigation|(?:site|main|top|page|post)[_-]nav(?:igation)?|menus?|(?:site|main|top)[_-]menu|breadcrumbs?|side-?bar|footer|(?:site|page)[_-]footer|mast-?head|(?:site|page)[_-]header|header|top-?bar|comments?|comment[_-](?:list|form)|disqus(?:_thread)?|share|sharing|(?:share|social)[_-](?:buttons?|links?|icons?|bar|media)|related|related[_-](?:posts?|articles?|links?)|newsletter|subscribe|signup|login|popup|modal|overlay|widgets?|toolbar|pagination|pager|tagcloud|byline|copyright|skip-?link|search[_-](?:form|box|bar)|contentinfo|complementary)(?=$|\s)",
     re.I,
 )
+#: What a name alone says of a container inside an article holds only with at least so much of its text in links.
+_LINKED = 0.5
 _MAIN_WORD = re.compile(r"(?:^|[\s_-])(?:articlebody|article-?(?:body|content|text)|post-?(?:body|content|text)|entry-?(?:content|text)|story-?(?:body|content|text)|main-?(?:content|text))(?=$|[\s_-])", re.I)
 #: Blocks that are text rather than containers.
 _TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "dt", "dd", "dl", "td", "th", "tr", "tbody", "table", "figcaption", "summary", "address"}
@@ -58,6 +60,7 @@ class Block:
     article: bool
     linked: int
     at: int  # number of tags before it
+    named: int = 0  # number of the container inside an article whose name alone says that it is no text; 0: none
 
 
 @dataclass
@@ -68,9 +71,9 @@ class Page:
 
 def parse(source: str) -> Page:
     """Tags and blocks of text of a page, however broken its markup."""
-    page, stack = Page(), []  # of (tag, label, aside, article, link)
+    page, stack = Page(), []  # of (tag, label, aside, article, link, named)
     text: list[str] = []
-    state = (False, False, False)
+    state = (False, False, False, 0)
     linked = 0
 
     def flush() -> None:
@@ -78,7 +81,7 @@ def parse(source: str) -> Page:
         joined = " ".join("".join(text).split())
         if joined:
             path = "/".join(s[1] for s in stack if s[0] in _BLOCK)
-            page.blocks.append(Block(joined, path, state[0], state[1], linked, len(page.tags)))
+            page.blocks.append(Block(joined, path, state[0], state[1], linked, len(page.tags), state[3]))
         text.clear()
         linked = 0
 
@@ -94,7 +97,7 @@ def parse(source: str) -> Page:
         if any(s[0] in _BLOCK for s in stack[-count:]):
             flush()
         del stack[-count:]
-        state = stack[-1][2:] if stack else (False, False, False)
+        state = stack[-1][2:] if stack else (False, False, False, 0)
 
     at, end = 0, len(source)
     while at < end:
@@ -154,10 +157,14 @@ def parse(source: str) -> Page:
         aside = state[0] or tag in _ASIDE or "hidden" in names or names.get("aria-hidden") == "true"
         if tag == "header" and not state[1]:
             aside = True
+        named = state[3]
         if not aside and words and not main and tag not in ("html", "body") and _ASIDE_WORD.search(words):
-            aside = True
+            if inside:
+                named = named or len(page.tags) + 1
+            else:
+                aside = True
         label = tag if not words else f"{tag}.{words.strip()}"
-        stack.append((tag, label, aside, inside, state[2] or tag == "a"))
+        stack.append((tag, label, aside, inside, state[2] or tag == "a", named))
         state = stack[-1][2:]
         page.tags.append("/".join(s[1] for s in stack if s[0] in _BLOCK or s is stack[-1]))
     flush()
@@ -272,10 +279,24 @@ def _container(blocks: list[Block], most: float = 0.7) -> str:
     return max(full, key=lambda path: (path.count("/"), path), default="")
 
 
+def _confirm(page: Page, template: Template) -> None:
+    """Containers inside articles that only their names call no text: they are none if links or the template say so too."""
+    held: dict[int, list[Block]] = defaultdict(list)
+    for b in page.blocks:
+        if b.named and not b.aside:
+            held[b.named].append(b)
+    for blocks in held.values():
+        if sum(b.linked for b in blocks) >= _LINKED * sum(len(b.text) for b in blocks) or all(f"{b.path}\x00{b.text}" in template.texts for b in blocks):
+            for b in blocks:
+                b.aside = True
+
+
 def extract(sources: list[str | None], support: int = 3, small: float = 0.3) -> list[str]:
     """Main text of pages of one host."""
     pages = [parse(s or "") for s in sources]
     template = deduce(pages, support)
+    for p in pages:
+        _confirm(p, template)
     content = [[b for b in p.blocks if b.article and not b.aside] for p in pages]
     # Pages without an article: the container that holds most running text of the slots' own blocks.
     bare = [i for i, c in enumerate(content) if not c]
