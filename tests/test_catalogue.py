@@ -43,3 +43,9 @@ def test_entry_point(spark):
     assert set(catalogue.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_writes_over_whole_tables(spark, con):
+    orders = con.execute("select count(*) from orders").fetchone()[0]
+    rows = catalogue.QUERIES["write_update_missing_all"](spark, DATA).collect()
+    assert len(rows) == orders and {r._error for r in rows} == {None, "NOT_FOUND"} and len({r._pk for r in rows}) < orders

@@ -586,6 +586,45 @@ def write_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.delete(live, batch.select("_pos", "_pk"))[1]
 
 
+#: The same writes over all customers and all orders: keys of twice the customer's number exist, are missing and repeat at any size.
+_ALL_BATCH = "(SELECT o_orderkey AS _pos, 'c' || (o_custkey * 2) AS _pk, 'new' || o_orderkey AS c_name, o_totalprice AS c_acctbal, nullif(o_orderstatus, 'F') AS seg FROM orders)"
+_ALL_FIRST = 10**12  # above the ids of all live rows
+
+
+def _whole_sql(name: str) -> str:
+    return ORACLE_SQL[name].replace(_LIVE, f"(SELECT * FROM {_KEYED})").replace(_BATCH, _ALL_BATCH).replace("CAST(999 +", f"CAST({_ALL_FIRST - 1} +")
+
+
+def _all_live_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders")
+    return keyed(spark, sf_dir), o.select(F.col("o_orderkey").alias("_pos"), F.concat(F.lit("c"), F.col("o_custkey") * 2).alias("_pk"), F.concat(F.lit("new"), F.col("o_orderkey")).alias("c_name"), F.col("o_totalprice").alias("c_acctbal"), F.nullif("o_orderstatus", F.lit("F")).alias("seg"))
+
+
+@query("write_insert_conflict_all", _whole_sql("write_insert_conflict"))
+def write_insert_conflict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live, batch = _all_live_batch(spark, sf_dir)
+    return writes.insert(live, batch, _ALL_FIRST, ["c_name"])[1]
+
+
+@query("write_upsert_partial_all", _whole_sql("write_upsert_partial"))
+def write_upsert_partial_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live, batch = _all_live_batch(spark, sf_dir)
+    given = batch.withColumn("c_acctbal", F.lit(None).cast("double")).withColumn("_present", F.array(F.lit("c_name"), F.lit("seg")))
+    return writes.upsert(live, given, _ALL_FIRST, ["c_name"])[0].select("_doc_id", "_pk", "c_name", "c_acctbal", "seg")
+
+
+@query("write_update_missing_all", _whole_sql("write_update_missing"))
+def write_update_missing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live, batch = _all_live_batch(spark, sf_dir)
+    return writes.update(live, batch.withColumn("_present", F.array(F.lit("c_name"))), _ALL_FIRST, [])[1]
+
+
+@query("write_delete_keys_all", _whole_sql("write_delete_keys"))
+def write_delete_keys_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live, batch = _all_live_batch(spark, sf_dir)
+    return writes.delete(live, batch.select("_pos", "_pk"))[1]
+
+
 @query("write_delete_filter", f"SELECT _pk, _doc_id FROM {_KEYED} WHERE NOT coalesce(c_acctbal < 0 AND seg <> 'MACHINERY', false)")
 def write_delete_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = CollectionSchema("customer", (FieldSchema("c_acctbal", DataType.DOUBLE), FieldSchema("seg", DataType.STRING, True)))
