@@ -223,6 +223,12 @@ def dense_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.batch(d.where("vec_id % 100 = 0"), d, 5, MetricType.IP, "v", "vec_id").select("query_id", "vec_id", "rank", micro(F.col("_score")).alias("score"))
 
 
+@query("dense_batch_20", ORACLE_SQL["dense_batch"].replace("% 100 = 0", "% 20 = 0"))
+def dense_batch_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scaled(spark, sf_dir)
+    return search.batch(d.where("vec_id % 20 = 0"), d, 5, MetricType.IP, "v", "vec_id").select("query_id", "vec_id", "rank", micro(F.col("_score")).alias("score"))
+
+
 @query("normalize_l2", f"SELECT vec_id, CAST(floor(list_inner_product(v, v) * 1e6 + 0.5) AS BIGINT) AS before, CAST(CASE WHEN label = 3 THEN 0 ELSE 1000000 END AS BIGINT) AS after FROM (SELECT vec_id, label, list_transform(v, lambda x: CASE WHEN label = 3 THEN 0 ELSE x END) AS v FROM {_SCALED})")
 def normalize_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scaled(spark, sf_dir).withColumn("v", F.when(F.col("label") == 3, F.transform("v", lambda x: x * 0)).otherwise(F.col("v")))
