@@ -34,6 +34,7 @@ from ..fts.analysis import Analyzer
 from ..functions import vectors as V
 from ..operators import fusion, search, writes
 from ..operators.expressions import NUMERIC, compile_expression, wrap
+from ..scratch import Scratch
 from .files import Files
 
 LIBRARY_VERSION = "0.1.0"
@@ -319,8 +320,8 @@ class Collection:
     def _required(self) -> list[str]:
         return [f.name for f in self.schema.fields if not f.nullable]
 
-    def _append(self, op: str, rows: DataFrame | None, gone: DataFrame | None, wrote: int) -> None:
-        """One log batch of new versions and tombstones, then the manifest that names it."""
+    def _append(self, op: str, rows: DataFrame | None, gone: DataFrame | None, wrote: int, progress: dict[str, int] | None = None) -> None:
+        """One log batch of new versions and tombstones, then the manifest that names it and how far a stream has come."""
         m = self._manifest
         fields = [c.name for c in self._row_type().fields]
         parts = []
@@ -332,17 +333,18 @@ class Collection:
         name = f"data/log-{m.next_seq}-{uuid.uuid4().hex[:8]}"
         whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         whole.write.parquet(self._files.full(name))
-        self._publish(replace(m, generation=m.generation + 1, next_seq=m.next_seq + 1, next_doc_id=m.next_doc_id + wrote, log=[*m.log, name]))
+        self._publish(replace(m, generation=m.generation + 1, next_seq=m.next_seq + 1, next_doc_id=m.next_doc_id + wrote, log=[*m.log, name], progress={**m.progress, **(progress or {})}))
 
     def _write(self, op: str, plan: Callable, documents: Iterable[tuple[str, dict[str, Any]]], whole: bool) -> list[WriteResult]:
         self._writable(op)
         documents = list(documents)
         batch, failed = self._batch(documents, whole)
-        rows, results = plan(self.live(), batch, self._manifest.next_doc_id, self._required())
-        done = {r._pos: WriteResult(r._pk, r._doc_id, r._error) for r in results.collect()}  # a row for each document given
-        wrote = sum(r.error is None for r in done.values())
-        if wrote:
-            self._append(op, rows, None, wrote)
+        with Scratch(self.spark) as scratch:
+            rows, results = plan(self.live(), batch, self._manifest.next_doc_id, self._required(), scratch)
+            done = {r._pos: WriteResult(r._pk, r._doc_id, r._error) for r in results.collect()}  # a row for each document given
+            wrote = sum(r.error is None for r in done.values())
+            if wrote:
+                self._append(op, rows, None, wrote)
         return [failed.get(i) or done[i] for i in range(len(documents))]
 
     def insert(self, documents: Iterable[tuple[str, dict[str, Any]]]) -> list[WriteResult]:
@@ -354,7 +356,7 @@ class Collection:
     def update(self, documents: Iterable[tuple[str, dict[str, Any]]]) -> list[WriteResult]:
         return self._write("update", writes.update, documents, False)
 
-    def _frame(self, op: str, plan: Callable, rows: DataFrame, required: list[str]) -> DataFrame:
+    def _frame(self, op: str, plan: Callable, rows: DataFrame, required: list[str], progress: dict[str, int] | None = None) -> DataFrame:
         """A write of a DataFrame with _pos and _pk; the results stay distributed."""
         self._writable(op)
         known = {f.name: S.spark_type(f.data_type) for f in self.schema.fields}
@@ -365,31 +367,33 @@ class Collection:
         if "_present" not in rows.columns:
             rows = rows.withColumn("_present", F.array(*map(F.lit, given)).cast("array<string>"))
         whole = rows.select("_pos", "_pk", "_present", *((F.col(f"`{c}`").cast(k) if c in given else F.lit(None).cast(k)).alias(c) for c, k in known.items()))
-        new, results = plan(self.live(), whole, self._manifest.next_doc_id, required)
-        name = f"data/results-{uuid.uuid4().hex}"
-        results.write.parquet(self._files.full(name))
-        results = self.spark.read.schema(results.schema).parquet(self._files.full(name))
-        wrote = results.where(F.col("_error").isNull()).count()
-        if wrote:
-            self._append(op, new, None, wrote)
+        with Scratch(self.spark) as scratch:
+            new, results = plan(self.live(), whole, self._manifest.next_doc_id, required, scratch)
+            results = self._kept_results(results)
+            wrote = results.where(F.col("_error").isNull()).count()
+            if wrote:
+                self._append(op, new, None, wrote, progress)
         return results
 
-    def insert_frame(self, rows: DataFrame) -> DataFrame:
-        return self._frame("insert", writes.insert, rows, self._required())
+    def _kept_results(self, results: DataFrame) -> DataFrame:
+        name = f"results/{uuid.uuid4().hex}"
+        results.write.parquet(self._files.full(name))
+        return self.spark.read.schema(results.schema).parquet(self._files.full(name))
+
+    def insert_frame(self, rows: DataFrame, progress: dict[str, int] | None = None) -> DataFrame:
+        return self._frame("insert", writes.insert, rows, self._required(), progress)
 
-    def merge_frame(self, rows: DataFrame, create: bool = True) -> DataFrame:
+    def merge_frame(self, rows: DataFrame, create: bool = True, progress: dict[str, int] | None = None) -> DataFrame:
         """Upsert (create) or update; fields that rows lacks keep their values."""
-        return self._frame("upsert" if create else "update", writes.upsert if create else writes.update, rows, self._required())
+        return self._frame("upsert" if create else "update", writes.upsert if create else writes.update, rows, self._required(), progress)
 
-    def delete_frame(self, keys: DataFrame) -> DataFrame:
+    def delete_frame(self, keys: DataFrame, progress: dict[str, int] | None = None) -> DataFrame:
         """Keys with their _pos; the results stay distributed."""
         self._writable("delete")
-        gone, results = writes.delete(self.live(), keys.select("_pos", "_pk"))
-        name = f"data/results-{uuid.uuid4().hex}"
-        results.write.parquet(self._files.full(name))
-        results = self.spark.read.schema(results.schema).parquet(self._files.full(name))
-        if results.where(F.col("_error").isNull()).take(1):
-            self._append("delete", None, gone, 0)
+        results = self._kept_results(writes.delete(self.live(), keys.select("_pos", "_pk"))[1])
+        gone = results.where(F.col("_error").isNull())
+        if gone.take(1):
+            self._append("delete", None, gone.select("_pk"), 0, progress)
         return results
 
     def progress(self, source: str) -> int:
