@@ -18,23 +18,28 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, small_batches
-from .tokens import CHAR_TO_BYTE, ByteEncoder, encoder
+from .common import mapped, pick, slices
+from .tokens import CHAR_TO_BYTE, ByteEncoder, encoder, read_ranks
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: The library's form of the vocabulary, and the ranks that it must agree with.
+VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _encoder(path: str, pattern: str) -> ByteEncoder:
     return encoder(ByteEncoder, path, pattern)
 
 
-def byte_table(found: ByteEncoder) -> list[bytes]:
-    """The bytes of each id, by reversing the byte table; special tokens are their own text."""
+def byte_table(found: ByteEncoder, ranks: str | None = None) -> list[bytes]:
+    """The bytes of each id, by reversing the byte table; special tokens are their own text. They must be those of the rank file."""
     if not hasattr(found, "bytes_of"):
         vocabulary = found.tokenizer.get_vocab()
         table = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             table[i] = bytes(CHAR_TO_BYTE[c] for c in token) if all(c in CHAR_TO_BYTE for c in token) else token.encode()
+        if ranks:
+            known = read_ranks(ranks)
+            if table[: len(known)] != known:
+                raise ValueError("the vocabulary and the ranks differ")
         found.bytes_of, found.decimal = table, [str(i) for i in range(len(table))]
     return found.bytes_of
 
@@ -54,14 +59,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _encoder(vocabulary, pattern)
         table = byte_table(found)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, size=2_000_000)):
             ids = found(batch.column("text"))
             spans = [offsets(x, table) for x in ids]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(x, pa.list_(pa.int32())) for x in (ids, [a for a, _ in spans], [b for _, b in spans]))], ["doc_id", "ids", "starts", "ends"])
 
-    small_batches(docs.sparkSession)
     d = pick(docs, doc_id=id_col, text=text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>")
+    return mapped(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -74,16 +78,16 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocab
             yield pa.record_batch([batch.column("doc_id"), pa.array(raw, pa.binary()), pa.array([x.decode(errors="replace") for x in raw])], ["doc_id", "raw", "text"])
 
     c = pick(coded, doc_id=id_col, ids=ids_col)
-    return c.mapInArrow(run, f"doc_id {c.schema['doc_id'].dataType.simpleString()}, raw binary, text string")
+    return mapped(c, run, f"doc_id {c.schema['doc_id'].dataType.simpleString()}, raw binary, text string")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, ranks: str | None = RANKS) -> DataFrame:
     """Columns doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded and its ids decoded again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _encoder(vocabulary, pattern)
-        raw, decimal = byte_table(found).__getitem__, found.decimal.__getitem__
-        for batch in batches:
+        raw, decimal = byte_table(found, ranks).__getitem__, found.decimal.__getitem__
+        for batch in (part for whole in batches for part in slices(whole, size=2_000_000)):
             n, of_ids, of_bytes = [], [], []
             for x in found(batch.column("text")):
                 ids = x.tolist()
@@ -92,6 +96,5 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
                 of_bytes.append(hashlib.sha256(b"".join(map(raw, ids))).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(docs.sparkSession)
     d = pick(docs, doc_id=id_col, text=text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

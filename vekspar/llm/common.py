@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import gc
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, checkpoint_dir  # noqa: F401
+
 #: The ASCII white space that separates words: \x20 and \x09-\x0D.
 WORD_SEPARATOR = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,50 +39,34 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATOR), "")
 
 
-def small_batches(spark: SparkSession, size: str = "24m") -> None:
+#: Bytes of an Arrow batch, for all operators alike: plans run later than they are built.
+BATCH = "6m"
+
+
+def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes too, as 10,000 long texts may not fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a folder of its own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    context = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if context.isDefined():
-        return context.get()
-    own = "file://" + tempfile.mkdtemp(prefix="vekspar-checkpoint-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-class Scratch:
-    """Tables in the shared checkpoint folder. They cut the lineage and survive lost executors.
-
-    A table goes with drop(), or at the end of the driver's Python.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.root = spark, f"{checkpoint_dir(spark).rstrip('/')}/vekspar-{uuid.uuid4().hex}"
-        atexit.register(self.close)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def close(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            try:
-                self.drop()
-            except OSError:  # the session's gateway has gone before us
-                pass
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches that a task yields; at its end the worker gives freed memory back, as it lives on for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    if _TRIM:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """df.mapInArrow() over batches of bounded bytes."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def run_lengths(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -2,11 +2,11 @@
 
 The decoder reads both GIF versions: global and local palettes, interlacing, graphic control
 extensions with delay, disposal and transparency, and LZW streams of any code size, deferred
-clear codes included. Streams that hold literal codes of one width only (the encoder's own
-form) are decoded with numpy; every other stream goes through the dictionary.
+clear codes included. Every stream goes through the dictionary; numpy packs and cuts the codes,
+whose widths follow from their number since the last clear code. The encoder compresses.
 
-Defined results: null media give no frame; data that is no GIF gives one row whose error is
-set and whose other columns are null; a null text is stored as an empty one; repeated rows
+Defined results: null media give no frame; data that is no GIF, or whose canvas has more than
+`most_pixels` pixels, gives one row whose error is set and whose other columns are null; a null text is stored as an empty one; repeated rows
 stay; an empty table gives an empty result; other columns are not read.
 """
 
@@ -17,15 +17,18 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, small_batches, texts_of
+from .common import mapped, pick, slices, texts_of
 
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 BINS = 16
+#: Of a canvas or frame: 64 MB as RGBA.
+MOST_PIXELS = 1 << 24
 
 
 class GifError(ValueError):
@@ -35,126 +38,105 @@ class GifError(ValueError):
 # --- LZW ---------------------------------------------------------------------------------
 
 
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """8-bit samples as literal codes of 9 bits. A clear code before every 254 keeps the width."""
-    n = len(samples)
-    groups = -(-n // 254)
-    codes = np.full((groups, 255), 256, np.uint16)
-    tail = np.zeros(groups * 254, np.uint16)
-    tail[:n] = samples
-    codes[:, 1:] = tail.reshape(groups, 254)
-    flat = np.concatenate((codes.ravel()[: n + groups], [257]))
-    bits = len(flat) * 9
-    c = np.zeros((-(-len(flat) // 8), 8), np.uint16)
-    c.ravel()[: len(flat)] = flat
-    out = np.zeros((len(c), 9), np.uint8)
-    for j in range(9):
-        low = c[:, j] << j if j < 8 else 0
-        high = c[:, j - 1] >> (9 - j) if j else 0
-        out[:, j] = (low | high) & 255
-    return out.tobytes()[: -(-bits // 8)]
-
-
-def _literals(data: bytes, size: int) -> np.ndarray | None:
-    """The samples, if all codes before the end code are literals of the first width; else None."""
-    if size != 8:
-        return None
-    raw = np.frombuffer(data, np.uint8)
-    b = np.zeros((-(-len(raw) // 9), 9), np.uint16)
-    b.ravel()[: len(raw)] = raw
-    codes = np.empty((len(b), 8), np.uint16)
-    for k in range(8):
-        codes[:, k] = (b[:, k] >> k | b[:, k + 1] << (8 - k)) & 511
-    codes = codes.ravel()
-    ends = np.flatnonzero(codes == 257)
-    if not len(ends):
-        return None
-    codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes == 256)
-    # After 255 codes the width would grow.
-    if codes.max(initial=0) > 256 or np.diff(np.concatenate(([-1], clears, [len(codes)]))).max(initial=0) > 256:
-        return None
-    return codes[codes < 256].astype(np.uint8)
-
-
-def lzw_decode(data: bytes, size: int) -> np.ndarray:
-    """The samples of a code stream whose literals have size bits."""
-    if not 1 <= size <= 11:
-        raise GifError(f"code size {size}")
-    fast = _literals(data, size)
-    if fast is not None:
-        return fast
-    clear, end = 1 << size, (1 << size) + 1
-    first = [bytes((i & 255,)) for i in range(clear)] + [b"", b""]
-    table, width, out, last = list(first), size + 1, [], None
-    value = bits = 0
-    for byte in data:
-        value |= byte << bits
-        bits += 8
-        while bits >= width:
-            code = value & ((1 << width) - 1)
-            value >>= width
-            bits -= width
-            if code == clear:
-                table, width, last = list(first), size + 1, None
-                continue
-            if code == end:
-                return np.frombuffer(b"".join(out), np.uint8)
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and last is not None:
-                entry = last + last[:1]
-            else:
-                raise GifError("a code comes before its entry")
-            out.append(entry)
-            if last is not None and len(table) < 4096:
-                table.append(last + entry[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            last = entry
-    return np.frombuffer(b"".join(out), np.uint8)
+@cache
+def widths(size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The widths of the first n codes after a clear code, and the bits before each and behind the last."""
+    last = (1 << size) + 1 + np.arange(n)
+    out = np.clip(np.floor(np.log2(last)).astype(np.int64) + 1, size + 1, 12)
+    out[:1] = size + 1
+    return out, np.concatenate(([0], np.cumsum(out)))
 
 
 def lzw_encode(samples: bytes, size: int = 8) -> bytes:
-    """A compressed code stream of samples below 1 << size."""
+    """A compressed code stream of samples below 1 << size. A full dictionary is cleared."""
     clear, end = 1 << size, (1 << size) + 1
-    table: dict[tuple[int, int], int] = {}
-    width, free, value, bits, out = size + 1, end + 1, clear, size + 1, bytearray()
-    prefix = -1
-
-    def put(code: int) -> None:
-        nonlocal value, bits
-        value |= code << bits
-        bits += width
-        while bits >= 8:
-            out.append(value & 255)
-            value >>= 8
-            bits -= 8
-
-    for s in samples:
-        if prefix < 0:
-            prefix = s
-        elif (found := table.get((prefix, s))) is not None:
+    codes, runs = [clear], []  # runs: numbers of codes that share a dictionary, the clear code at their end included
+    put, free = codes.append, end + 1
+    table: dict[int, int] = {}
+    get, begun = table.get, 1
+    left = iter(samples)
+    prefix = next(left, None)
+    for s in left:
+        key = prefix << 8 | s
+        found = get(key)
+        if found is not None:
             prefix = found
+            continue
+        put(prefix)
+        if free < 4096:
+            table[key] = free
+            free += 1
         else:
-            put(prefix)
-            if free < 4096:
-                table[prefix, s] = free
-                if free == 1 << width and width < 12:
-                    width += 1
-                free += 1
-            else:
-                put(clear)
-                table, width, free = {}, size + 1, end + 1
-            prefix = s
-    if prefix >= 0:
+            put(clear)
+            runs.append(len(codes) - begun)
+            begun, free = len(codes), end + 1
+            table.clear()
+        prefix = s
+    if prefix is not None:
         put(prefix)
-        if free == 1 << width and width < 12:
-            width += 1
     put(end)
-    if bits:
-        out.append(value & 255)
-    return bytes(out)
+    runs.append(len(codes) - begun)
+    of, _ = widths(size, 4096)
+    wide = np.concatenate(([size + 1], *(of[:n] for n in runs)))
+    bits = np.array(codes, np.uint16)[:, None] >> _BITS & 1
+    return np.packbits(bits.astype(np.uint8)[wide[:, None] > _BITS], bitorder="little").tobytes()
+
+
+_BITS = np.arange(12, dtype=np.uint16)
+
+
+def lzw_decode(data: bytes, size: int, most: int | None = None) -> np.ndarray:
+    """The samples of a code stream whose literals have size bits; no more than about most are decoded."""
+    if not 1 <= size <= 11:
+        raise GifError(f"code size {size}")
+    clear, end = 1 << size, (1 << size) + 1
+    first = [bytes((i & 255,)) for i in range(clear)] + [b"", b""]
+    raw, total = np.frombuffer(data + b"\0\0\0", np.uint8), len(data) * 8
+    _, before = widths(size, 4096)
+    out: list[bytes] = []
+    at = done = length = 0  # bits read; codes since the last clear code; samples
+    table, last = list(first), None
+    while most is None or length < most:
+        # As many codes as share the dictionary's growth. Their places follow from their number alone.
+        place = at + (before[done:] - before[done] if done < 4096 else 12 * np.arange(4097))
+        place = place[: int(np.searchsorted(place, total, side="right"))]
+        if len(place) < 2:
+            break
+        where = place[:-1]
+        byte = where >> 3
+        value = raw[byte].astype(np.int32) | raw[byte + 1].astype(np.int32) << 8 | raw[byte + 2].astype(np.int32) << 16
+        codes = value >> (where & 7) & ((1 << np.diff(place)) - 1)
+        stop = np.flatnonzero((codes == clear) | (codes == end))
+        n = int(stop[0]) if len(stop) else len(codes)
+        begun, last = len(out), _expand(codes[:n].tolist(), table, last, out)
+        length += sum(map(len, out[begun:]))
+        at, done = int(place[n]), done + n
+        if len(stop):
+            if codes[n] == end:
+                break
+            at, done, table, last = int(place[n + 1]), 0, list(first), None
+    return np.frombuffer(b"".join(out), np.uint8)
+
+
+def _expand(codes: list[int], table: list[bytes], last: bytes | None, out: list[bytes]) -> bytes | None:
+    """Appends the entries of codes to out, and the entries that they make to the table."""
+    size = len(table)
+    put, grow = out.append, table.append
+    for code in codes:
+        if code < size:
+            entry = table[code]
+            if last is not None and size < 4096:
+                grow(last + entry[:1])
+                size += 1
+        elif code == size and last is not None and size < 4096:
+            entry = last + last[:1]
+            grow(entry)
+            size += 1
+        else:
+            raise GifError("a code comes before its entry")
+        put(entry)
+        last = entry
+    return last
 
 
 # --- The container -----------------------------------------------------------------------
@@ -191,15 +173,8 @@ class Frame:
     disposal: int = 0
     transparent: int = -1
 
-    def histogram(self, channel: int) -> np.ndarray:
-        """Pixels that the frame paints, by BINS ranges of a channel."""
-        counts = np.bincount(self.indices.ravel(), minlength=256)
-        if self.transparent >= 0:
-            counts[self.transparent] = 0
-        return np.bincount(self.palette[:, channel] // (256 // BINS), weights=counts[: len(self.palette)], minlength=BINS).astype(np.int64)
-
 
-def encode(frames: list[Frame], width: int, height: int, compress: bool = False) -> bytes:
+def encode(frames: list[Frame], width: int, height: int) -> bytes:
     """A GIF of frames with 256 colours each; the first frame's palette is the global one."""
     first = frames[0].palette
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), first.tobytes()]
@@ -208,22 +183,24 @@ def encode(frames: list[Frame], width: int, height: int, compress: bool = False)
         local = b"" if np.array_equal(f.palette, first) else f.palette.tobytes()
         out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, f.disposal << 2 | (f.transparent >= 0), f.delay, max(f.transparent, 0), 0))
         out.append(struct.pack("<BHHHHB", 0x2C, f.left, f.top, w, h, 0x87 if local else 0) + local + b"\x08")
-        out.append(_blocks(lzw_encode(f.indices.tobytes()) if compress else lzw_literals(f.indices.ravel())))
+        out.append(_blocks(lzw_encode(f.indices.tobytes())))
     return b"".join([*out, b"\x3b"])
 
 
-def read(data: bytes) -> tuple[int, int, list[Frame]]:
+def read(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, list[Frame]]:
     """Width, height and frames."""
     try:
-        return _read(data)
+        return _read(data, most_pixels)
     except (struct.error, IndexError, ValueError) as e:
         raise e if isinstance(e, GifError) else GifError(str(e)) from e
 
 
-def _read(data: bytes) -> tuple[int, int, list[Frame]]:
+def _read(data: bytes, most_pixels: int) -> tuple[int, int, list[Frame]]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("no GIF signature")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > most_pixels:
+        raise GifError(f"a canvas of {width} x {height} pixels")
     at, common = 13, None
 
     def colours(flags: int) -> np.ndarray | None:
@@ -254,9 +231,11 @@ def _read(data: bytes) -> tuple[int, int, list[Frame]]:
             palette = common if palette is None else palette
             if palette is None:
                 raise GifError("no palette")
+            if w * h > most_pixels:
+                raise GifError(f"a frame of {w} x {h} pixels")
             size = data[at]
             body, at = _unblock(data, at + 1)
-            samples = lzw_decode(body, size)[: w * h]
+            samples = lzw_decode(body, size, w * h)[: w * h]
             if len(samples) < w * h:
                 raise GifError("too few samples")
             if samples.max(initial=0) >= len(palette):
@@ -276,15 +255,21 @@ def _read(data: bytes) -> tuple[int, int, list[Frame]]:
 def canvases(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
     """The canvas (height, width, RGBA) as each frame shows it."""
     canvas = np.zeros((height, width, 4), np.uint8)
-    for f in frames:
+    for i, f in enumerate(frames):
         h, w = f.indices.shape
         at = (slice(f.top, min(f.top + h, height)), slice(f.left, min(f.left + w, width)))
         before = canvas[at].copy() if f.disposal in (2, 3) else None
         indices = f.indices[: max(0, height - f.top), : max(0, width - f.left)]
-        painted = indices != f.transparent
-        area = canvas[at]
-        area[painted, :3] = f.palette[indices[painted]]
-        area[painted, 3] = 255
+        area, colours = canvas[at], np.full((max(256, len(f.palette)), 4), 255, np.uint8)
+        colours[: len(f.palette), :3] = f.palette
+        if f.transparent < 0:
+            area[:] = colours[indices]
+        else:
+            painted = indices != f.transparent
+            area[painted] = colours[indices[painted]]
+        if i + 1 == len(frames):
+            yield canvas
+            return
         yield canvas.copy()
         if f.disposal == 2:
             canvas[at] = 0
@@ -295,7 +280,7 @@ def canvases(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarra
 # --- Operators ---------------------------------------------------------------------------
 
 
-def frames(media: DataFrame, id_col: str = "media_id", data_col: str = "data") -> DataFrame:
+def frames(media: DataFrame, id_col: str = "media_id", data_col: str = "data", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """One row for each frame as shown: its time, size, rule, RGBA pixels and colour histograms.
 
     Columns: id, frame, start_ms, delay_ms, width, height, disposal, rgba, red, green, blue
@@ -309,55 +294,68 @@ def frames(media: DataFrame, id_col: str = "media_id", data_col: str = "data") -
         for batch in batches:
             kinds = [batch.schema.field("id").type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.string()]
             for key, data in zip(batch.column("id").to_pylist(), batch.column("data"), strict=True):
-                rows, now = [], 0
-                if data.is_valid:
-                    try:
-                        w, h, found = read(data.as_py())
-                        for i, (f, canvas) in enumerate(zip(found, canvases(w, h, found), strict=True)):
-                            seen = canvas[canvas[:, :, 3] > 0]
-                            bins = [np.bincount(seen[:, c] // (256 // BINS), minlength=BINS).tolist() for c in range(3)]
-                            rows.append((key, i, now, f.delay * 10, w, h, f.disposal, canvas.tobytes(), *bins, None))
-                            now += f.delay * 10
-                    except GifError as e:
-                        rows = [(key, *[None] * 10, str(e))]
-                if rows:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    small_batches(media.sparkSession)
-    return m.mapInArrow(run, schema)
-
-
-def store_payload(payload: bytes, width: int = 64, compress: bool = False) -> bytes:
+                if not data.is_valid:
+                    continue
+                try:
+                    w, h, found = read(data.as_py(), most_pixels)
+                except GifError as e:
+                    yield pa.record_batch([pa.array([c], k) for c, k in zip((key, *[None] * 10, str(e)), kinds, strict=True)], names)
+                    continue
+                now = 0
+                for i, (f, canvas) in enumerate(zip(found, canvases(w, h, found), strict=True)):
+                    row = (key, i, now, f.delay * 10, w, h, f.disposal, canvas.tobytes(), *(b.tolist() for b in histograms(canvas)), None)
+                    now += f.delay * 10
+                    yield pa.record_batch([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], names)  # a frame at a time
+
+    return mapped(m, run, schema)
+
+
+def histograms(canvas: np.ndarray) -> list[np.ndarray]:
+    """Painted pixels by BINS ranges of red, green and blue."""
+    painted = canvas.reshape(-1, 4)
+    if not painted[:, 3].all():
+        painted = painted[painted[:, 3] > 0]
+    return [np.bincount(painted[:, c] // (256 // BINS), minlength=BINS) for c in range(3)]
+
+
+def store_payload(payload: bytes, width: int = 64) -> bytes:
     """Bytes (a multiple of width) as grey samples, in frames of at most 65,535 rows."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, width)
     parts = [samples[i : i + 65_535] for i in range(0, len(samples), 65_535)]
-    return encode([Frame(0, 0, p, GREY, delay=10) for p in parts], width, len(parts[0]), compress)
+    return encode([Frame(0, 0, p, GREY, delay=10) for p in parts], width, len(parts[0]))
 
 
-def read_payload(data: bytes) -> tuple[bytes, list[Frame]]:
-    """The samples of all frames, through their palettes."""
-    _, _, found = read(data)
-    return b"".join(f.palette[:, 0][f.indices].tobytes() for f in found), found
+def read_payload(data: bytes) -> tuple[bytes, list[tuple[int, int, list[np.ndarray]]]]:
+    """The bytes that the frames show on the canvas, one after the other; start, delay and histograms of each frame."""
+    width, height, found = read(data)
+    parts, told, now = [], [], 0
+    for f, canvas in zip(found, canvases(width, height, found), strict=True):
+        h, w = f.indices.shape
+        parts.append(canvas[f.top : f.top + h, f.left : f.left + w, 0].tobytes())
+        told.append((now, f.delay * 10, histograms(canvas)))
+        now += f.delay * 10
+    return b"".join(parts), told
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64) -> DataFrame:
-    """Each whole text stored as a GIF and read back: doc_id, sizes, digests and the histogram feature."""
+    """Each whole text stored as a GIF and read back: doc_id, sizes, digests and the feature.
+
+    The feature lists each frame as shown: its start and delay, and its histograms of red, green and blue.
+    """
     d = pick(docs, doc_id=id_col, text=text_col)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for text in texts_of(batch):
                 raw = text.encode()
                 media = store_payload(raw + bytes(-len(raw) % width or (0 if raw else width)), width)
                 payload, found = read_payload(media)
-                bins = sum(f.histogram(0) for f in found)
-                feature = f"frames={len(found)};grey=" + ",".join(map(str, bins))
+                feature = ";".join(f"{start}+{delay}ms " + " ".join(f"{name}=" + ",".join(map(str, b)) for name, b in zip("rgb", bins, strict=True)) for start, delay, bins in found)
                 rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    small_batches(docs.sparkSession)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return mapped(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -10,6 +10,9 @@ remaining tokens become sequences of powers of two, which need no padding.
 Sequence ids hold the task's partition in their upper bits. They depend on how the input is
 split into partitions; a task that runs again makes the same ones.
 
+Ids are those of the library's encode() with add_special_tokens=False and nothing else set: a
+text that spells a special token, such as <|endoftext|>, gets that token's id.
+
 Defined results: a null text is empty and has the end id alone; repeated rows are documents
 of their own; an empty table gives an empty result; other columns are not read.
 """
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import pick, small_batches
+from .common import mapped, pick, slices
 from .tokens import WordEncoder, encoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -124,13 +127,13 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(WordEncoder, vocabulary)
         packer = Packer(TaskContext.get().partitionId() << 32, capacity, group_tokens, linear, quadratic)
-        end, kind = np.array([end_id], "<u2"), None
+        end, kind = np.array([end_id], "<u2"), None  # ids below 65,536 take 16 bits each
 
         def rows(pieces: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*pieces, strict=True))
             return pa.record_batch([pa.array(c, kind if k == 0 else pa.int64()) for k, c in enumerate(columns)], names)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, size=2_000_000)):
             kind = batch.schema.field("doc_id").type
             pieces = [p for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True) for p in packer.add(doc, np.concatenate((ids, end)))]
             packer.items = [(doc, ids.copy(), *rest) for doc, ids, *rest in packer.items]  # so that the batch can go
@@ -139,5 +142,4 @@ def pack(
         if pieces := list(packer.finish()):
             yield rows(pieces)
 
-    small_batches(docs.sparkSession)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return mapped(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

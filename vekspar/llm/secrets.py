@@ -8,6 +8,9 @@ for what was last assigned to them, so a literal kept in a plain constant is fou
 sensitive name takes it. A literal's score adds what the target's name says and how random the
 literal looks; placeholders, references and prose score nothing.
 
+The time is in proportion to the length of the text: values that start within one run of
+characters share its end, and each character of it counts once.
+
 Spans are code points of the whole text, the end exclusive. Kinds in order: assign, access,
 hex (the base patterns), named (the lexer's, the literal alone, unless a base span covers it).
 
@@ -20,15 +23,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, small_batches, texts_of
+from .common import mapped, pick, small_batches, texts_of
 
 KINDS = ("assign", "access", "hex", "named")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -42,19 +47,20 @@ _NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,80}+"
 _BLANK = r"[\x20\t]"
 #: Subscripts and attributes behind a name.
-_PATH = rf"""(?:\[{_BLANK}*(?:"[^"\]\n]{{0,80}}"|'[^'\]\n]{{0,80}}'|[A-Za-z0-9_.-]{{1,80}}){_BLANK}*\]|(?:\?\.|\.|->|::){_NAME})*+"""
-_TYPE_NAME = r"[&*]?[A-Za-z_][A-Za-z0-9_.:]*+(?:\[[^\]\n=]{0,80}\]|<[^\n=>]{0,80}>)*\??"
+_PATH = rf"""(?:\[{_BLANK}*(?:"[^"\]\n]{{0,80}}"|'[^'\]\n]{{0,80}}'|[A-Za-z0-9_.-]{{1,80}}){_BLANK}*\]|(?:\?\.|\.|->|::){_NAME}){{0,16}}+"""
+_TYPE_NAME = r"[&*]?[A-Za-z_][A-Za-z0-9_.:]{0,80}+(?:\[[^\]\n=]{0,80}\]|<[^\n=>]{0,80}>)*\??"
 #: A type between a colon and the sign; the sign stands apart or before a quote, as a bare value may end in '='.
-_TYPE = rf""":{_BLANK}*{_TYPE_NAME}(?:{_BLANK}*\|{_BLANK}*{_TYPE_NAME})*(?:{_BLANK}+=(?![=>~])|=(?=["'`]))(?={_BLANK}*[^\x20\t\n])"""
+_TYPE = rf""":{_BLANK}*{_TYPE_NAME}(?:{_BLANK}*\|{_BLANK}*{_TYPE_NAME}){{0,16}}(?:{_BLANK}+=(?![=>~])|=(?=["'`]))(?={_BLANK}*[^\x20\t\n])"""
 #: A name with an assignment sign, as keys of mappings and subscripts too, or 'set name'; the expression is read from there.
 _PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])(?P<set>(?ai:set){_BLANK}+(?:--?[A-Za-z]+{_BLANK}+)*)?(?:["'](?P<quoted>{_NAME})["'](?:{_BLANK}*\])*|(?P<plain>{_NAME}{_PATH}))(?:[?!]?{_BLANK}*(?:{_TYPE}|:=|=>|=(?!=)|:(?![:/]))|{_BLANK}+(?:is|to)(?={_BLANK}["'])|(?(set){_BLANK}+(?=["'`A-Za-z0-9+/_$])|(?!))){_BLANK}*""")
-_TERM = re.compile(rf"""(?P<quote>["'`])(?P<literal>(?:(?!(?P=quote))[^\\\n]|\\.)*)(?P=quote)|(?P<bare>[A-Za-z0-9+/_=@#$%^&*!~.-]+)""")
+_QUOTED = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+") for q in "\"'`"}
+_BARE = re.compile(r"[A-Za-z0-9+/_=@#$%^&*!~.-]+")
 _JOIN = re.compile(r"[\x20\t]*(?:\+|\.(?=[\x20\t]|[\"'`]))[\x20\t]*")
 _IDENTIFIER = re.compile(_NAME).fullmatch
 #: Placeholders: words (none longer than EDGE), and what stands between an opening and a closing sign.
 _PLACEHOLDER = re.compile(r"(?ai:change_?me|example|placeholder|your[_-]|dummy|xxx|\*\*\*|\.\.\.|none|null|true|false|todo)")
 _BRACKETS = (("<", ">"), ("${", "}"), ("%(", ")"), ("{{", "}}"))
-EDGE = 16
+EDGE, LONGEST_NAME = 16, 81
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -83,38 +89,87 @@ def may_name(text: str) -> bool:
 class Value:
     """What a name stands for: a term, or joined values, with all that its score needs.
 
-    Joined values keep their parts instead of their text, so a value that feeds on itself
-    stays small and nothing of it is forgotten.
+    A term knows its place alone until its score is asked for. Joined values keep their parts
+    instead of their text, so a value that feeds on itself stays small and nothing of it is
+    forgotten.
     """
 
-    __slots__ = ("closed", "counts", "head", "opened", "parts", "placeholder", "quoted", "size", "span", "tail")
+    __slots__ = ("_known", "parts", "quoted", "run", "span", "text")
 
-    def __init__(self, text: str = "", span: tuple[int, int] = (0, 0), quoted: bool = True) -> None:
+    def __init__(self, text: str, span: tuple[int, int] | None = None, quoted: bool = True, run: Run | None = None) -> None:
+        self.text, self.span, self.quoted, self.run = text, span or (0, len(text)), quoted, run
         self.parts: tuple[Value, ...] = ()
-        self.span, self.quoted, self.size, self.counts = span, quoted, len(text), Counter(text)
-        self.head, self.tail = text[:EDGE], text[-EDGE:]
-        self.opened, self.closed = [a in text for a, _ in _BRACKETS], [b in text for _, b in _BRACKETS]
-        self.placeholder = bool(_PLACEHOLDER.search(text)) or any(0 <= text.find(a) < text.rfind(b) for a, b in _BRACKETS)
+        self._known: Facts | None = None
 
     @classmethod
     def join(cls, parts: list[Value]) -> Value:
         if len(parts) == 1:
             return parts[0]
-        out = cls()
+        out = cls("", (0, 0), all(p.quoted for p in parts))
         out.parts = tuple(parts)
-        for p in parts:
-            seam = out.tail + p.head
-            cut = len(out.tail)
-            opens = [a in seam[max(0, cut - 1) : cut + 1] and len(a) > 1 for a, _ in _BRACKETS]
-            closes = [b in seam[max(0, cut - 1) : cut + 1] and len(b) > 1 for _, b in _BRACKETS]
-            out.placeholder |= p.placeholder or bool(_PLACEHOLDER.search(seam)) or any((a or s) and (b or t) for a, s, b, t in zip(out.opened, opens, p.closed, closes, strict=True))
-            out.opened = [a or b or c for a, b, c in zip(out.opened, p.opened, opens, strict=True)]
-            out.closed = [a or b or c for a, b, c in zip(out.closed, p.closed, closes, strict=True)]
-            out.head, out.tail = (out.head + p.head)[:EDGE] if out.size < EDGE else out.head, (out.tail + p.tail)[-EDGE:] if p.size < EDGE else p.tail
-            out.quoted, out.size = out.quoted and p.quoted, out.size + p.size
-            out.counts.update(p.counts)
         return out
 
+    @property
+    def facts(self) -> Facts:
+        """Of the term or of all parts; those of parts come first, without recursion."""
+        open_ = [self]
+        while open_:
+            v = open_[-1]
+            missing = [p for p in v.parts if p._known is None]
+            if v._known is None and missing:
+                open_ += missing
+                continue
+            open_.pop()
+            if v._known is None:
+                if v.parts:
+                    v._known = Facts()
+                    for p in v.parts:
+                        v._known.add(p._known)
+                else:
+                    v._known = v.run.facts(v.span[0]) if v.run else Facts.of(v.text[v.span[0] : v.span[1]])
+        return self._known
+
+    def score(self, quoted: bool) -> float:
+        return self.facts.score(quoted)
+
+    @property
+    def placeholder(self) -> bool:
+        return self.facts.placeholder
+
+    @property
+    def size(self) -> int:
+        return self.facts.size
+
+
+class Facts:
+    """What a score needs to know of a text."""
+
+    __slots__ = ("closed", "counts", "head", "opened", "placeholder", "size", "tail")
+
+    def __init__(self) -> None:
+        self.size, self.counts, self.head, self.tail, self.placeholder = 0, Counter(), "", "", False
+        self.opened, self.closed = [False] * len(_BRACKETS), [False] * len(_BRACKETS)
+
+    @classmethod
+    def of(cls, text: str) -> Facts:
+        out = cls()
+        out.size, out.counts, out.head, out.tail = len(text), Counter(text), text[:EDGE], text[-EDGE:]
+        out.opened, out.closed = [a in text for a, _ in _BRACKETS], [b in text for _, b in _BRACKETS]
+        out.placeholder = bool(_PLACEHOLDER.search(text)) or any(0 <= text.find(a) < text.rfind(b) for a, b in _BRACKETS)
+        return out
+
+    def add(self, p: Facts) -> None:
+        """The facts of the text followed by another one."""
+        seam, cut = self.tail + p.head, len(self.tail)
+        opens = [a in seam[max(0, cut - 1) : cut + 1] and len(a) > 1 for a, _ in _BRACKETS]
+        closes = [b in seam[max(0, cut - 1) : cut + 1] and len(b) > 1 for _, b in _BRACKETS]
+        self.placeholder |= p.placeholder or bool(_PLACEHOLDER.search(seam)) or any((a or s) and (b or t) for a, s, b, t in zip(self.opened, opens, p.closed, closes, strict=True))
+        self.opened = [a or b or c for a, b, c in zip(self.opened, p.opened, opens, strict=True)]
+        self.closed = [a or b or c for a, b, c in zip(self.closed, p.closed, closes, strict=True)]
+        self.head, self.tail = (self.head + p.head)[:EDGE] if self.size < EDGE else self.head, (self.tail + p.tail)[-EDGE:] if p.size < EDGE else p.tail
+        self.size += p.size
+        self.counts.update(p.counts)
+
     def score(self, quoted: bool) -> float:
         """How much it looks like a secret: length, kinds of characters and entropy."""
         if self.size < 8 or " " in self.counts or self.placeholder:
@@ -126,40 +181,88 @@ class Value:
         return (classes - 1) * 0.75 + max(0.0, entropy - 2.5) + 0.5 * quoted
 
 
-def literal_score(value: str, quoted: bool) -> float:
-    return Value(value).score(quoted)
+class Run:
+    """A run of characters of bare values. Several values may start in it; all of them reach to its end.
+
+    Their facts are made from the end of the run on, so each character counts once.
+    """
 
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.start, self.end = text, start, end
+        self.starts: list[int] = []
+        self.made: dict[int, Facts] | None = None
 
-def _expression(text: str, at: int) -> tuple[list[tuple[str, int, int, bool]], int]:
-    """Terms (text, start, end, quoted) joined from at on, and the end."""
-    terms = []
-    while m := _TERM.match(text, at):
-        quoted = m["quote"] is not None
-        group = "literal" if quoted else "bare"
-        terms.append((m[group], m.start(group), m.end(group), quoted))
-        at = m.end()
-        joined = _JOIN.match(text, at)
-        if not joined:
-            break
-        at = joined.end()
-    return terms, at
+    def facts(self, at: int) -> Facts:
+        if self.made is None or at not in self.made:
+            self.made, upto, behind = {}, self.end, Facts()
+            for start in sorted(set(self.starts), reverse=True):
+                own = Facts.of(self.text[start:upto])
+                own.add(behind)
+                self.made[start], upto, behind = own, start, own
+        return self.made[at]
+
+
+def literal_score(value: str, quoted: bool) -> float:
+    return Value(value, quoted=quoted).score(quoted)
+
+
+class Lexer:
+    """Terms of the expressions of a text; each place of it is scanned a bounded number of times."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.run: Run | None = None
+        self.unclosed = {q: -1 for q in _QUOTED}  # where a line ends in which a quote isn't closed
+
+    def term(self, at: int) -> tuple[Value, int] | None:
+        """The term at a place, and where it ends."""
+        text = self.text
+        quote = text[at : at + 1]
+        if quote in _QUOTED and quote:
+            if at < self.unclosed[quote]:
+                return None
+            end = _QUOTED[quote].match(text, at + 1).end()
+            if text[end : end + 1] == quote:
+                return Value(text, (at + 1, end)), end + 1
+            self.unclosed[quote] = end
+            return None
+        if self.run is None or not self.run.start <= at < self.run.end:
+            m = _BARE.match(text, at)
+            if not m:
+                return None
+            self.run = Run(text, at, m.end())
+        self.run.starts.append(at)
+        return Value(text, (at, self.run.end), False, self.run), self.run.end
+
+    def expression(self, at: int) -> list[Value]:
+        """The terms joined from a place on."""
+        terms = []
+        while found := self.term(at):
+            terms.append(found[0])
+            joined = _JOIN.match(self.text, found[1])
+            if not joined:
+                break
+            at = joined.end()
+        return terms
 
 
 def named_spans(text: str, threshold: float = 4.0) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name with enough score."""
     if not may_name(text):
         return []
+    # Names first: by then every start in a run is known before a score is asked for.
+    lexer, pairs = Lexer(text), []
+    for m in _PAIR.finditer(text):
+        if terms := lexer.expression(m.end()):
+            pairs.append((m["quoted"] or m["plain"], terms))
     constants: dict[str, Value] = {}
     found, told, keep = set(), set(), []  # told: ids of the values in keep
-    for m in _PAIR.finditer(text):
-        name = m["quoted"] or m["plain"]
-        terms, _ = _expression(text, m.end())
-        if not terms:
-            continue
+    for name, terms in pairs:
         parts = []
-        for literal, start, end, quoted in terms:
-            known = constants.get(literal) if not quoted and _IDENTIFIER(literal) else None
-            parts.append(known if known is not None else Value(literal, (start, end), quoted))
+        for term in terms:
+            a, b = term.span
+            known = constants.get(text[a:b]) if not term.quoted and b - a <= LONGEST_NAME and _IDENTIFIER(text, a, b) else None
+            parts.append(known if known is not None else term)
         value = constants[name] = Value.join(parts)
         weight = name_score(name)
         if weight and weight + value.score(value.quoted) >= threshold and value.score(False) > 0:
@@ -170,7 +273,7 @@ def named_spans(text: str, threshold: float = 4.0) -> list[tuple[int, int]]:
                     told.add(id(v))
                     keep.append(v)
                     open_ += v.parts
-                    if v.span[1] > v.span[0]:
+                    if not v.parts and v.span[1] > v.span[0]:
                         found.add(v.span)
     return sorted(found)
 
@@ -178,7 +281,12 @@ def named_spans(text: str, threshold: float = 4.0) -> list[tuple[int, int]]:
 def spans(text: str, threshold: float = 4.0) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans, sorted."""
     base = base_spans(text)
-    extra = [(a, 3, b) for a, b in named_spans(text, threshold) if not any(s <= a and b <= e for s, _, e in base)]
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))  # how far the spans up to each one go
+    extra = []
+    for a, b in named_spans(text, threshold):
+        before = bisect_right(starts, a)
+        if not before or reach[before - 1] < b:
+            extra.append((a, 3, b))
     return sorted(base + extra)
 
 
@@ -202,9 +310,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    small_batches(docs.sparkSession)
     d = pick(docs, doc_id=id_col, text=text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_named long")
+    return mapped(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_named long")
 
 
 def redacted(text: str, mark: str = "[secret]", threshold: float = 4.0) -> str:

@@ -3,7 +3,8 @@
 A text is cut at places that no pre-token crosses. Arrow splits the texts and numbers the
 distinct chunks of a batch, the pattern cuts those into pre-tokens, and the library's BPE
 model encodes each pre-token that the worker hasn't met yet. The ids of the texts are then
-gathered with numpy. The result is that of the library's encode(), without special tokens.
+gathered with numpy. The result is that of the library's encode() with
+add_special_tokens=False.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import run_lengths
 
 #: Stands between chunks that are cut in one go; texts that hold it are encoded alone.
 SEP = "\x00"
+#: Pre-tokens that a worker remembers, about 150 bytes each.
+REMEMBERED = 250_000
 SPACES = "\t-\r\x1c-\x20\x85\xa0  -     　"
 
 
@@ -45,9 +48,8 @@ def read_ranks(path: str) -> list[bytes]:
 class Encoder:
     """Ids of texts. At most limit pre-tokens are remembered; the first ones, so the frequent ones, stay."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, pattern: str, limit: int = REMEMBERED) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.limit = self.tokenizer.model, limit
         self.cut = regex.compile(SEP + "|" + pattern).findall
         self.known: dict[str, bytes] = {}
@@ -135,23 +137,30 @@ class ByteEncoder(Encoder):
     def whole(self, text: str) -> bytes:
         return b"".join(b"".join(map(self.piece, self.pattern(text))) for text in [text])
 
-    def __init__(self, path: str, pattern: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, pattern: str, limit: int = REMEMBERED) -> None:
         super().__init__(path, pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{L}}\p{{N}}{SEP}]"), limit)
         self.pattern = regex.compile(pattern).findall
 
 
 class WordEncoder(Encoder):
-    """Lower-casing BPE with word ends: white space only separates."""
+    """Lower-casing BPE with word ends: white space only separates.
+
+    special: whether a text that spells a special token gets that token's id, as encode() does
+    unless it is told not to; such texts are encoded alone.
+    """
 
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}" + SEP + "]+"
     #: Characters that the normalizer only lower-cases, as Python does.
     simple = regex.compile(r"[\x01-\x7e\xa1-ɏ]*").fullmatch
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = REMEMBERED, special: bool = True) -> None:
         super().__init__(path, self.pattern, limit)
+        self.tokenizer.encode_special_tokens = not special
+        spelled = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.odd = "|".join([SEP, *spelled])
 
     def alone(self, texts: pa.Array) -> pa.Array:
-        return pc.match_substring(texts, SEP)
+        return pc.match_substring_regex(texts, self.odd, ignore_case=True)
 
     def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, bool]:
         parts = pc.ascii_split_whitespace(texts)
