@@ -1,14 +1,19 @@
 """Language ID with language-bitmask n-gram filters.
 
-For each n-gram that is typical of one or more languages, the bits of these languages are set
-in the slots of a bit-sliced Bloom filter: one look-up returns all languages that (may) hold
-the n-gram. A text's n-grams are looked up, the languages counted by bit, the counts corrected
-for each language's false-positive rate, and the largest corrected share decides.
+For each n-gram that occurs in the lessons of one or more languages, the bits of all these
+languages are set in the slots of a bit-sliced Bloom filter: one look-up returns all languages
+that (may) hold the n-gram. A text's n-grams are looked up, the languages counted by bit, the
+counts corrected for each language's false-positive rate, and the largest corrected share
+decides. N-grams that all languages hold count for all of them alike.
 
 N-grams are taken from words in lower case, with one boundary on either side; runs of
-characters that are no letters only separate. The filter is fitted on a bounded sample of
-labelled rows: at most `rows_per_language` of each language, chosen by a hash of the id, of
-which the `grams_per_language` most frequent typical n-grams are kept. Predictions read whole
+characters that are no letters only separate. So a text's counts are sums over its words, and
+a slice of texts looks each different word up once.
+
+The filter is fitted on a bounded sample of labelled rows: of each of the `most_languages`
+languages with most rows, the `rows_per_language` different rows with the smallest hashes. All
+n-grams of these rows are in the filter; its planes are made in parallel and have `most_bytes`
+together at most (more n-grams raise the rates that are corrected for). Predictions read whole
 texts and nothing but the text.
 
 Defined results: `und`, with score 0, if the text is null or has no letter, or if nothing was
@@ -20,7 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +32,29 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, plain_names, slices, small_batches
+from .common import Scratch, mapped, pick, plain_names, slices
 
 U = np.uint64
+#: Lengths of n-grams.
 ORDERS = (1, 2, 3, 4)
 
 
-@cache
-def _letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-
-
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of the texts, and the text that each is from."""
-    low = pc.utf8_lower(pc.fill_null(texts, "")).to_pylist()
-    raw = np.frombuffer("\n".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter(map(len, low), np.int64, len(low)) + 1
-    text = np.concatenate(([0], np.repeat(np.arange(len(low)), sizes)))
-    letter = _letters()[raw]
-    # One boundary between words: a separator stays only after a letter or before one.
-    code = np.where(letter, raw, 0).astype(U)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[0] = True
-    code, text, letter = code[keep], text[keep], letter[keep]
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (runs of letters, in lower case) of all texts, and where each text's begin (and the last one's end)."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\PL+")
+    values, bounds = parts.flatten(), np.array(parts.offsets, dtype=np.int64) - parts.offsets[0].as_py()
+    real = np.asarray(pc.greater(pc.binary_length(values), 0))
+    if not real.all():
+        bounds = np.concatenate(([0], np.cumsum(real)))[bounds]
+        values = values.filter(pa.array(real))
+    return values, bounds
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of words, boundaries included, and the word that each is from."""
+    code = np.frombuffer("\0".join(["", *words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    letter = code > 0
+    owner = np.cumsum(~letter) - 1  # of a letter and of the boundary before it
     hashes, owners = [], []
     h = np.zeros(len(code), U)
     inner = np.ones(len(code), bool)  # no boundary strictly inside
@@ -64,55 +67,57 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         inner = inner[:m] & letter[n - 2 : n - 2 + m] if n > 2 else inner[:m]
         if n in ORDERS:
             # A boundary may open or close it, but not make it up alone.
-            real = inner & (letter[:m] | letter[n - 1 :]) if n > 1 else letter[:m]
+            real = inner if n > 2 else letter[:m] | letter[n - 1 :]
             hashes.append(h[real] * U(0xD6E8FEB86659FD93) + U(n))
-            at = np.flatnonzero(real)
-            owners.append(text[at + ~letter[at]])
-    return (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.zeros(0, U), np.zeros(0, np.int64))
+            owners.append(owner[:m][real])
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
+def places(g: np.ndarray, size: int, hashes: int) -> list[np.ndarray]:
+    """The slots of n-grams."""
+    step = (g >> U(32)) | U(1)
+    return [((g + U(i) * step) & U(size - 1)).astype(np.int64) for i in range(hashes)]
 
 
 @dataclass
 class Filter:
     languages: list[str]
     slots: np.ndarray  # (slices of 64 languages, slots)
-    rates: np.ndarray  # of false positives, by language
     hashes: int = 3
 
-    @classmethod
-    def build(cls, languages: list[str], entries: list[tuple[int, int]], hashes: int = 3) -> Filter:
-        """entries: (n-gram, index of a language)."""
-        size = 1 << max(12, (max(1, len({g for g, _ in entries})) * 16 - 1).bit_length())
-        slots = np.zeros((max(1, -(-len(languages) // 64)), size), U)
-        for l in range(len(languages)):
-            g = np.array([g for g, i in entries if i == l], np.int64).view(U)
-            for at in cls._at(g, size, hashes):
-                slots[l // 64, at] |= U(1 << l % 64)
-        fill = np.array([((slots[l // 64] >> U(l % 64)) & U(1)).mean() for l in range(len(languages))])
-        return cls(languages, slots, fill**hashes, hashes)
-
-    @staticmethod
-    def _at(g: np.ndarray, size: int, hashes: int) -> list[np.ndarray]:
-        step = (g >> U(32)) | U(1)
-        return [((g + U(i) * step) & U(size - 1)).astype(np.int64) for i in range(hashes)]
+    def __post_init__(self) -> None:
+        fill = np.array([((self.slots[l // 64] >> U(l % 64)) & U(1)).mean() for l in range(len(self.languages))])
+        self.rates = fill**self.hashes  # of false positives, by language
 
     def masks(self, g: np.ndarray) -> np.ndarray:
-        """The languages that hold each n-gram, 64 to a slice."""
+        """All languages that hold each n-gram, 64 to a slice."""
         found = None
-        for at in self._at(g, self.slots.shape[1], self.hashes):
+        for at in places(g, self.slots.shape[1], self.hashes):
             found = self.slots[:, at] if found is None else found & self.slots[:, at]
         return found
 
+    def counts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the n-grams that each language holds, and all of its n-grams."""
+        g, owner = grams(words)
+        masks = self.masks(g)
+        hits = np.empty((len(words), len(self.languages)))
+        for l in range(len(self.languages)):
+            hits[:, l] = np.bincount(owner, weights=(masks[l // 64] >> U(l % 64)) & U(1), minlength=len(words))
+        return hits, np.bincount(owner, minlength=len(words))
+
     def shares(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Corrected share of each language in the n-grams of each text, and the numbers of n-grams."""
-        g, owner = grams(texts)
-        masks, n = self.masks(g), np.bincount(owner, minlength=len(texts))[: len(texts)]
-        out = np.zeros((len(texts), len(self.languages)))
-        for l in range(len(self.languages)):
-            bit = (masks[l // 64] >> U(l % 64)) & U(1)
-            hits = np.bincount(owner, weights=bit, minlength=len(texts))[: len(texts)]
-            rate = self.rates[l]
-            out[:, l] = np.clip((hits / np.maximum(n, 1) - rate) / max(1e-9, 1 - rate), 0, 1)
-        return out, n
+        words, bounds = words_of(texts)
+        coded = words.dictionary_encode()
+        index, many = np.asarray(coded.indices), np.diff(bounds)
+        hits, n = self.counts(coded.dictionary.to_pylist())
+        text = np.repeat(np.arange(len(many)), many)
+        total = np.bincount(text, weights=n[index], minlength=len(many))
+        out = np.empty((len(many), len(self.languages)))
+        for l, rate in enumerate(self.rates):
+            share = np.bincount(text, weights=hits[:, l][index], minlength=len(many)) / np.maximum(total, 1)
+            out[:, l] = np.clip((share - rate) / max(1e-9, 1 - rate), 0, 1)
+        return out, total
 
 
 def held_out(doc_id: Column) -> Column:
@@ -120,33 +125,75 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1500, grams_per_language: int = 20_000, typical: float = 0.6) -> Filter:
-    """The filter from rows that learn (over column doc_id) marks and whose text and language are set."""
-    small_batches(docs.sparkSession, "6m")
+def lessons(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, rows_per_language: int, most_languages: int) -> DataFrame:
+    """Columns lang, text: the different rows with the smallest hashes of each language."""
     d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    usable = learn & F.col("text").isNotNull() & F.col("lang").isNotNull()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The ids alone are ranked; the bounded list is joined to the texts.
-    chosen = d.where(usable).select("lang", "doc_id").withColumn("i", F.row_number().over(order)).where(F.col("i") <= rows_per_language).select(F.col("doc_id").alias("chosen")).distinct()
-    sample = d.where(usable).join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").select("text", "lang")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, size=500_000)):
-            g, owner = grams(batch.column("text"))
-            coded = batch.column("lang").dictionary_encode()
-            of = np.asarray(coded.indices)[owner] if len(owner) else np.zeros(0, np.int64)
-            for i, lang in enumerate(coded.dictionary.to_pylist()):
-                hashed, n = np.unique(g[of == i], return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(hashed), pa.string()), pa.array(hashed.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "g", "n"])
-
-    counts = sample.mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    typed = counts.withColumn("share", share).withColumn("most", F.max("share").over(Window.partitionBy("g"))).where((F.col("n") > 1) & (F.col("share") >= typical * F.col("most")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))
-    rows = typed.withColumn("i", rank).where(F.col("i") <= grams_per_language).select("lang", "g").collect()  # at most grams_per_language for each language
-    languages = sorted({r.lang for r in rows})
-    index = {l: i for i, l in enumerate(languages)}
-    return Filter.build(languages, [(r.g, index[r.lang]) for r in rows])
+    usable = d.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
+    # Hashes alone are ranked; what passes the last one of its language has its text read.
+    order = Window.partitionBy("lang").orderBy("h")
+    small = usable.select("lang", "h").withColumn("i", F.row_number().over(order)).where(F.col("i") <= rows_per_language)
+    last = small.groupBy("lang").agg(F.max("h").alias("last"))
+    if last.limit(most_languages + 1).count() > most_languages:
+        frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
+        last = last.join(F.broadcast(frequent), "lang")  # most_languages rows
+    chosen = usable.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last"))  # most_languages rows
+    # Rows that repeat a row have its hash. They are combined before the exchange.
+    return chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def fit(
+    docs: DataFrame,
+    learn: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    rows_per_language: int = 1500,
+    most_languages: int = 1024,
+    most_bytes: int = 64 << 20,
+    hashes: int = 3,
+) -> Filter:
+    """The filter from rows that learn (over column doc_id) marks and whose text and language are set."""
+    spark = docs.sparkSession
+    sample = lessons(docs, learn, id_col, text_col, lang_col, rows_per_language, most_languages)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, size=2_000_000)):
+            langs = batch.column("lang")
+            for lang in langs.unique().to_pylist():
+                words, _ = words_of(batch.filter(pc.equal(langs, lang)).column("text"))
+                g = np.unique(grams(words.unique().to_pylist())[0])
+                yield pa.record_batch([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64))], ["lang", "g"])
+
+    with Scratch(spark) as scratch:
+        held = scratch.save(mapped(sample, distinct, "lang string, g long").distinct(), "grams")
+        counts = {r.lang: r.n for r in held.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+        languages = sorted(counts)
+        planes = max(1, -(-len(languages) // 64))
+        size = 1 << max(12, min((max(counts.values(), default=1) * 16 - 1).bit_length(), (most_bytes // (8 * planes)).bit_length() - 1))
+        index, block = {l: i for i, l in enumerate(languages)}, min(size, 1 << 16)
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slots = np.zeros((planes, size), U)
+            for batch in batches:
+                of = np.array([index[l] for l in batch.column("lang").to_pylist()], np.int64)
+                g = np.asarray(batch.column("g")).view(U)
+                for at in places(g, size, hashes):
+                    np.bitwise_or.at(slots, (of // 64, at), U(1) << (of % 64).astype(U))
+            for p in range(planes):
+                for a in range(0, size, block):
+                    part = slots[p, a : a + block]
+                    if part.any():
+                        yield pa.record_batch([pa.array([p]), pa.array([a]), pa.array([part.tobytes()], pa.binary())], ["plane", "at", "slots"])
+
+        def merge(table: pa.Table) -> pa.Table:
+            whole = np.bitwise_or.reduce([np.frombuffer(x.as_py(), U) for x in table.column("slots")])
+            return pa.table([table.column("plane")[:1], table.column("at")[:1], pa.array([whole.tobytes()], pa.binary())], ["plane", "at", "slots"])
+
+        kind = "plane long, at long, slots binary"
+        slots = np.zeros((planes, size), U)
+        for r in mapped(held, fill, kind).groupBy("plane", "at").applyInArrow(merge, kind).toLocalIterator():  # most_bytes together
+            slots[r.plane, r["at"] : r["at"] + block] = np.frombuffer(r.slots, U)
+    return Filter(languages, slots, hashes)
 
 
 def predict(docs: DataFrame, found: Filter, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
@@ -155,12 +202,11 @@ def predict(docs: DataFrame, found: Filter, id_col: str = "doc_id", text_col: st
     d = pick(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, size=500_000)):
+        for batch in (part for whole in batches for part in slices(whole, size=3_000_000)):
             lang, score = decide(shared.value, batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    small_batches(docs.sparkSession, "6m")
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return mapped(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def decide(found: Filter, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -184,10 +230,9 @@ def accept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     shared, at = docs.sparkSession.sparkContext.broadcast(found), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, at, 500_000)):
+        for batch in (part for whole in batches for part in slices(whole, at, 3_000_000)):
             lang, score = decide(shared.value, batch.column(at))
             yield batch.filter(pa.array(np.array([l != "und" for l in lang], bool) & (score >= least)))
 
-    small_batches(docs.sparkSession, "6m")
     inner = plain_names(docs)
-    return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
+    return mapped(inner, run, inner.schema).toDF(*docs.columns)
