@@ -7,6 +7,9 @@ of an equi-join: the segment itself with its successor on one side, and every su
 one bit of the successor on the other. The longer chains and the full Hamming distance are
 conditions of that join. A pair is kept for its first chain only, so no pair comes twice.
 
+A key has about 26 bits, so N different fingerprints that lie at random meet in about
+75 * N * N / 2**26 candidates, which the longer chains cut before the full distance is taken.
+
 Equal fingerprints are collapsed before the join and carry a count, so thousands of copies
 cost one row. A key that many different fingerprints share is split by adaptive execution.
 
@@ -19,10 +22,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, pick, words
+from .common import LOWER, UPPER, Scratch, pick, plain_names, words
 
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Of a long: one bit in each 32-bit lane.
@@ -95,13 +98,15 @@ def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     state = None
     for step in range(1, 200):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        # Aggregates and what they are made from are saved, so that adaptive execution can split a hot node in the joins.
+        least = scratch.save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), f"least{step}")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") > F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        large = scratch.save(large, f"large{step}")
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"low{step}")
+        small = large.join(low, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges, old, name = scratch.save(small, f"edges{step}"), name, f"edges{step}"
-        scratch.drop(old)
+        for gone in (old, f"least{step}", f"large{step}", f"low{step}"):
+            scratch.drop(gone)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -124,7 +129,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = both.join(classes.select(F.col("fp").alias("b"), "copies"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("copies").alias("near"))
     roots = components(pairs, scratch)
     members = roots.join(classes.select(F.col("fp").alias("node"), "least"), "node")
-    smallest = roots.join(members.groupBy("root").agg(F.min("least").alias("smallest")), "root").select(F.col("node").alias("fp"), "smallest")
+    smallest = scratch.save(members.groupBy("root").agg(F.min("least").alias("smallest")), "smallest")
+    smallest = roots.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
     facts = classes.join(linked, "fp", "left").join(smallest, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), F.coalesce("smallest", "least").alias("component_id"))
     facts = scratch.save(facts, "facts")
     return rows.join(facts, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("n_near").cast("long").alias("n_near"), "component_id")
@@ -137,9 +143,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     id: one row of each different text.
     """
     found = near_duplicates(docs, id_col, text_col, width, bits)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    from pyspark.sql import Window
-
-    key = F.col(f"`{id_col}`")
-    same = Window.partitionBy(key, F.when(key.isNull(), F.col(f"`{text_col}`"))).orderBy(F.col(f"`{text_col}`").asc_nulls_last())
-    return docs.join(kept, key.eqNullSafe(F.col("__kept")), "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    inner = plain_names(docs)
+    key, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    stay = inner.join(kept, key.eqNullSafe(F.col("kept")), "left_semi")
+    same = Window.partitionBy(key, F.when(key.isNull(), text)).orderBy(text.asc_nulls_last())
+    return stay.withColumn("turn", F.row_number().over(same)).where("turn = 1").drop("turn").toDF(*docs.columns)
