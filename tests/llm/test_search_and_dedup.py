@@ -122,6 +122,11 @@ def test_keep_one(edges, nothing):
     assert ids == [1, 4, 5, 7, 8, 9, 10]  # 1 stands for the texts without words, null ids included
 
 
+def test_keep_one_keeps_all_columns(spark):
+    kept = simhash.keep_one(spark.createDataFrame([(1, "a b c d e", 7, "k"), (2, "a b c d e", 8, "l")], "doc_id long, text string, __n int, __kept string"))
+    assert [tuple(r) for r in kept.collect()] == [(1, "a b c d e", 7, "k")] and kept.columns == ["doc_id", "text", "__n", "__kept"]
+
+
 # --- Substring dedup -------------------------------------------------------------------------
 
 
@@ -157,13 +162,23 @@ def passages():
     return [*rows, (7, rows[9][1]), (None, rows[3][1]), (61, rows[20][1]), (62, "x " * 40), (63, "x " * 9)]
 
 
-@pytest.mark.parametrize("length", [2, 5, 6, 7])
+@pytest.mark.parametrize("length", [2, 5, 7, 12])
 def test_substrings(spark, length):
     rows = passages()
     got = substring_dedup.digests(make_docs(spark, rows).repartition(3), length=length).collect()
     assert sorted(map(tuple, got), key=str) == brute_removal(rows, length)
 
 
+def test_many_texts_of_one_id(spark):
+    """An id with several texts, copies among them, and a passage in every text."""
+    r = random.Random(3)
+    shared = " ".join(f"s{i}" for i in range(9))
+    rows = [(i % 7, f"{' '.join(r.choices('abcdef', k=6))} {shared} {' '.join(r.choices('abcdef', k=6))}") for i in range(60)]
+    rows += [(3, rows[8][1]), (9, rows[8][1]), (9, rows[9][1]), (9, "short")]
+    got = substring_dedup.digests(make_docs(spark, rows).repartition(3), length=8).collect()
+    assert sorted(map(tuple, got), key=str) == brute_removal(rows, 8)
+
+
 def test_substring_edges(edges, nothing):
     assert sorted(map(tuple, substring_dedup.digests(edges).collect()), key=str) == brute_removal(EDGES, 50)
     assert substring_dedup.digests(nothing).count() == 0

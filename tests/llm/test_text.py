@@ -12,6 +12,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vekspar.llm import bpe, html_extract, langid, lm_score, media_gif, packing, secrets
@@ -135,10 +136,10 @@ def test_lzw():
 def test_frames(spark):
     palette = np.zeros((256, 3), np.uint8)
     palette[1], palette[2] = (255, 0, 0), (0, 255, 0)
-    F = media_gif.Frame
+    Frame = media_gif.Frame
     full = np.full((4, 4), 1, np.uint8)
     patch = np.array([[2, 0], [0, 2]], np.uint8)
-    data = media_gif.encode([F(0, 0, full, palette, 5, 1), F(1, 1, patch, palette, 7, 3, 0), F(2, 2, patch, palette, 9, 2, 0), F(0, 0, patch[:1], palette, 1, 0, 0)], 4, 4)
+    data = media_gif.encode([Frame(0, 0, full, palette, 5, 1), Frame(1, 1, patch, palette, 7, 3, 0), Frame(2, 2, patch, palette, 9, 2, 0), Frame(0, 0, patch[:1], palette, 1, 0, 0)], 4, 4)
     _, _, found = media_gif.read(data)
     shown = list(media_gif.canvases(4, 4, found))
     assert shown[1][1, 1].tolist() == [0, 255, 0, 255] and shown[1][1, 2].tolist() == [255, 0, 0, 255]  # transparent
@@ -357,12 +358,62 @@ def test_language_without_lessons(nothing, edges):
     assert langid.identify(edges).count() == len(EDGES)
 
 
-def test_bloom_filter():
-    entries = [(i * 7919, i % 70) for i in range(5000)]
-    f = langid.Filter.build([f"l{i:02}" for i in range(70)], entries)
-    masks = f.masks(np.array([g for g, _ in entries], np.int64).view(np.uint64))
-    assert all(int(masks[l // 64, i]) >> (l % 64) & 1 for i, (_, l) in enumerate(entries))
-    assert f.slots.shape[0] == 2 and (f.rates < 0.01).all()
+def plain_grams(text):
+    """All n-grams of a text, one by one."""
+    out = []
+    for w in re.split(r"[\W\d_]+", text.lower()):
+        w = f"\0{w}\0" if w else ""
+        out += [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1) if w[i : i + n] != "\0"]
+    return out
+
+
+def test_filter_holds_all_languages_of_each_gram(spark):
+    """Every n-gram of the lessons is found in each language that has it; shares are those of plain sets, corrected."""
+    docs = language_docs(spark)
+    f = langid.fit(docs, F.lit(True))
+    assert f.languages == sorted(WORDS) and (f.rates < 0.01).all()
+    lessons = defaultdict(set)
+    for r in docs.collect():
+        lessons[r.lang] |= set(plain_grams(r.text))
+    words = sorted({w for v in WORDS.values() for w in v.split()})
+    hits, n = f.counts(words)
+    for i, w in enumerate(words):
+        grams = plain_grams(w)
+        assert n[i] == len(grams)
+        for l, lang in enumerate(f.languages):
+            plain = sum(g in lessons[lang] for g in grams)
+            assert plain <= hits[i, l] <= plain + 1
+    texts = ["the green HAUS 123 petite!", "x", "", None, "schön-schön façon"]
+    shares, total = f.shares(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert total[i] == len(plain_grams(t or ""))
+        for l, lang in enumerate(f.languages):
+            plain = sum(g in lessons[lang] for g in plain_grams(t or ""))
+            assert abs(shares[i, l] - plain / max(1, total[i])) < 0.08
+
+
+def test_many_languages(spark):
+    """More languages than a slice of the filter holds; rows that repeat; a bound on languages."""
+    r = random.Random(4)
+    own = {f"l{i:03}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(4)] for i in range(70)}
+    rows = [(i * 7 + j, " ".join(own[k]), k) for i, k in enumerate(own) for j in range(3)] + [(0, " ".join(own["l000"]), "l000")] * 50
+    docs = make_docs(spark, rows)
+    f = langid.fit(docs, F.lit(True), rows_per_language=2)
+    assert len(f.languages) == 70 and f.slots.shape[0] == 2
+    lang, _ = langid.decide(f, pa.array([" ".join(own[k]) for k in own]))
+    assert lang == list(own)
+    assert langid.fit(docs, F.lit(True), most_languages=5).languages == ["l000", "l001", "l002", "l003", "l004"]
+
+
+def test_language_of_real_rows(spark):
+    """Held-out rows of the given tables."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL").select("lang", "lang_pred").collect()
+    assert len(held) > 100 and sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
 
 
 # --- Language model --------------------------------------------------------------------------

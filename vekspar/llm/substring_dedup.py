@@ -1,18 +1,22 @@
 """Substring dedup by level-wise doubling over windows of words.
 
 A word goes if it lies in a window of `length` words that also starts in a document with a
-smaller id. Windows are judged on the input.
-
-1. Windows of half the length. Every full window holds at least one sampled half window (the
-   smallest hash among the half windows in it), so equal full windows share a sample. Samples
-   that occur in two documents or more are the survivors of this level.
-2. Only full windows around a survivor are extended to the full length. Those that occur in
-   another document are the result; the smallest id of each decides who keeps it.
-
-Both levels find the smallest and the largest id of a hash by a grouped aggregate, combined
-before the shuffle, and come back to the documents by an equi-join that adaptive execution
-splits where a passage sits in very many documents. Whole copies are found by their digest and
-take no part in level 2. The full windows are told apart by 128 bits.
+smaller id. Windows are judged on the input. Levels are windows of a quarter of the length, of
+half of it, and of the length:
+
+1. Every full window holds one sampled quarter window (that with the smallest hash among the
+   quarter windows in it), so equal full windows share a sample. Samples that occur in two
+   documents or more are the survivors of this level.
+2. Only full windows around a survivor are looked at in windows of twice that length, again by
+   the sample that each of them holds. Those that occur in two documents or more survive.
+3. Only full windows around those are extended to the full length. Those that occur in another
+   document are the result; the smallest id of each decides who keeps it.
+
+The work ends at the level that nothing survives. All levels find the smallest and the largest
+id of a hash by a grouped aggregate, combined before the shuffle and saved, and come back to
+the documents by an equi-join of two saved tables, whose hot keys (a passage that sits in very
+many documents) adaptive execution splits. Whole copies are found by their digest and take no
+part in the levels. The full windows are told apart by 128 bits.
 
 Defined results: a null or empty text has no words; shorter texts lose nothing; a row with a
 null id loses nothing and makes no other row lose anything; rows with the same id don't count
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, plain_names, release, slices, small_batches
+from .common import Scratch, mapped, pick, plain_names, release, slices
 
 U = np.uint64
 
@@ -84,111 +88,130 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x, _shift(x, width - size)) if width > size else x
 
 
-def _samples(words: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sampled half window of each full window, and which positions start a full window."""
+def halves(length: int) -> tuple[int, int]:
+    """The lengths of the first two levels."""
     half = (length + 1) // 2
-    minima = window_minima(window_hashes(words, half), length - half + 1)
-    starts = np.arange(len(words)) + length <= np.repeat(bounds[1:], np.diff(bounds))
-    return minima.view(np.int64), starts
+    return (half + 1) // 2, half
+
+
+def _samples(words: np.ndarray, length: int, size: int) -> np.ndarray:
+    """The hash of the sampled window of size words of each full window; void near the end."""
+    return window_minima(window_hashes(words, size), length - size + 1)
+
+
+def _starts(bounds: np.ndarray, length: int) -> np.ndarray:
+    """Which positions start a full window."""
+    return np.arange(bounds[-1]) + length <= np.repeat(bounds[1:], np.diff(bounds))
+
+
+def _new(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it in the same text."""
+    out = np.ones(len(values), bool)
+    out[1:] = values[1:] != values[:-1]
+    out[bounds[:-1][np.diff(bounds) > 0]] = True
+    return out
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """tk tells the texts of an id apart."""
     return pick(docs, doc_id=id_col, text=text_col).withColumn("tk", F.xxhash64("text"))
 
 
+def _repeated(rows: DataFrame, *key: str) -> DataFrame:
+    """Keys that occur in two documents or more, with the smallest id."""
+    return rows.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+
+
 def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """Columns doc_id, whole (keys of texts that are copies), tk and p (lists: windows that go); ids without any are left out."""
+    """Columns doc_id, tk (the text's key), whole (true for texts that are copies), ps (starts of windows that go)."""
     if length < 2:
         raise ValueError("length must be at least 2")
     spark = docs.sparkSession
-    small_batches(spark)
-    keyed = _keyed(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    # A window takes 2 * length - 1 characters at least.
+    keyed = _keyed(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * length - 1))
     kind = keyed.schema["doc_id"].dataType.simpleString()
+    quarter, half = halves(length)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each run of full windows with one quarter sample, with the half samples in it."""
         for batch in (part for whole in batches for part in slices(whole)):
             words, bounds = split_words(batch.column("text"))
-            minima, starts = _samples(hash_words(words), bounds, length)
-            new = np.ones(len(minima), bool)
-            new[1:] = minima[1:] != minima[:-1]
-            new[bounds[:-1][np.diff(bounds) > 0]] = True
-            at = np.flatnonzero(new & starts)
-            doc = np.searchsorted(bounds, at, side="right") - 1
-            yield pa.record_batch([pa.array(minima[at]), batch.column("doc_id").take(pa.array(doc))], ["h", "doc_id"])
-
-    half = scratch.save(keyed.select("doc_id", "text").mapInArrow(sample, f"h long, doc_id {kind}"), "half")
-    # Texts that are copies: their ids, the keys of these texts, and whether an id has no other text.
+            hashed, starts = hash_words(words), _starts(bounds, length)
+            first, second = (_samples(hashed, length, n) for n in (quarter, half))
+            new = _new(first, bounds)
+            runs = np.flatnonzero(new & starts)
+            inner = np.flatnonzero((new | _new(second, bounds)) & starts)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(inner, runs), len(inner)), pa.int32()), pa.array(second[inner].view(np.int64)))
+            doc = pa.array(np.searchsorted(bounds, runs, side="right") - 1)
+            yield pa.record_batch([pa.array(first[runs].view(np.int64)), lists, batch.column("doc_id").take(doc), batch.column("tk").take(doc)], ["h", "hs", "doc_id", "tk"])
+
+    sampled = scratch.save(mapped(keyed.select("doc_id", "tk", "text"), sample, f"h long, hs array<long>, doc_id {kind}, tk long"), "sampled")
+    # Texts that are copies: they go as a whole, and what they share with others the first copy shares too.
     digests = keyed.select("doc_id", "tk", F.unhex(F.sha2("text", 256)).alias("sha"))
-    first = digests.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    marked = digests.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
-    copies = marked.groupBy("doc_id").agg(F.collect_set(F.when(F.col("copy"), F.col("tk"))).alias("whole"), F.min("copy").alias("every")).where(F.size("whole") > 0)
-    copies = scratch.save(copies, "copies")
-    # Their samples don't count: what they share with others, the first of the copies shares too.
-    own = scratch.save(half.join(copies.where("every").select("doc_id"), "doc_id", "left_anti").select("h", "doc_id"), "own")
-    scratch.drop("half")
+    first = scratch.save(digests.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "first")
+    copies = scratch.save(digests.join(first, "sha").where("doc_id > least").select("doc_id", "tk").distinct(), "copies")
+    own = scratch.save(sampled.join(copies, ["doc_id", "tk"], "left_anti").select("h", "hs", "doc_id", "tk"), "own")
+    scratch.drop("sampled")
     release(spark)
-    repeated = own.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h")
-    survivors = own.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("half"))
-    none = F.array().cast("array<long>")
-    facts = survivors.join(copies.select("doc_id", "whole"), "doc_id", "full").select("doc_id", F.coalesce("half", none).alias("half"), F.coalesce("whole", none).alias("whole"))
-    facts = scratch.save(facts, "facts")
+    quarters = scratch.save(_repeated(own, "h").select("h"), "quarters")
+    halved = scratch.save(own.join(quarters, "h").select(F.explode("hs").alias("h"), "doc_id", "tk").distinct(), "halved")
     scratch.drop("own")
-    scratch.drop("copies")
     release(spark)
+    halves_ = scratch.save(_repeated(halved, "h").select("h"), "halves")
+    facts = scratch.save(halved.join(halves_, "h").groupBy("doc_id", "tk").agg(F.collect_set("h").alias("half")), "facts")
+    scratch.drop("halved")
+    release(spark)
+    wholes = copies.withColumn("whole", F.lit(True))
+    if not facts.take(1):
+        return wholes.withColumn("ps", F.array().cast("array<long>"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             words, bounds = split_words(batch.column("text"))
             hashed = hash_words(words)
-            minima, starts = _samples(hashed, bounds, length)
-            keep = np.zeros(len(minima), bool)
-            for i, (tk, whole, h) in enumerate(zip(batch.column("tk").to_pylist(), batch.column("whole").to_pylist(), batch.column("half"), strict=True)):
-                if tk not in whole:
-                    keep[bounds[i] : bounds[i + 1]] = np.isin(minima[bounds[i] : bounds[i + 1]], h.values.to_numpy(zero_copy_only=False))
-            at = np.flatnonzero(keep & starts)
+            samples, keep = _samples(hashed, length, half).view(np.int64), _starts(bounds, length)
+            for i, h in enumerate(batch.column("half")):
+                keep[bounds[i] : bounds[i + 1]] &= np.isin(samples[bounds[i] : bounds[i + 1]], h.values.to_numpy(zero_copy_only=False))
+            at = np.flatnonzero(keep)
             doc = np.searchsorted(bounds, at, side="right") - 1
             a, b = (window_hashes(hashed, length, s)[at].view(np.int64) for s in (1, 0x5851F42D4C957F2D))
             p = (at - bounds[doc]).astype(np.int64)
             yield pa.record_batch([pa.array(a), pa.array(b), batch.column("doc_id").take(pa.array(doc)), batch.column("tk").take(pa.array(doc)), pa.array(p)], ["a", "b", "doc_id", "tk", "p"])
 
-    full = scratch.save(keyed.join(facts.where(F.size("half") > 0), "doc_id").select("doc_id", "text", "tk", "half", "whole").mapInArrow(extend, f"a long, b long, doc_id {kind}, tk long, p long"), "full")
+    full = scratch.save(mapped(keyed.join(facts, ["doc_id", "tk"]).select("doc_id", "tk", "text", "half"), extend, f"a long, b long, doc_id {kind}, tk long, p long"), "full")
     release(spark)
-    least = full.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    gone = full.join(least, ["a", "b"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list(F.struct("tk", "p")).alias("gone"))
-    wholes = facts.where(F.size("whole") > 0).select("doc_id", "whole")
-    found = wholes.join(gone, "doc_id", "full").select("doc_id", F.coalesce("whole", none).alias("whole"), F.coalesce(F.col("gone.tk"), none).alias("tks"), F.coalesce(F.col("gone.p"), none).alias("ps"))
+    least = scratch.save(_repeated(full, "a", "b"), "least")
+    gone = full.join(least, ["a", "b"]).where("doc_id > least").groupBy("doc_id", "tk").agg(F.collect_set("p").alias("ps"))
+    found = wholes.join(gone, ["doc_id", "tk"], "full").select("doc_id", "tk", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("ps", F.array().cast("array<long>")).alias("ps"))
     found = scratch.save(found, "gone")
-    scratch.drop("full")
-    scratch.drop("facts")
+    for name in ("full", "facts", "least"):
+        scratch.drop(name)
     release(spark)
     return found
 
 
-def _kept(n: int, tk: int, whole: list | None, tks: np.ndarray, ps: np.ndarray, length: int) -> np.ndarray:
+def _kept(n: int, whole: bool | None, ps: np.ndarray, length: int) -> np.ndarray:
     """Which of a row's n words stay."""
-    if whole and tk in whole and n >= length:
-        return np.zeros(n, bool)
+    if whole:
+        return np.full(n, n < length)
     covered = np.zeros(n + length + 1, np.int64)
-    at = ps[tks == tk]
-    at = at[at <= n - length]
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + length, -1)
+    np.add.at(covered, ps, 1)
+    np.add.at(covered, ps + length, -1)
     return np.cumsum(covered)[:n] == 0
 
 
 def _joined(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length: int) -> DataFrame:
     keyed = _keyed(docs, id_col, text_col)
-    return keyed.join(removals(docs, scratch, id_col, text_col, length), "doc_id", "left").select("doc_id", "text", "tk", "whole", "tks", "ps")
+    return keyed.join(removals(docs, scratch, id_col, text_col, length), ["doc_id", "tk"], "left").select("doc_id", "text", "whole", "ps")
 
 
 def _each(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, list[str], np.ndarray]]:
     """Row, words and which of them stay."""
     none = np.zeros(0, np.int64)
-    lists = [[x.values.to_numpy(zero_copy_only=False) if x.is_valid else none for x in batch.column(c)] for c in ("tks", "ps")]
     words, bounds = split_words(batch.column("text"))
-    for i, (tk, whole, tks, ps) in enumerate(zip(batch.column("tk").to_pylist(), batch.column("whole").to_pylist(), *lists, strict=True)):
+    for i, (whole, ps) in enumerate(zip(batch.column("whole").to_pylist(), batch.column("ps"), strict=True)):
         n = int(bounds[i + 1] - bounds[i])
-        yield i, words.slice(int(bounds[i]), n), _kept(n, tk, whole, tks, ps, length)
+        yield i, words.slice(int(bounds[i]), n), _kept(n, whole, ps.values.to_numpy(zero_copy_only=False) if ps.is_valid else none, length)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -206,7 +229,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 sha.append(hashlib.sha256(" ".join(kept.to_pylist()).encode()).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return joined.mapInArrow(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    return mapped(joined, run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -219,7 +242,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     inner = plain_names(docs)
     at, names = docs.columns.index(text_col), inner.columns
     keyed = inner.withColumn("doc_id", F.col(f"c{docs.columns.index(id_col)}")).withColumn("tk", F.xxhash64(f"c{at}"))
-    joined = keyed.join(found, "doc_id", "left").select(*names, F.col(f"c{at}").alias("text"), "tk", "whole", "tks", "ps")
+    joined = keyed.join(found, ["doc_id", "tk"], "left").select(*names, F.col(f"c{at}").alias("text"), "whole", "ps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -230,7 +253,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.record_batch(columns, names)
 
-    return joined.mapInArrow(run, inner.schema).toDF(*docs.columns)
+    return mapped(joined, run, inner.schema).toDF(*docs.columns)
 
 
 #: Words of each text in DuckDB; every window of 50 words with the smallest id that starts it.
