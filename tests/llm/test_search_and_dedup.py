@@ -22,12 +22,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute_topk(rows, k):
-    usable = [(i, v, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, (n, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(i, v, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, (n, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for i, _, q in usable:
         if rows[i][0] is None or rows[i][0] % 5:
             continue
-        scored = sorted((-int((q * x).sum()), rows[j][0] if rows[j][0] is not None else 1 << 62, rows[j][0]) for j, _, x in usable if j != i)
+        scored = sorted((-int((q[: len(x)] * x[: len(q)]).sum()), rows[j][0] if rows[j][0] is not None else 1 << 62, rows[j][0]) for j, _, x in usable if j != i)
         out += [(rows[i][0], r, v, -s) for r, (s, _, v) in enumerate(scored[:k], 1)]
     return sorted(out, key=str)
 
@@ -43,6 +43,22 @@ def test_topk(spark, spread):
     assert sorted(((x.query_id, x.rank, x.vec_id, x.score) for x in got), key=str) == brute_topk(rows, 5)
 
 
+def test_bounds_prune_clustered_data(spark):
+    """In clusters far apart each group gets its own data; without clusters all queries share one group."""
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((12, 16)) * 4
+    told = []
+    for spread in (0.05, None):
+        rows = [(i, (centres[i % 12] + spread * r.standard_normal(16) if spread else r.standard_normal(16)).astype(np.float32).tolist()) for i in range(2400)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+        report = {}
+        got = topk_search.search(df, F.col("vec_id") % 5 == 0, 5, report=report).collect()
+        assert sorted(((x.query_id, x.rank, x.vec_id, x.score) for x in got), key=str) == brute_topk(rows, 5)
+        told.append(report)
+    assert told[0]["groups"] >= 6 and told[0]["scored"] < 0.3 * told[0]["all"]
+    assert told[1]["shipped"] <= 1.6 * 2400 and told[1]["scored"] <= told[1]["all"]
+
+
 def test_topk_small(spark):
     kind = "vec_id long, embedding array<float>"
     assert topk_search.search(spark.createDataFrame([], kind), F.lit(True)).count() == 0
