@@ -12,7 +12,6 @@ connections, and a softmax over classes.
 from __future__ import annotations
 
 import copy
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -177,15 +176,6 @@ class Model:
         g["emb"] = np.bincount((at[:, None] * DIM + np.arange(DIM)).ravel(), de.ravel(), p["emb"].size).reshape(-1, DIM).astype(np.float32)
         return loss, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, steps: int = 1200, batch: int = 64, rate: float = 6e-3, seed: int = 7) -> list[float]:
-        """Adam over random batches of windows; the losses of the steps."""
-        r, adam = np.random.default_rng(seed), Adam(self)
-        losses = []
-        for t in range(1, steps + 1):
-            at = r.integers(0, len(x), batch)
-            losses.append(adam.step(x[at], y[at], real[at], rate * min(1.0, t / 50) * (1 - 0.95 * t / steps)))
-        return losses
-
     def flat(self) -> np.ndarray:
         """All weights in one row."""
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -244,15 +234,3 @@ def all_windows(ids: np.ndarray, bounds: np.ndarray, start: int) -> tuple[np.nda
     x = np.where(inside, ids[np.clip(pos - 1, 0, max(len(ids) - 1, 0))], -1) if len(ids) else pos
     x[k == 0, 0] = start
     return x, y
-
-
-def training_windows(sequences: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of WINDOW + 1 ids (-1 behind the end) as inputs and targets."""
-    rows = np.full((0, WINDOW + 1), -1, np.int64)
-    parts = []
-    for s in sequences:
-        row = np.full(WINDOW + 1, -1, np.int64)
-        row[: min(len(s), WINDOW + 1)] = s[: WINDOW + 1]
-        parts.append(row)
-    rows = np.array(parts) if parts else rows
-    return rows[:, :-1], rows[:, 1:]

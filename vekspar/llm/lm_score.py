@@ -3,11 +3,11 @@
 Words are runs of characters other than ASCII white space, A-Z in lower case; each text ends
 with one end token. Statistics are counted over all training rows (crc32 of the id as text,
 modulo 10, is not 0): the words for the base score, and from them the subword ids that the
-attention model shares out within its classes. The attention weights start from those of a
-sample of windows (`train_rows`, `windows_per_row`, `steps`), which gives all tasks a common
-start; from there each task takes steps over every window of all of its training rows, each
-id once, and the tasks' weights are averaged by their numbers of ids. So windows and steps grow
-with the training rows. The weights depend on how the input is split.
+attention model shares out within its classes. The attention weights come from steps over every
+window of all training rows, each id once: the rows are cut by a hash into ROUNDS, in each of
+which every task steps over its own rows from common weights, and the tasks' weights are
+averaged by their numbers of ids. So windows and steps grow with the training rows, without
+any bound on them. The weights depend on how the input is split.
 
 The base score needs every word's count. The `head` most frequent words are looked up in a
 broadcast table of bounded size; all other words of a text are joined with the whole table of
@@ -32,15 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention import WINDOW, Adam, Classes, Model, all_windows, training_windows
-from .common import Scratch, pick, release, run_lengths, slices, small_batches
+from .attention import Adam, Classes, Model, all_windows
+from .common import Scratch, mapped, pick, release, run_lengths, slices
 from .substring_dedup import split_words
-from .tokens import SEP, WordEncoder, encoder
+from .tokens import REMEMBERED, SEP, WordEncoder, encoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 START, END, IDS = 49406, 49407, 49408
-#: Pre-tokens that a worker remembers.
-REMEMBERED = 400_000
+#: Sixteenths of the training rows in each round, and the rate of its steps.
+ROUNDS = ((1, 6e-3), (5, 4e-3), (10, 2.5e-3))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,7 +49,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _subwords(words: list[str], vocabulary: str) -> list[bytes]:
     """The ids of each word as 16-bit numbers."""
-    encode = encoder(WordEncoder, vocabulary, REMEMBERED)
+    encode = encoder(WordEncoder, vocabulary, REMEMBERED, False)
     odd = [i for i, w in enumerate(words) if SEP in w]
     if not odd:
         return encode.chunks(encode.normal(words))
@@ -95,7 +95,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             found = words.value_counts()
             yield pa.record_batch([found.field("values"), found.field("counts")], ["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def head_count(counts: DataFrame, head: int) -> int:
@@ -125,55 +125,32 @@ def subword_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["id", "n"])
 
     out = np.zeros(IDS)
-    for r in counts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in mapped(counts, run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r.id] = r.n
     return out
 
 
-def sample_windows(train: DataFrame, rows: int, train_rows: int, windows_per_row: int, vocabulary: str) -> list[np.ndarray]:
-    """At most about train_rows * windows_per_row runs of ids, spread over texts and within them."""
-    share = min(1.0, train_rows / max(rows, 1))
-    chosen = train.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            words, bounds = split_words(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
-            ids, ends = _sequences(words.dictionary_encode(), bounds, vocabulary)
-            out = []
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                s = np.concatenate(([START], ids[a:b]))
-                last = max(0, len(s) - WINDOW - 1)
-                out += [s[at : at + WINDOW + 1].astype("<u2").tobytes() for at in sorted({last * i // max(1, windows_per_row - 1) for i in range(windows_per_row)})]
-            yield pa.record_batch([pa.array(out, pa.binary())], ["ids"])
-
-    return [np.frombuffer(r.ids, "<u2").astype(np.int64) for r in chosen.mapInArrow(run, "ids binary").limit(train_rows * windows_per_row * 2).collect()]
-
-
-def fit_attention(ids: list[np.ndarray], counts: np.ndarray, vocabulary: str, embedded: int = 1024, steps: int = 1200) -> tuple[Classes, np.ndarray, Model]:
-    """Classes, the input row of each id, and the trained model."""
-    names = encoder(WordEncoder, vocabulary, REMEMBERED).tokenizer.get_vocab()
+def untrained(counts: np.ndarray, vocabulary: str, embedded: int = 1024) -> tuple[Classes, np.ndarray, Model]:
+    """Classes, the input row of each id, and a model whose weights are those of its seed."""
+    names = encoder(WordEncoder, vocabulary, REMEMBERED, False).tokenizer.get_vocab()
     ends_word = np.zeros(IDS, bool)
     ends_word[[i for token, i in names.items() if token.endswith("</w>")]] = True
     classes = Classes.build(counts, ends_word)
     inputs = classes.of.copy() + embedded
     inputs[np.argsort(-counts, kind="stable")[: embedded - 1]] = np.arange(embedded - 1)
     inputs[START] = embedded - 1
-    model = Model(classes.count, embedded + classes.count)
-    x, y = training_windows(ids)
-    if len(x):
-        model.train(inputs[np.maximum(x, 0)], classes.of[np.maximum(y, 0)], (y >= 0).astype(np.float32), steps)
-    return classes, inputs, model
+    return classes, inputs, Model(classes.count, embedded + classes.count)
 
 
-def fit_all(train: DataFrame, classes: Classes, inputs: np.ndarray, model: Model, vocabulary: str, batch: int = 64, rate: float = 1.5e-3) -> tuple[Model, int]:
-    """The model after steps over all windows of train, and the number of ids that it has seen.
+def trained(rows: DataFrame, classes: Classes, inputs: np.ndarray, model: Model, vocabulary: str, rate: float, batch: int = 64) -> tuple[Model, int]:
+    """The model after steps over all windows of rows (column text), and the number of ids that it has seen.
 
     Each task yields one row of weights; they are summed in 32 groups before the driver.
     """
-    shared = train.sparkSession.sparkContext.broadcast((classes.of, inputs, model))
+    shared = rows.sparkSession.sparkContext.broadcast((classes.of, inputs, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, rows, start = shared.value
+        of, row, start = shared.value
         own, seen, part = start.with_weights(start.flat()), 0, TaskContext.get().partitionId()
         adam, order = Adam(own), np.random.default_rng(part)
         for piece in (p for whole in batches for p in slices(whole, size=3_000_000)):
@@ -184,7 +161,7 @@ def fit_all(train: DataFrame, classes: Classes, inputs: np.ndarray, model: Model
                 i = mixed[at : at + batch]
                 real = y[i] >= 0
                 # A step counts by its ids, so that the last few windows of a piece don't weigh as much as a whole batch.
-                adam.step(rows[np.maximum(x[i], 0)], of[np.maximum(y[i], 0)], real.astype(np.float32), rate * len(i) / batch * min(1.0, (adam.t + 1) / 50) / (1 + adam.t / 200) ** 0.5)
+                adam.step(row[np.maximum(x[i], 0)], of[np.maximum(y[i], 0)], real.astype(np.float32), rate * len(i) / batch * min(1.0, (adam.t + 1) / 50) / (1 + adam.t / 200) ** 0.5)
                 seen += int(real.sum())
         if seen:
             yield pa.record_batch([pa.array([part % 32]), pa.array([seen]), pa.array([(own.flat().astype(np.float64) * seen).tobytes()], pa.binary())], ["part", "seen", "weights"])
@@ -194,25 +171,35 @@ def fit_all(train: DataFrame, classes: Classes, inputs: np.ndarray, model: Model
         return pa.table([table.column("part")[:1], pa.array([pc.sum(table.column("seen")).as_py()]), pa.array([total.tobytes()], pa.binary())], ["part", "seen", "weights"])
 
     kind = "part long, seen long, weights binary"
-    found = sorted(train.select("text").mapInArrow(run, kind).groupBy("part").applyInArrow(add, kind).collect())
+    found = sorted(mapped(rows.select("text"), run, kind).groupBy("part").applyInArrow(add, kind).collect())
     shared.destroy()
     seen = sum(r.seen for r in found)
     return (model.with_weights(sum(np.frombuffer(r.weights) for r in found) / seen), seen) if seen else (model, 0)
 
 
+def fit_attention(train: DataFrame, counts: np.ndarray, vocabulary: str) -> tuple[Classes, np.ndarray, Model, int]:
+    """Classes, inputs and the model after all rounds, and the number of ids that it has seen: all of train's."""
+    classes, inputs, model = untrained(counts, vocabulary)
+    seen, first, of = 0, 0, F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(16))
+    for share, rate in ROUNDS:
+        model, n = trained(train.where((of >= first) & (of < first + share)), classes, inputs, model, vocabulary, rate)
+        seen, first = seen + n, first + share
+    return classes, inputs, model, seen
+
+
 def score(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     vocabulary: str = VOCABULARY,
     head: int = 200_000,
-    train_rows: int = 2000,
-    windows_per_row: int = 8,
-    steps: int = 1200,
+    report: dict | None = None,
 ) -> DataFrame:
-    """Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    report, if given, gets the model with its classes and inputs, and the number of ids trained on.
+    """
     spark = docs.sparkSession
-    small_batches(spark, "8m")
     scratch = Scratch(spark)
     d = pick(docs, doc_id=id_col, text=text_col).withColumn("held_out", held_out(F.col("doc_id")))
     train = d.where(~F.col("held_out"))
@@ -226,8 +213,9 @@ def score(
     top = counts.where(F.col("n") >= head_count(counts, head)).toArrow().combine_chunks()  # head rows at most
     ids = subword_counts(counts, vocabulary)
     ids[END] = rows
-    classes, inputs, model = fit_attention(sample_windows(train, rows, train_rows, windows_per_row, vocabulary), ids, vocabulary, steps=steps)
-    model, _ = fit_all(train, classes, inputs, model, vocabulary)
+    classes, inputs, model, seen = fit_attention(train, ids, vocabulary)
+    if report is not None:
+        report.update(classes=classes, inputs=inputs, model=model, seen=seen)
     shared = spark.sparkContext.broadcast(Shared(_plain(top.column("word")), np.log10(np.asarray(top.column("n"), float) + 0.1), classes, inputs, model))
     del top
     end_log = float(np.log10(rows + 0.1))
@@ -259,7 +247,7 @@ def score(
 
     kind = d.schema["doc_id"].dataType.simpleString()
     keyed = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    scored = scratch.save(keyed.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, of_head double, score double, tail array<struct<word: string, times: long>>"), "scored")
+    scored = scratch.save(mapped(keyed, run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, of_head double, score double, tail array<struct<word: string, times: long>>"), "scored")
     release(spark)
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
     logs = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("of_tail"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_tail"))
