@@ -562,8 +562,69 @@ def test_template_and_slots():
     got = html_extract.extract(sources)
     for i, text in enumerate(got):
         assert text == f"Title & {i}\n\nFirst para{i}graph of {i}\n\nSecond one {('lorem ipsum dolor sit amet ' * (i + 3)).strip()}"
-    t = html_extract.deduce([html_extract.parse(s) for s in sources])
-    assert t.root and any("Share this article" in x for x in t.texts)
+    t = template_of(sources)
+    assert t.root and html_extract.token_id("/html/body/article/p\0Share this article") in t.texts and t.content == html_extract.token_id("/html/body/article")
+    # Without the template its text stays.
+    bare = html_extract.extract(sources, template=html_extract.Template())
+    assert all("Share this article" in x and "Share this article" not in y for x, y in zip(bare, got, strict=True))
+
+
+def template_of(sources):
+    seen = html_extract.Occurrences()
+    for i, s in enumerate(sources):
+        seen.add("", i, html_extract.parse(s))
+    return html_extract.deduce(pa.Table.from_batches([seen.rows()]))
+
+
+#: No article, no names: only what the pages share tells the parts apart.
+DIVS = """<html><body><div><ul><li><a href=/a>Start</a><li><a href=/b>All of {0}</a></ul></div><div><div><h2>Head {0}</h2><div>Subscribe to our letter now.</div><p>{1}</p><p>{2}</p></div>
+<div><p>Read more in our archive.</p></div></div><div><p>Imprint and contact of the site, {3}.</p></div></body></html>"""
+
+
+def test_a_site_of_unnamed_containers():
+    r = random.Random(1)
+    rows = []
+    for i in range(12):
+        a, b = (" ".join(r.choices("wind river stone light under over green of the a".split(), k=r.randint(30, 90))) for _ in range(2))
+        rows.append((DIVS.format(i, a, b, i % 3), f"Head {i}\n\n{a}\n\n{b}"))
+    sources, want = [s for s, _ in rows], [w for _, w in rows]
+    assert html_extract.extract(sources) == want
+    assert html_extract.extract(sources, template=html_extract.Template()) != want
+
+
+def test_classes_hold_equal_vectors():
+    """Tokens of a class stand equally often on every page; classes of the template nest."""
+    r = random.Random(5)
+    sources = [PAGE.format(i, "x " * i) + "<div class=extra><p>Only here<p>and there</div>" * (i % 3) for i in range(9)]
+    pages = [html_extract.parse(s) for s in sources]
+    t = template_of(sources)
+    vectors = defaultdict(lambda: [0] * len(pages))
+    for i, p in enumerate(pages):
+        for token in p.tokens:
+            vectors[html_extract.token_id(token)][i] += 1
+    assert len(t.classes) > 1 and t.classes[0].parent == -1
+    for c in t.classes:
+        assert len({tuple(vectors[x]) for x in c.tokens}) == 1
+    for c in t.classes[1:]:
+        outer = t.classes[c.parent].span
+        assert outer[0] <= c.span[0] and c.span[1] <= outer[1]
+    assert {tuple(vectors[x]) for x in t.root} == {(1,) * 9}
+    shuffled = t.root[:]
+    r.shuffle(shuffled)
+    seen = html_extract.slots(shuffled, t)
+    assert seen == sorted(seen)
+
+
+def test_parts_of_a_host_add_up(spark):
+    """Sums over pages in several partitions are those over all pages at once; templates joined or broadcast give the same."""
+    rows = [(i, f"http://h{i % 2}.example/{i}", PAGE.format(i, "word " * (i + 1)) if i % 7 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = {}
+    for h in (0, 1):
+        of = [r for r in rows if r[0] % 2 == h]
+        want |= dict(zip([r[0] for r in of], html_extract.extract([r[2] for r in of]), strict=True))
+    for most in (2_000_000, 0):
+        assert {r.page_id: r.text for r in html_extract.main_text(df, broadcast_tokens=most).collect()} == want
 
 
 @pytest.mark.parametrize("name", ["football", "footnotes", "formula", "navy", "shareholders", "social-science", "promotion", "recommendations", "legal", "search", "entry-header", "post format-standard", "related"])
