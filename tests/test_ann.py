@@ -20,19 +20,19 @@ def recall(metric, rows, found):
 
 
 def test_hnsw_recall():
-    g = K.HNSW(ROWS, MetricType.L2, 12, 60)
+    g = K.HNSW(K.Dense(ROWS, MetricType.L2), 12, 60)
     assert recall(MetricType.L2, ROWS, lambda q: [i for _, i in g.search(q, 80)][:10]) >= 0.8
 
 
 def test_vamana_recall():
-    g = K.Vamana(ROWS, MetricType.IP, 24, 40)
+    g = K.Vamana(K.Dense(ROWS, MetricType.IP), 24, 40)
     assert recall(MetricType.IP, ROWS, lambda q: [i for _, i in g.search(q, 80)][:10]) >= 0.8
 
 
 @pytest.mark.parametrize("metric", [MetricType.L2, MetricType.IP, MetricType.COSINE, MetricType.MIPSL2])
 def test_small_graphs_are_exact(metric):
     rows = ROWS[:200]
-    for g in (K.HNSW(rows, metric), K.Vamana(rows, metric)):
+    for g in (K.HNSW(K.Dense(rows, metric)), K.Vamana(K.Dense(rows, metric))):
         assert recall(metric, rows, lambda q, g=g: [i for _, i in g.search(q, 10)][:10]) == 1
 
 
@@ -75,3 +75,53 @@ def test_rotation_is_a_rotation():
 
 def test_half():
     assert half_bits(1.0) == 0x3C00 and half_value(0x3C00) == 1.0
+
+
+@pytest.mark.parametrize("share", [0.02, 0.3])
+def test_filtered_walks_give_k_rows(share):
+    """The filter is tested while nodes are accepted: k allowed rows come back, and most of the right ones."""
+    r = np.random.default_rng(9)
+    allowed = r.random(len(ROWS)) < share
+    nodes = np.flatnonzero(allowed)
+    for g in (K.HNSW(K.Dense(ROWS, MetricType.L2), 12, 60), K.Vamana(K.Dense(ROWS, MetricType.L2), 24, 40)):
+        hits = 0
+        for q in QUERIES:
+            found = [i for _, i in g.search(q, 10, allowed=allowed, exact_share=0.0)]
+            assert len(found) == 10 and allowed[found].all()
+            truth = nodes[np.argsort(K.distances(MetricType.L2, ROWS[nodes], q), kind="stable")[:10]]
+            hits += len(set(truth.tolist()) & set(found))
+        assert hits >= 0.8 * 80
+
+
+def test_sparse_graph():
+    r = np.random.default_rng(2)
+    rows = [{int(d): float(x) for d, x in zip(r.choice(60, 8, replace=False), r.random(8))} for _ in range(1200)]
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
+    space = K.Sparse(bounds, np.array([d for x in rows for d in sorted(x)]), np.array([x[d] for x in rows for d in sorted(x)]))
+    g = K.HNSW.load(space, K.HNSW(space, 16, 80).arrays())
+    hits = 0
+    for q in rows[:8]:
+        dots = np.array([sum(q.get(d, 0) * v for d, v in x.items()) for x in rows])
+        assert np.allclose(-space.to(q)(np.arange(len(rows))), dots)
+        hits += len(set(np.argsort(-dots, kind="stable")[:10].tolist()) & {i for _, i in g.search(q, 100)[:10]})
+    assert hits >= 0.8 * 80
+
+
+def test_arrays_hold_all_of_an_index():
+    import pyarrow as pa
+
+    from vekspar import schema as S
+    from vekspar.ann import indexes
+
+    rows = ROWS[:1100, :8]
+    table = pa.table([pa.array(range(1100)), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["_doc_id", "v"])
+    q = QUERIES[0, :8]
+    for params in (S.HNSWIndexParams(MetricType.L2, m=8, ef_construction=40), S.HNSWIndexParams(MetricType.L2, S.QuantizeType.INT8, m=8, ef_construction=40), S.HNSWRaBitQIndexParams(MetricType.IP, m=8, ef_construction=40), S.DiskANNIndexParams(MetricType.COSINE, max_degree=16, list_size=30, pq_chunks=4), S.VamanaIndexParams(MetricType.MIPSL2, max_degree=16, search_list_size=30)):
+        f = S.FieldSchema("v", S.DataType.VECTOR_FP32, True, 8, params)
+        part = indexes._load(indexes._make(table, f), params.metric)
+        ids, scores = part.hits(q, 40)
+        truth = np.argsort(K.distances(params.metric, rows, q), kind="stable")[:10]
+        assert len(set(truth.tolist()) & set(ids.tolist())) >= 7 and len(ids) == len(scores) == 40
+        assert len(part.hits(q, 5, linear=True)[0]) == 5
+    for quantize, most in ((S.QuantizeType.UNDEFINED, 0), (S.QuantizeType.FP16, 0.01), (S.QuantizeType.INT8, 0.05), (S.QuantizeType.INT4, 0.6)):
+        assert np.abs(indexes._unpacked(indexes._packed_rows(rows, quantize), 8, quantize) - rows).max() <= most

@@ -1,29 +1,37 @@
 """Vector indexes as tables.
 
-IVF: centroids from a bounded sample, and the vectors partitioned by their list, so a search
-reads the probed lists only. Graphs (HNSW, HNSW-RaBitQ, Vamana, DiskANN): one graph for each
-part of a bounded number of rows, stored as a blob; a search visits all parts in parallel and
-merges their best. Every row is in the index; filters and radius hold for the results.
+IVF: centroids from a sample of bounded bytes, and the vectors (or their codes) partitioned by
+their list, so a search reads the probed lists only; a long list is written by several tasks.
+Graphs (HNSW over dense or sparse vectors, HNSW-RaBitQ, Vamana, DiskANN): one graph for each
+part of a bounded number of rows, stored as plain arrays; a search visits all parts in parallel
+and merges their best, so its cost grows with the number of parts. Every row is in the index.
+
+A filter comes as the allowed ids (and, for groups, their group). Graphs are walked over all
+nodes and accept allowed ones only; where few are allowed, these are scanned exactly. So a
+filter never shortens a result.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import vectors as V
 from ..functions.vectors import CODES
 from ..schema import IndexType, MetricType
-from .kernels import HNSW, ProductQuantizer, RaBitQ, Vamana, distances, kmeans, nearest
+from .kernels import HNSW, Dense, ProductQuantizer, RaBitQ, Sparse, Vamana, distances, kmeans, nearest, scan
 
-#: Rows that train centroids, at most; rows of one graph.
-TRAIN_ROWS, PART_ROWS = 100_000, 20_000
+#: Rows and bytes that train centroids, at most; rows of one graph; rows of a list that a task writes.
+TRAIN_ROWS, TRAIN_BYTES, PART_ROWS, LIST_ROWS = 100_000, 256 << 20, 10_000, 100_000
+HITS = "_doc_id long, _score double"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -31,34 +39,51 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _coded(rows: np.ndarray, quantize: S.QuantizeType) -> np.ndarray:
-    """Rows as the quantizer would give them back."""
+def _sparse(column: pa.Array) -> Sparse:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    indices = column.field("indices")
+    bounds = np.asarray(indices.offsets, np.int64)
+    return Sparse(bounds - bounds[0], np.asarray(indices.flatten(), np.int64), column.field("values").flatten().to_numpy(zero_copy_only=False))
+
+
+def _codes(rows: np.ndarray, quantize: S.QuantizeType) -> dict[str, np.ndarray]:
+    """Rows as they are stored: as half precision, as codes with scale and bias, or as they are."""
     if quantize == S.QuantizeType.FP16:
-        return rows.astype(np.float16).astype(np.float64)
+        return {"half": rows.astype(np.float16)}
     if quantize not in (S.QuantizeType.INT8, S.QuantizeType.INT4):
-        return rows
+        return {"rows": rows.astype(np.float32) if np.array_equal(rows, rows.astype(np.float32)) else rows}
     low, high = CODES[8 if quantize == S.QuantizeType.INT8 else 4]
     least, most = rows.min(axis=1, keepdims=True), rows.max(axis=1, keepdims=True)
     scale = (high - low) / np.maximum(most - least, 1.1920928955078125e-7)
     bias = low - least * scale
     t = rows * scale + bias
-    code = np.clip(np.sign(t) * np.floor(np.abs(t) + 0.5), low, high)
-    return np.where(most > least, (code - bias) / scale, rows)
+    code = np.clip(np.sign(t) * np.floor(np.abs(t) + 0.5), low, high).astype(np.int8)
+    return {"code": code, "scale": scale, "bias": bias, "flat": np.where(most > least, np.nan, least)}
 
 
-def build(rows: DataFrame, f: S.FieldSchema, path: str) -> None:
-    """rows: _doc_id and v. Writes the index of a field to a path."""
-    if f.data_type.is_sparse:
-        return  # sparse fields are searched exactly
+def _decoded(a: dict[str, np.ndarray]) -> np.ndarray:
+    if "half" in a:
+        return a["half"].astype(np.float64)
+    if "code" in a:
+        return np.where(np.isnan(a["flat"]), (a["code"] - a["bias"]) / a["scale"], a["flat"])
+    return a["rows"].astype(np.float64)
+
+
+def build(rows: DataFrame, f: S.FieldSchema, path: str, part_rows: int = PART_ROWS) -> None:
+    """rows: _doc_id and v (no nulls). Writes the index of a field to a path."""
     if f.index.index_type == IndexType.IVF:
         _build_ivf(rows, f, path)
     else:
-        _build_graphs(rows, f, path)
+        _build_graphs(rows, f, path, part_rows)
+
+
+# --- IVF -----------------------------------------------------------------------------------
 
 
 def _build_ivf(rows: DataFrame, f: S.FieldSchema, path: str) -> None:
     index: S.IVFIndexParams = f.index
-    sample = rows.orderBy(F.xxhash64("_doc_id"), "_doc_id").limit(TRAIN_ROWS).select("v").toArrow()
+    most = max(1, min(TRAIN_ROWS, TRAIN_BYTES // (8 * max(1, f.dimension))))
+    sample = rows.orderBy(F.xxhash64("_doc_id"), "_doc_id").limit(most).select("v").toArrow()
     train = _matrix(sample.column("v")) if sample.num_rows else np.zeros((0, f.dimension))
     inner = index.metric in (MetricType.IP, MetricType.COSINE)
     centroids, _ = kmeans(train, index.n_list, index.metric, index.n_iterations, spherical=inner) if len(train) else (np.zeros((0, f.dimension)), None)
@@ -69,79 +94,259 @@ def _build_ivf(rows: DataFrame, f: S.FieldSchema, path: str) -> None:
             if batch.num_rows:
                 x = _matrix(batch.column("v"))
                 labels, _ = nearest(metric, x, centroids)
-                yield pa.record_batch([batch.column("_doc_id"), pa.array(list(_coded(x, quantize)), pa.list_(pa.float64())), pa.array(labels.astype(np.int32))], ["_doc_id", "v", "list_id"])
+                yield pa.record_batch([batch.column("_doc_id"), pa.array(_packed_rows(x, quantize), pa.binary()), pa.array(labels.astype(np.int32))], ["_doc_id", "v", "list_id"])
 
-    rows.mapInArrow(assign, "_doc_id long, v array<double>, list_id int").repartition("list_id").write.partitionBy("list_id").parquet(f"{path}/lists")
+    parts = max(1, -(-rows.count() // LIST_ROWS))
+    listed = rows.mapInArrow(assign, "_doc_id long, v binary, list_id int")
+    # A list that holds many rows is shared by tasks.
+    listed.repartition(max(1, min(len(centroids), 200)) * parts, "list_id", F.pmod(F.xxhash64("_doc_id"), F.lit(parts))).write.partitionBy("list_id").parquet(f"{path}/lists")
     rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "list_id int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
 
 
-def _make(x: np.ndarray, f: S.FieldSchema) -> dict:
-    """One part's graph with the codes that its searches use."""
-    i = f.index
-    if isinstance(i, S.HNSWRaBitQIndexParams):
-        model = RaBitQ(x, i.metric, i.total_bits, i.num_clusters, i.sample_count)
-        return {"graph": HNSW(x, i.metric, i.m, i.ef_construction), "rabitq": model, "codes": model.encode(x)}
-    if isinstance(i, S.HNSWIndexParams):
-        return {"graph": HNSW(_coded(x, i.quantize), i.metric, i.m, i.ef_construction)}
-    if isinstance(i, S.DiskANNIndexParams):
-        # Cosine is walked as L2 over unit vectors.
-        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) if i.metric == MetricType.COSINE else x
-        pq = ProductQuantizer(unit, i.pq_chunks or max(1, f.dimension // 2), MetricType.IP if i.metric == MetricType.IP else MetricType.L2)
-        return {"graph": Vamana(x, i.metric, i.max_degree, i.list_size), "pq": pq, "codes": pq.encode(unit)}
-    return {"graph": Vamana(_coded(x, i.quantize), i.metric, i.max_degree, i.search_list_size, i.alpha, i.max_occlusion_size or 750, i.saturate_graph)}
+def _packed_rows(x: np.ndarray, quantize: S.QuantizeType) -> list[bytes]:
+    """Each row's codes (with bias, scale and the value of a constant row) as bytes; plain rows as doubles."""
+    a = _codes(x, quantize)
+    parts = [a[k] for k in ("bias", "code", "flat", "scale") if k in a] or [a.get("half", x.astype(np.float64))]
+    return [r.tobytes() for r in np.concatenate([np.ascontiguousarray(p).view(np.uint8).reshape(len(x), -1) for p in parts], axis=1)]
 
 
-def _build_graphs(rows: DataFrame, f: S.FieldSchema, path: str) -> None:
-    parts = max(1, -(-rows.count() // PART_ROWS))
+def _unpacked(rows: list[bytes], dimension: int, quantize: S.QuantizeType) -> np.ndarray:
+    """The vectors of packed rows."""
+    if not rows:
+        return np.zeros((0, dimension))
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    if quantize == S.QuantizeType.FP16:
+        return _decoded({"half": raw.view(np.float16)})
+    if quantize in (S.QuantizeType.INT8, S.QuantizeType.INT4):
+        rest = np.ascontiguousarray(raw[:, 8 + dimension :]).view(np.float64)
+        return _decoded({"bias": np.ascontiguousarray(raw[:, :8]).view(np.float64), "code": raw[:, 8 : 8 + dimension].view(np.int8), "flat": rest[:, :1], "scale": rest[:, 1:]})
+    return raw.view(np.float64)
 
-    def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_doc_id")
-        made = _make(_matrix(table.column("v")), f) | {"ids": np.asarray(table.column("_doc_id"))}
-        return pa.table([pa.array([pickle.dumps(made)], pa.binary())], ["graph"])
 
-    rows.withColumn("part", F.pmod(F.xxhash64("_doc_id"), F.lit(parts))).groupBy("part").applyInArrow(one, "graph binary").write.parquet(f"{path}/graphs")
+def _list_scores(metric: MetricType, query: np.ndarray, dimension: int, quantize: S.QuantizeType) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = V.scores(metric, _unpacked(batch.column("v").to_pylist(), dimension, quantize), query) if batch.num_rows else np.zeros(0)
+            yield pa.record_batch([batch.column("_doc_id"), pa.array(np.asarray(s, float).ravel())], ["_doc_id", "_score"])
+
+    return run
 
 
-def search(spark: SparkSession, path: str, f: S.FieldSchema, params: S.QueryParams, vector: list[float], k: int, allowed: DataFrame, radius: float) -> DataFrame:
-    """Columns _doc_id, _score of up to k rows of allowed (column _doc_id)."""
+# --- Graphs --------------------------------------------------------------------------------
+
+
+@dataclass
+class Part:
+    """A graph with what its searches need."""
+
+    graph: HNSW | Vamana
+    ids: np.ndarray
+    metric: MetricType
+    rabitq: RaBitQ | None = None
+    pq: ProductQuantizer | None = None
+    codes: dict[str, np.ndarray] | None = None
+
+    def hits(self, query: Any, width: int, allowed: np.ndarray | None = None, exact_share: float = 0.1, linear: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of up to width allowed rows, best first. linear: all rows, by their codes if there are any."""
+        sign = -1.0 if self.metric.descending else 1.0
+        of = None
+        if self.rabitq:
+            of = lambda o: sign * self.rabitq.estimate({n: c[o] for n, c in self.codes.items()}, query)[0]
+        if linear:
+            found = scan(of or self.graph.space.to(query), np.arange(len(self.ids)) if allowed is None else np.flatnonzero(allowed), width)
+        elif self.pq:
+            # Cosine is walked as L2 over unit vectors.
+            table = self.pq.table(query / max(np.linalg.norm(query), 1e-30) if self.metric == MetricType.COSINE else query)
+            found = self.graph.search(query, width, lambda o: self.pq.distances(table, self.codes["pq_codes"][o]), allowed, exact_share)
+        else:
+            found = self.graph.search(query, width, of, allowed, exact_share)
+        return self.ids[np.array([i for _, i in found], np.int64)], sign * np.array([d for d, _ in found], np.float64)
+
+    def grouped(self, query: Any, width: int, allowed: np.ndarray, group: np.ndarray, groups: int, each: int, exact_share: float) -> tuple[np.ndarray, np.ndarray]:
+        """As hits(), in wider and wider searches until enough groups are full, or all allowed rows are found."""
+        place = {int(d): i for i, d in enumerate(self.ids)}
+        while True:
+            ids, scores = self.hits(query, width, allowed, exact_share)
+            _, many = np.unique(group[[place[int(d)] for d in ids]], return_counts=True)
+            if (many >= each).sum() >= groups or len(ids) < width or width >= len(self.ids):
+                return ids, scores
+            width *= 4
+
+
+def _make(table: pa.Table, f: S.FieldSchema) -> bytes:
+    """One part as arrays."""
+    i, a = f.index, {"ids": np.asarray(table.column("_doc_id").combine_chunks(), np.int64)}
     if f.data_type.is_sparse:
-        raise ValueError("sparse fields have no artifact")
-    query, metric = np.asarray(vector, np.float64), f.index.metric
+        space = _sparse(table.column("v"))
+        values = space.values.astype(np.float16) if i.quantize == S.QuantizeType.FP16 else space.values.astype(np.float32)
+        space = Sparse(space.bounds, space.indices, values)
+        a |= {"s_bounds": space.bounds, "s_indices": space.indices.astype(np.uint32), "s_values": values}
+        a |= HNSW(space, i.m, i.ef_construction).arrays()
+    else:
+        x = _matrix(table.column("v"))
+        if isinstance(i, S.HNSWRaBitQIndexParams):
+            model = RaBitQ(x, i.metric, i.total_bits, i.num_clusters, i.sample_count)
+            a |= _codes(x, S.QuantizeType.UNDEFINED) | HNSW(Dense(x, i.metric), i.m, i.ef_construction).arrays() | model.arrays() | {f"c_{k}": v for k, v in model.encode(x).items()}
+        elif isinstance(i, S.DiskANNIndexParams):
+            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) if i.metric == MetricType.COSINE else x
+            pq = ProductQuantizer(unit, i.pq_chunks or max(1, f.dimension // 2), MetricType.IP if i.metric == MetricType.IP else MetricType.L2)
+            a |= _codes(x, S.QuantizeType.UNDEFINED) | Vamana(Dense(x, i.metric), i.max_degree, i.list_size).arrays() | pq.arrays() | {"c_pq_codes": pq.encode(unit)}
+        else:
+            stored = _codes(x, i.quantize)
+            space = Dense(_decoded(stored), i.metric)
+            graph = HNSW(space, i.m, i.ef_construction) if isinstance(i, S.HNSWIndexParams) else Vamana(space, i.max_degree, i.search_list_size, i.alpha, i.max_occlusion_size or 750, i.saturate_graph)
+            a |= stored | graph.arrays()
+    out = io.BytesIO()
+    np.savez(out, **a)
+    return out.getvalue()
+
+
+def _load(blob: bytes, metric: MetricType) -> Part:
+    a = dict(np.load(io.BytesIO(blob), allow_pickle=False))
+    space = Sparse(a["s_bounds"], a["s_indices"].astype(np.int64), a["s_values"]) if "s_bounds" in a else Dense(_decoded(a), metric)
+    graph = (HNSW if "levels" in a else Vamana).load(space, a)
+    codes = {k[2:]: v for k, v in a.items() if k.startswith("c_")}
+    return Part(graph, a["ids"], metric, RaBitQ.load(a) if "rq_bits" in a else None, ProductQuantizer.load(a) if "pq_bounds" in a else None, codes)
+
+
+def _build_graphs(rows: DataFrame, f: S.FieldSchema, path: str, part_rows: int) -> None:
+    parts = max(1, -(-rows.count() // part_rows))
+
+    def one(table: pa.Table) -> pa.Table:
+        return pa.table([table.column("part")[:1], pa.array([_make(table.sort_by("_doc_id"), f)], pa.binary())], ["part", "graph"])
+
+    rows.withColumn("part", F.pmod(F.xxhash64("_doc_id"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(one, "part int, graph binary").write.option("parquet.block.size", 64 << 20).parquet(f"{path}/graphs")
+    rows.sparkSession.createDataFrame([(parts,)], "parts long").coalesce(1).write.parquet(f"{path}/parts")
+
+
+# --- Search --------------------------------------------------------------------------------
+
+
+def _width(params: S.QueryParams, k: int) -> int:
+    return max(k, getattr(params, "ef", 0), getattr(params, "list_size", 0))
+
+
+def _query(f: S.FieldSchema, vector: Any) -> Any:
+    return dict(vector) if f.data_type.is_sparse else np.asarray(vector, np.float64)
+
+
+def search(
+    spark: SparkSession,
+    path: str,
+    f: S.FieldSchema,
+    params: S.QueryParams,
+    vector: Any,
+    k: int,
+    allowed: DataFrame | None = None,
+    radius: float = 0.0,
+    exact_share: float = 0.1,
+    groups: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Columns _doc_id, _score of up to k rows of allowed (column _doc_id; null: all rows).
+
+    groups (their number, rows of each): allowed has a column _group, and k doesn't bound the result.
+    """
+    query, metric = _query(f, vector), f.index.metric
     if f.index.index_type == IndexType.IVF:
         table = spark.read.parquet(f"{path}/centroids").orderBy("list_id").toArrow()
         if not table.num_rows:
-            return spark.createDataFrame([], "_doc_id long, _score double")
+            return spark.createDataFrame([], HITS)
         d = distances(metric, _matrix(table.column("centroid")), query)
-        probed = np.argsort(d, kind="stable")[: params.n_probe].tolist()
-        lists = spark.read.parquet(f"{path}/lists").where(F.col("list_id").isin(probed))
-        scored = lists.join(allowed, "_doc_id", "left_semi").select("_doc_id", V.score(metric, F.col("v"), vector).alias("_score"))
+        probed = np.argsort(d, kind="stable")[: len(d) if params.linear else params.n_probe].tolist()
+        lists = spark.read.parquet(f"{path}/lists").where(F.col("list_id").isin(probed)).select("_doc_id", "v")
+        lists = lists if allowed is None else lists.join(allowed.select("_doc_id"), "_doc_id", "left_semi")
+        found = lists.mapInArrow(_list_scores(metric, query, f.dimension, f.index.quantize), HITS)
     else:
-        width = max(k, getattr(params, "ef", 0), getattr(params, "list_size", 0))
-        graphs = spark.read.parquet(f"{path}/graphs")
-        found = graphs.mapInArrow(_searcher(query, metric, width), "_doc_id long, _score double")
-        scored = found.join(allowed, "_doc_id", "left_semi")
+        graphs, width, linear = spark.read.parquet(f"{path}/graphs"), _width(params, k), params.linear
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column("graph"):
+                    ids, scores = _load(blob.as_py(), metric).hits(query, width, None, exact_share, linear)
+                    yield pa.record_batch([pa.array(ids.astype(np.int64)), pa.array(scores)], ["_doc_id", "_score"])
+
+        def filtered(left: pa.Table, right: pa.Table) -> pa.Table:
+            ids, scores = np.zeros(0, np.int64), np.zeros(0)
+            if left.num_rows and right.num_rows:
+                part = _load(left.column("graph")[0].as_py(), metric)
+                own = np.asarray(right.column("_doc_id").combine_chunks(), np.int64)
+                mask = np.isin(part.ids, own)
+                if groups:
+                    of = dict(zip(own.tolist(), right.column("_group").to_pylist(), strict=True))
+                    names = np.unique([of[d] for d in part.ids[mask].tolist()], return_inverse=True)[1] if mask.any() else np.zeros(0, np.int64)
+                    group = np.full(len(part.ids), -1)
+                    group[mask] = names
+                    ids, scores = part.grouped(query, width, mask, group, *groups, exact_share)
+                else:
+                    ids, scores = part.hits(query, width, mask, exact_share, linear)
+            return pa.table([pa.array(ids.astype(np.int64)), pa.array(scores)], ["_doc_id", "_score"])
+
+        if allowed is None:
+            found = graphs.mapInArrow(run, HITS)
+        else:
+            parts = spark.read.parquet(f"{path}/parts").first()[0]
+            keyed = allowed.select("_doc_id", *(["_group"] if groups else [])).withColumn("part", F.pmod(F.xxhash64("_doc_id"), F.lit(parts)).cast("int"))
+            # A part holds PART_ROWS rows or so, so what a task gets is bounded.
+            found = graphs.groupBy("part").cogroup(keyed.groupBy("part")).applyInArrow(filtered, HITS)
     s = F.col("_score")
-    return scored.where(V.within_radius(metric, s, radius)).orderBy(V.best_first(metric, s), "_doc_id").limit(k)
+    found = found.where(V.within_radius(metric, s, radius))
+    return found if groups else found.orderBy(V.best_first(metric, s), "_doc_id").limit(k)
 
 
-def _searcher(query: np.ndarray, metric: MetricType, width: int):
+def search_many(spark: SparkSession, path: str, f: S.FieldSchema, params: S.QueryParams, queries: DataFrame, k: int) -> DataFrame:
+    """Columns query_id, rank (from 0), _doc_id, _score: the k best of each row of queries (query_id, v)."""
+    metric, width, linear = f.index.metric, _width(params, k), params.linear
+    kind, names = "query_id long, _doc_id long, _score double", ["query_id", "_doc_id", "_score"]
+    best = Window.partitionBy("query_id").orderBy(V.best_first(metric, F.col("_score")), "_doc_id")
     sign = -1.0 if metric.descending else 1.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column("graph"):
-                made = pickle.loads(blob.as_py())
-                g, ids = made["graph"], made["ids"]
-                if "rabitq" in made:
-                    codes = made["codes"]
-                    found = g.search(query, width, lambda o: sign * made["rabitq"].estimate({n: c[o] for n, c in codes.items()}, query)[0])
-                elif "pq" in made:
-                    q = query / max(np.linalg.norm(query), 1e-30) if metric == MetricType.COSINE else query
-                    table = made["pq"].table(q)
-                    found = g.search(query, width, lambda o: made["pq"].distances(table, made["codes"][o]))
-                else:
-                    found = g.search(query, width)
-                at = np.array([i for _, i in found], np.int64)
-                yield pa.record_batch([pa.array(ids[at].astype(np.int64)), pa.array(sign * np.array([d for d, _ in found], np.float64))], ["_doc_id", "_score"])
+    def table(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+        q = np.concatenate([np.full(len(ids), i, np.int64) for i, ids, _ in rows]) if rows else np.zeros(0, np.int64)
+        return pa.table([pa.array(q), pa.array(np.concatenate([x for _, x, _ in rows]).astype(np.int64) if rows else q), pa.array(np.concatenate([x for *_, x in rows]) if rows else np.zeros(0))], names)
 
-    return run
+    def vectors(t: pa.Table) -> Iterator[tuple[int, Any]]:
+        for q, v in zip(t.column("query_id").to_pylist(), t.column("v").to_pylist(), strict=True):
+            yield q, dict(zip(v["indices"], v["values"], strict=True)) if f.data_type.is_sparse else np.array(v, np.float64)
+
+    if f.index.index_type == IndexType.IVF:
+        centroids, dimension = _matrix(spark.read.parquet(f"{path}/centroids").orderBy("list_id").toArrow().column("centroid")), f.dimension
+        quantize = f.index.quantize
+        probes = len(centroids) if linear else params.n_probe
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(centroids):
+                    d = distances(metric, centroids, _matrix(batch.column("v"))).reshape(len(centroids), -1)
+                    lists = np.argsort(d, axis=0, kind="stable")[:probes]
+                    at = np.tile(np.arange(batch.num_rows), len(lists))
+                    part = batch.take(pa.array(at))
+                    yield pa.record_batch([part.column("query_id"), part.column("v"), pa.array(lists.ravel().astype(np.int32))], ["query_id", "v", "list_id"])
+
+        def lists_of(left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = []
+            if left.num_rows and right.num_rows:
+                x, ids = _unpacked(right.column("v").to_pylist(), dimension, quantize), np.asarray(right.column("_doc_id").combine_chunks())
+                for q, v in vectors(left):
+                    s = np.asarray(V.scores(metric, x, v)).ravel()
+                    at = np.lexsort((ids, sign * s))[:k]
+                    rows.append((q, ids[at], s[at]))
+            return table(rows)
+
+        lists = spark.read.parquet(f"{path}/lists")
+        salt = max(1, -(-lists.count() // (max(1, len(centroids)) * LIST_ROWS)))  # a long list is met in several tasks
+        asked = queries.mapInArrow(probe, "query_id long, v array<double>, list_id int").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        salted = lists.withColumn("salt", F.pmod(F.xxhash64("_doc_id"), F.lit(salt)).cast("int"))
+        found = asked.groupBy("list_id", "salt").cogroup(salted.groupBy("list_id", "salt")).applyInArrow(lists_of, kind)
+    else:
+        graphs = spark.read.parquet(f"{path}/graphs")
+        parts = spark.read.parquet(f"{path}/parts").first()[0]
+
+        def each(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return table([])
+            part = _load(right.column("graph")[0].as_py(), metric)
+            return table([(q, *(x[:width] for x in part.hits(v, width, linear=linear))) for q, v in vectors(left)])
+
+        asked = queries.select("query_id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1).cast("int"))).alias("part"))
+        found = asked.groupBy("part").cogroup(graphs.groupBy("part")).applyInArrow(each, kind)
+    return found.withColumn("rank", (F.row_number().over(best) - 1).cast("long")).where(F.col("rank") < k).select("query_id", "rank", "_doc_id", "_score")

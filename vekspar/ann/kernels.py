@@ -147,6 +147,17 @@ class ProductQuantizer:
     def distances(self, table: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return table[np.arange(len(table)), codes].sum(axis=1)
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"pq_bounds": self.bounds, "pq_metric": np.array(int(self.metric)), "pq_books": np.concatenate([b.ravel() for b in self.books])}
+
+    @classmethod
+    def load(cls, a: dict[str, np.ndarray]) -> ProductQuantizer:
+        out = cls.__new__(cls)
+        out.bounds, out.metric = a["pq_bounds"], MetricType(int(a["pq_metric"]))
+        widths = np.diff(out.bounds)
+        out.books = [b.reshape(256, -1) for b in np.split(a["pq_books"], np.cumsum(widths * 256)[:-1])]
+        return out
+
 
 # --- RaBitQ --------------------------------------------------------------------------------
 
@@ -193,6 +204,17 @@ class RaBitQ:
         fit = (norm * np.linalg.norm(code, axis=1) / np.where(dot == 0, 1, dot)) ** 2
         return {"code": code.astype(np.float32), "cluster": cluster, "factor": factor, "norm": norm, "error": norm * np.sqrt(np.maximum(fit - 1, 0) / max(1, self.dim - 1))}
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"rq_metric": np.array(int(self.metric)), "rq_bits": np.array(self.bits), "rq_dim": np.array(self.dim), "rq_signs": self.rotation.signs, "rq_centroids": self.centroids, "rq_scale": np.array(self.scale)}
+
+    @classmethod
+    def load(cls, a: dict[str, np.ndarray]) -> RaBitQ:
+        out = cls.__new__(cls)
+        out.metric, out.bits, out.dim = MetricType(int(a["rq_metric"])), int(a["rq_bits"]), int(a["rq_dim"])
+        out.rotation = Rotation(out.dim)
+        out.rotation.signs, out.centroids, out.scale = a["rq_signs"], a["rq_centroids"], float(a["rq_scale"])
+        return out
+
     def estimate(self, coded: dict[str, np.ndarray], query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimated scores in the metric's own sense, and a bound of their error."""
         q = self.rotation.rotate(self._padded(self._prepared(query[None], self.metric)))[0]
@@ -209,7 +231,7 @@ class RaBitQ:
 
 # --- Graphs --------------------------------------------------------------------------------
 
-Distance = Callable[[int, np.ndarray], np.ndarray]
+Between = Callable[[int, np.ndarray], np.ndarray]
 
 
 def _prepared(metric: MetricType, rows: np.ndarray) -> Callable[[np.ndarray, float, np.ndarray], np.ndarray]:
@@ -232,19 +254,64 @@ def _prepared(metric: MetricType, rows: np.ndarray) -> Callable[[np.ndarray, flo
     return of
 
 
-def _between(metric: MetricType, rows: np.ndarray) -> Distance:
-    of, square = _prepared(metric, rows), (rows**2).sum(axis=1)
-    return lambda i, others: of(rows[i], float(square[i]), others)
+class Dense:
+    """Rows of equal length under a metric."""
+
+    def __init__(self, rows: np.ndarray, metric: MetricType) -> None:
+        self.rows, self.metric = rows.astype(np.float64), metric
+        self._of, self._square = _prepared(metric, self.rows), (self.rows**2).sum(axis=1)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def between(self, i: int, others: np.ndarray) -> np.ndarray:
+        return self._of(self.rows[i], float(self._square[i]), others)
+
+    def to(self, query: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        return lambda o: distances(self.metric, self.rows[o], query)
 
 
-def beam(start: list[int], neighbours: Callable[[int], np.ndarray], distance: Callable[[np.ndarray], np.ndarray], width: int, size: int) -> list[tuple[float, int]]:
-    """Best-first search with a list of width nodes; (distance, node), best first."""
+class Sparse:
+    """Sparse rows under the inner product: row i has the coordinates from bounds[i] to bounds[i + 1]."""
+
+    def __init__(self, bounds: np.ndarray, indices: np.ndarray, values: np.ndarray) -> None:
+        self.bounds, self.indices, self.values = bounds.astype(np.int64), indices, values.astype(np.float64)
+        self.dims, self._at = np.unique(indices, return_inverse=True)
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def _dots(self, others: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        sizes = self.bounds[others + 1] - self.bounds[others]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.bounds[others] - (ends - sizes), sizes)
+        return np.bincount(np.repeat(np.arange(len(others)), sizes), weights=self.values[at] * dense[self._at[at]], minlength=len(others))
+
+    def between(self, i: int, others: np.ndarray) -> np.ndarray:
+        own, dense = slice(self.bounds[i], self.bounds[i + 1]), np.zeros(len(self.dims))
+        dense[self._at[own]] = self.values[own]
+        return -self._dots(np.asarray(others), dense)
+
+    def to(self, query: dict[int, float]) -> Callable[[np.ndarray], np.ndarray]:
+        dense = np.zeros(len(self.dims))
+        for d, x in query.items():
+            at = int(np.searchsorted(self.dims, d))
+            if at < len(self.dims) and self.dims[at] == d:
+                dense[at] = x
+        return lambda o: -self._dots(np.asarray(o), dense)
+
+
+def beam(start: list[int], neighbours: Callable[[int], np.ndarray], distance: Callable[[np.ndarray], np.ndarray], width: int, size: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
+    """Best-first search with a list of width nodes; (distance, node), best first.
+
+    All nodes are walked, but only allowed ones are accepted, so a filter doesn't shorten the result.
+    """
     seen = np.zeros(size, bool)
     seen[start] = True
     d = distance(np.array(start))
     todo = [(float(x), i) for x, i in zip(d, start, strict=True)]
     heapq.heapify(todo)
-    best = [(-x, -i) for x, i in todo]
+    best = [(-x, -i) for x, i in todo if allowed is None or allowed[i]]
     heapq.heapify(best)
     while todo:
         x, i = heapq.heappop(todo)
@@ -257,24 +324,50 @@ def beam(start: list[int], neighbours: Callable[[int], np.ndarray], distance: Ca
             for y, j in zip(distance(near).tolist(), near.tolist(), strict=True):
                 if len(best) < width or (y, j) < (-best[0][0], -best[0][1]):
                     heapq.heappush(todo, (y, j))
-                    heapq.heappush(best, (-y, -j))
-                    if len(best) > width:
-                        heapq.heappop(best)
+                    if allowed is None or allowed[j]:
+                        heapq.heappush(best, (-y, -j))
+                        if len(best) > width:
+                            heapq.heappop(best)
     return sorted((-x, -i) for x, i in best)
 
 
+def scan(distance: Callable[[np.ndarray], np.ndarray], nodes: np.ndarray, width: int) -> list[tuple[float, int]]:
+    """The width best of some nodes, exactly."""
+    d = distance(nodes) if len(nodes) else np.zeros(0)
+    return sorted(zip(d.tolist(), nodes.tolist(), strict=True))[:width]
+
+
+def walked(walk: Callable[[int], list[tuple[float, int]]], distance: Callable[[np.ndarray], np.ndarray], width: int, size: int, allowed: np.ndarray | None, exact_share: float) -> list[tuple[float, int]]:
+    """A walk, or an exact scan where few nodes are allowed or the walk has missed some that it should have found."""
+    if allowed is None:
+        return walk(width)
+    nodes = np.flatnonzero(allowed)
+    if len(nodes) <= max(width, exact_share * size):
+        return scan(distance, nodes, width)
+    found = walk(width)
+    return found if len(found) >= min(width, len(nodes)) else scan(distance, nodes, width)
+
+
+def flat_links(links: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(([0], np.cumsum([len(x) for x in links]))).astype(np.int64), np.concatenate([*links, np.zeros(0)]).astype(np.int32)
+
+
+def cut_links(bounds: np.ndarray, flat: np.ndarray) -> list[np.ndarray]:
+    return [flat[a:b].astype(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 class HNSW:
     """Layers of navigable graphs; below EXACT_BELOW rows the search is exact."""
 
-    def __init__(self, rows: np.ndarray, metric: MetricType, m: int = 50, ef_construction: int = 500, seed: int = 0) -> None:
-        self.rows, self.metric, self.m = rows.astype(np.float64), metric, m
-        n = len(rows)
+    def __init__(self, space: Dense | Sparse, m: int = 50, ef_construction: int = 500, seed: int = 0, exact_below: int = EXACT_BELOW) -> None:
+        self.space, self.m = space, m
+        n = len(space)
         levels = np.minimum(14, (-np.log(1 - np.random.default_rng(seed).random(n)) / math.log(max(2, m))).astype(int))
         self.links: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * (int(v) + 1) for v in levels]
         self.entry = -1
-        if n <= EXACT_BELOW:
+        if n <= exact_below:
             return
-        between = _between(metric, self.rows)
+        between = space.between
         for i in range(n):
             top = int(levels[i])
             if self.entry < 0:
@@ -301,7 +394,7 @@ class HNSW:
         return 2 * self.m if level == 0 else self.m
 
     @staticmethod
-    def _diverse(between: Distance, found: list[tuple[float, int]], room: int) -> np.ndarray:
+    def _diverse(between: Between, found: list[tuple[float, int]], room: int) -> np.ndarray:
         """Candidates that are nearer to the new node than to any kept one."""
         kept: list[int] = []
         for d, i in found:
@@ -311,29 +404,45 @@ class HNSW:
                 kept.append(i)
         return np.array(kept, np.int64)
 
-    def search(self, query: np.ndarray, width: int, distance: Callable[[np.ndarray], np.ndarray] | None = None) -> list[tuple[float, int]]:
-        """(distance, row) of up to width rows, best first; distance replaces the exact one."""
-        exact = distance or (lambda o: distances(self.metric, self.rows[o], query))
+    def search(self, query, width: int, distance: Callable[[np.ndarray], np.ndarray] | None = None, allowed: np.ndarray | None = None, exact_share: float = 0.1) -> list[tuple[float, int]]:
+        """(distance, row) of up to width allowed rows, best first; distance replaces the space's own."""
+        of, n = distance or self.space.to(query), len(self.space)
         if self.entry < 0:
-            d = exact(np.arange(len(self.rows))) if len(self.rows) else np.zeros(0)
-            return sorted(zip(d.tolist(), range(len(d)), strict=True))
-        at = [self.entry]
-        for level in range(len(self.links[self.entry]) - 1, 0, -1):
-            at = [v for _, v in beam(at, lambda v, lv=level: self.links[v][lv], exact, 1, len(self.rows))]
-        return beam(at, lambda v: self.links[v][0], exact, width, len(self.rows))
+            return scan(of, np.arange(n) if allowed is None else np.flatnonzero(allowed), width)
+
+        def walk(width: int) -> list[tuple[float, int]]:
+            at = [self.entry]
+            for level in range(len(self.links[self.entry]) - 1, 0, -1):
+                at = [v for _, v in beam(at, lambda v, lv=level: self.links[v][lv], of, 1, n)]
+            return beam(at, lambda v: self.links[v][0], of, width, n, allowed)
+
+        return walked(walk, of, width, n, allowed, exact_share)
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        bounds, flat = flat_links([x for node in self.links for x in node])
+        return {"levels": np.array([len(x) for x in self.links], np.int32), "bounds": bounds, "links": flat, "entry": np.array(self.entry), "m": np.array(self.m)}
+
+    @classmethod
+    def load(cls, space: Dense | Sparse, a: dict[str, np.ndarray]) -> HNSW:
+        out = cls.__new__(cls)
+        out.space, out.m, out.entry = space, int(a["m"]), int(a["entry"])
+        flat, at, out.links = cut_links(a["bounds"], a["links"]), 0, []
+        for n in a["levels"].tolist():
+            out.links.append(flat[at : at + n])
+            at += n
+        return out
 
 
 class Vamana:
     """A flat graph pruned for long links; with a product quantizer the frontier is ordered by codes."""
 
-    def __init__(self, rows: np.ndarray, metric: MetricType, degree: int = 64, list_size: int = 100, alpha: float = 1.2, most: int = 750, saturate: bool = False) -> None:
-        self.rows, self.metric = rows.astype(np.float64), metric
-        n = len(rows)
-        self.links = [np.zeros(0, np.int64)] * n
-        self.entry = int(((self.rows - self.rows.mean(axis=0)) ** 2).sum(axis=1).argmin()) if n else -1
-        if n <= EXACT_BELOW:
+    def __init__(self, space: Dense, degree: int = 64, list_size: int = 100, alpha: float = 1.2, most: int = 750, saturate: bool = False, exact_below: int = EXACT_BELOW) -> None:
+        self.space, n = space, len(space)
+        self.links, self.entry = [np.zeros(0, np.int64)] * n, -1
+        if n <= exact_below:
             return
-        between = _between(metric, self.rows)
+        self.entry = int(((space.rows - space.rows.mean(axis=0)) ** 2).sum(axis=1).argmin())
+        between = space.between
         for i in range(n):
             if i == self.entry:
                 continue
@@ -344,7 +453,7 @@ class Vamana:
                 self.links[j] = self._prune(between, j, both, degree, alpha, most, saturate) if len(both) > degree else both
 
     @staticmethod
-    def _prune(between: Distance, owner: int, candidates: np.ndarray, degree: int, alpha: float, most: int, saturate: bool) -> np.ndarray:
+    def _prune(between: Between, owner: int, candidates: np.ndarray, degree: int, alpha: float, most: int, saturate: bool) -> np.ndarray:
         if not len(candidates):
             return np.zeros(0, np.int64)
         d = between(owner, candidates)
@@ -369,16 +478,22 @@ class Vamana:
             kept += [i for i in range(len(candidates)) if not taken[i]][: degree - len(kept)]
         return candidates[kept]
 
-    def search(self, query: np.ndarray, width: int, quick: Callable[[np.ndarray], np.ndarray] | None = None) -> list[tuple[float, int]]:
-        """(distance, row), best first. quick orders the frontier; results have exact distances."""
-        def exact(o: np.ndarray) -> np.ndarray:
-            return distances(self.metric, self.rows[o], query)
-
-        if len(self.rows) <= EXACT_BELOW:
-            d = exact(np.arange(len(self.rows))) if len(self.rows) else np.zeros(0)
-            return sorted(zip(d.tolist(), range(len(d)), strict=True))
-        found = beam([self.entry], lambda v: self.links[v], quick or exact, width, len(self.rows))
+    def search(self, query: np.ndarray, width: int, quick: Callable[[np.ndarray], np.ndarray] | None = None, allowed: np.ndarray | None = None, exact_share: float = 0.1) -> list[tuple[float, int]]:
+        """(distance, row) of allowed rows, best first. quick orders the frontier; results have exact distances."""
+        exact, n = self.space.to(query), len(self.space)
+        if self.entry < 0:
+            return scan(exact, np.arange(n) if allowed is None else np.flatnonzero(allowed), width)
+        found = walked(lambda w: beam([self.entry], lambda v: self.links[v], quick or exact, w, n, allowed), exact, width, n, allowed, exact_share)
         if quick is None:
             return found
-        nodes = np.array([v for _, v in found])
-        return sorted(zip(exact(nodes).tolist(), nodes.tolist(), strict=True))
+        return scan(exact, np.array([v for _, v in found], np.int64), width)
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        bounds, flat = flat_links(self.links)
+        return {"bounds": bounds, "links": flat, "entry": np.array(self.entry)}
+
+    @classmethod
+    def load(cls, space: Dense, a: dict[str, np.ndarray]) -> Vamana:
+        out = cls.__new__(cls)
+        out.space, out.entry, out.links = space, int(a["entry"]), cut_links(a["bounds"], a["links"])
+        return out

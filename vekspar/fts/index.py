@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
@@ -50,9 +50,31 @@ def with_prefix(posted: DataFrame, prefix: str) -> DataFrame:
     return frequencies(posted.where(F.col("term").startswith(prefix)))
 
 
-def store(posted: DataFrame, path: str) -> None:
-    """Range-partitioned and sorted by term, so that look-ups read few row groups."""
-    posted.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+def store(docs: DataFrame, path: str) -> None:
+    """The index of documents: postings range-partitioned and sorted by term, so that look-ups read few row groups, and lengths."""
+    postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    docs.select("doc_id", "dl").write.parquet(f"{path}/docs")
+
+
+@dataclass
+class Index:
+    postings: DataFrame
+    docs: DataFrame  # doc_id, dl
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Index:
+        return cls(postings(docs), docs.select("doc_id", "dl"))
+
+    def union(self, other: Index) -> Index:
+        return Index(self.postings.unionByName(other.postings), self.docs.unionByName(other.docs))
+
+
+def read(spark: SparkSession, paths: list[str], live: DataFrame | None = None) -> Index:
+    """Stored indexes as one; live (column doc_id): the documents that are still there, null for all."""
+    found = Index(spark.read.parquet(*(f"{p}/postings" for p in paths)), spark.read.parquet(*(f"{p}/docs" for p in paths)))
+    if live is None:
+        return found
+    return Index(*(d.join(live, "doc_id", "left_semi").select(d.columns) for d in (found.postings, found.docs)))
 
 
 def merged(parts: list[DataFrame], deleted: DataFrame | None = None) -> DataFrame:
@@ -110,11 +132,12 @@ def _terms(n: Node) -> list[str]:
     return list(dict.fromkeys([*n.terms, *(t for c in n.children for t in _terms(c))]))
 
 
-def matching(posted: DataFrame, docs: DataFrame, query: Node) -> DataFrame:
+def matching(posted: DataFrame, docs: DataFrame, query: Node, only: DataFrame | None = None) -> DataFrame:
     """Columns doc_id, _score of the documents that a query matches.
 
-    Statistics are those of the whole corpus; filters come after. The postings of the query's
-    terms are read once and brought together by document.
+    Statistics are those of the whole corpus, whatever a filter leaves. The postings of the
+    query's terms alone are read and brought together by document; positions only for phrases.
+    only (column doc_id): the documents that are looked for, where they are few.
     """
     spark = docs.sparkSession
     query = simplify(query)
@@ -128,6 +151,8 @@ def matching(posted: DataFrame, docs: DataFrame, query: Node) -> DataFrame:
     df = {r.term: r.df for r in frequencies(mine).collect()}  # a row for each term of the query
     leaves = _Leaves(terms, {t: idf(stats.n, df.get(t, 0)) for t in terms}, (stats.tokens / stats.n if stats.n else 0.0) or 1.0)
     phrases = _phrase_terms(query)
+    mine = mine if phrases else mine.drop("positions")
+    mine = mine if only is None else mine.join(only.select("doc_id"), "doc_id", "left_semi")
     columns = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)]
     columns += [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"pos{i}") for i, t in enumerate(terms) if t in phrases]
     by_doc = mine.groupBy("doc_id").agg(F.max("dl").alias("dl"), *columns)

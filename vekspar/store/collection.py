@@ -1,13 +1,20 @@
 """Collections: documents with keys, scalar fields and vectors, kept as Parquet under a manifest.
 
-    CURRENT             names the manifest in force; replacing it is the only commit point
-    manifest-N.json     schema, segments, log, deleted ids, indexes, next ids
+    manifest-N.json     schema, segments, log, deleted ids, indexes, next ids, the lengths of all
+                        files, and a checksum of all that; creating it is the only commit point,
+                        and the whole one with the largest N is in force
     data/               segments, log batches and lists of deleted ids; never changed once written
-    indexes/            artifacts of vector and text indexes
+    indexes/            artifacts of vector and text indexes, one for each field and segment
+
+Opening checks that the files of the manifest are there at their lengths; a writer then removes
+what no manifest names, such as a log batch whose write was cut off. Pages of data files carry
+checksums, which readers verify.
 
 A write adds a batch to the log. The live view is the segments less what the log replaces,
 with the newest of the log. flush() folds the log into a segment; optimize() rewrites all live
-rows. Readers work on the manifest that they have read, so they see whole versions.
+rows. Segments keep their indexes; a new segment gets its own, and rows that no index covers yet
+are searched exactly. Readers work on the manifest that they have read, so they see whole
+versions.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
@@ -120,7 +128,8 @@ class Manifest:
     deletes: list[str] = field(default_factory=list)
     indexes: dict[str, dict] = field(default_factory=dict)
     progress: dict[str, int] = field(default_factory=dict)
-    version: int = 1
+    files: dict[str, dict[str, int]] = field(default_factory=dict)
+    version: int = 2
 
 
 class Collection:
@@ -137,7 +146,7 @@ class Collection:
         files = Files(spark, path)
         if options.read_only:
             raise InvalidArgument("a new collection can't be read-only", "create", path)
-        if files.exists("CURRENT"):
+        if cls._newest(files) is not None:
             raise AlreadyExists("there is a collection", "create", path)
         cls._lock(files, options)
         found = cls(spark, path, Manifest(0, schema.to_json()), options)
@@ -147,14 +156,50 @@ class Collection:
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options = Options()) -> Collection:
         files = Files(spark, path)
-        if not files.exists("CURRENT"):
+        found = cls._newest(files)
+        if found is None:
             raise NotFound("no collection", "open", path)
         if not options.read_only:
             cls._lock(files, options)
-        raw = json.loads(files.read(files.read("CURRENT").strip()))
-        if raw.get("version") != 1 or set(raw) != set(Manifest.__dataclass_fields__):
-            raise FailedPrecondition("the manifest can't be read", "open", path)
-        return cls(spark, path, Manifest(**raw), options)
+            found = cls._newest(files)
+        out = cls(spark, path, found, options)
+        try:
+            for name, lengths in found.files.items():
+                if files.sizes(name) != lengths:
+                    raise FailedPrecondition(f"the files of {name} are not those that were written", "open", path)
+            if not options.read_only:
+                out._clean()
+        except BaseException:
+            out.close()
+            raise
+        return out
+
+    @staticmethod
+    def _newest(files: Files) -> Manifest | None:
+        """The whole manifest with the largest number. One that is cut off or changed doesn't count."""
+        numbers = sorted((int(n[9:-5]) for n in files.names() if n.startswith("manifest-") and n.endswith(".json")), reverse=True)
+        for n in numbers:
+            crc, _, body = files.read(f"manifest-{n}.json").partition("\n")
+            if crc == str(zlib.crc32(body.encode())):
+                raw = json.loads(body)
+                if raw.get("version") != 2 or set(raw) != set(Manifest.__dataclass_fields__):
+                    raise FailedPrecondition("the manifest can't be read", "open", files.root)
+                return Manifest(**raw)
+        if numbers:
+            raise FailedPrecondition("no whole manifest", "open", files.root)
+        return None
+
+    def _clean(self) -> None:
+        """Removes what a write that was cut off has left."""
+        m = self._manifest
+        self._files.delete("results")
+        for folder in ("data", "indexes"):
+            for n in self._files.names(folder):
+                if f"{folder}/{n}" not in m.files:
+                    self._files.delete(f"{folder}/{n}")
+        for n in self._files.names():
+            if n.endswith(".tmp") or (n.startswith("manifest-") and n != f"manifest-{m.generation}.json"):
+                self._files.delete(n)
 
     @staticmethod
     def _lock(files: Files, options: Options) -> None:
@@ -189,9 +234,10 @@ class Collection:
             raise PermissionDenied("the collection is read-only", op, self.path)
 
     def _publish(self, m: Manifest) -> None:
-        name = f"manifest-{m.generation}.json"
-        self._files.write(name, json.dumps(m.__dict__, sort_keys=True))
-        self._files.write("CURRENT", name)
+        named = [*m.segments, *m.log, *m.deletes, *(p for of in m.indexes.values() for p in of.values())]
+        m = replace(m, files={n: m.files[n] if n in m.files else self._files.sizes(n) for n in named})
+        body = json.dumps(m.__dict__, sort_keys=True)
+        self._files.create(f"manifest-{m.generation}.json", f"{zlib.crc32(body.encode())}\n{body}")
         self._manifest = m
 
     # --- The live view -----------------------------------------------------------------------
@@ -209,10 +255,10 @@ class Collection:
     def _read(self, names: list[str], kind: T.StructType) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind).parquet(*(self._files.full(n) for n in names))
+        return self.spark.read.schema(kind).option("parquet.page.verify-checksum.enabled", "true").parquet(*(self._files.full(n) for n in names))
 
-    def _base(self) -> DataFrame:
-        base = self._read(self._manifest.segments, self._row_type())
+    def _base(self, segments: list[str] | None = None) -> DataFrame:
+        base = self._read(self._manifest.segments if segments is None else segments, self._row_type())
         if self._manifest.deletes:
             gone = self._read(self._manifest.deletes, T.StructType([T.StructField("_doc_id", T.LongType())]))
             base = base.join(gone, "_doc_id", "left_anti")
@@ -221,20 +267,41 @@ class Collection:
     def live(self) -> DataFrame:
         """Newest, undeleted documents: _pk, _doc_id and the fields."""
         self._open("live")
-        if not self._manifest.log:
-            return self._base()
-        log = self._read(self._manifest.log, self._log_type())
-        newest = writes.live_rows(log).select(*(F.col(f"`{c.name}`") for c in self._row_type().fields))
-        return self._base().join(log.select("_pk").distinct(), "_pk", "left_anti").select(newest.columns).unionByName(newest)
+        old, new = self._live(self._manifest.segments)
+        return old.unionByName(new) if self._manifest.log else old
+
+    def _live(self, segments: list[str]) -> tuple[DataFrame, DataFrame]:
+        """The live documents of some segments, and all others."""
+        m = self._manifest
+        rest = [n for n in m.segments if n not in segments]
+        old, new = self._base(segments), self._base(rest)
+        if m.log:
+            log = self._read(m.log, self._log_type())
+            replaced = log.select("_pk").distinct()
+            newest = writes.live_rows(log).select(*(F.col(f"`{c.name}`") for c in self._row_type().fields))
+            old = old.join(replaced, "_pk", "left_anti").select(newest.columns)
+            new = (new.join(replaced, "_pk", "left_anti").select(newest.columns).unionByName(newest)) if rest else newest
+        return old, new
 
     def stats(self) -> dict[str, Any]:
         self._open("stats")
         schema, m = self.schema, self._manifest
         total = self._read(m.segments, self._row_type()).count()
         live = self.live().count()
-        indexes = {f.name: 1.0 if not f.data_type.is_vector or isinstance(f.effective_index, S.FlatIndexParams) or self._artifact(f) else 0.0 for f in schema.fields if f.effective_index is not None}
+        indexes = {f.name: self._completeness(f) for f in schema.fields if f.effective_index is not None}
         return {"documents": live, "segments": len(m.segments), "deleted": max(0, total - self._base().count()), "index_completeness": indexes}
 
+    def _stored(self, f: S.FieldSchema) -> bool:
+        """Whether a field's index has artifacts."""
+        index = f.index
+        return isinstance(index, S.FTSIndexParams) or (f.data_type.is_vector and index is not None and not isinstance(index, S.FlatIndexParams))
+
+    def _completeness(self, f: S.FieldSchema) -> float:
+        """The share of a field's segments, and of its log, that its index covers."""
+        m = self._manifest
+        parts = len(m.segments) + bool(m.log)
+        return 1.0 if not self._stored(f) or not parts else len(m.indexes.get(f.name, {})) / parts
+
     # --- Writes ------------------------------------------------------------------------------
 
     def _checked(self, f: S.FieldSchema, value: Any) -> Any:
@@ -423,7 +490,7 @@ class Collection:
     # --- Maintenance -------------------------------------------------------------------------
 
     def flush(self) -> None:
-        """The log becomes a segment; what it replaces in older segments is listed as deleted."""
+        """The log becomes a segment; what it replaces in older segments is listed as deleted. The segment gets indexes of its own."""
         self._writable("flush")
         m = self._manifest
         if not m.log:
@@ -436,15 +503,14 @@ class Collection:
         if m.segments:
             self._base().join(log.select("_pk").distinct(), "_pk", "left_semi").select("_doc_id").write.parquet(self._files.full(gone))
             deletes = [*m.deletes, gone]
-        self._publish(replace(m, generation=m.generation + 1, segments=segments, deletes=deletes, log=[]))
+        built = {f.name: self._build(f, segment) for f in self.schema.fields if self._stored(f)}
+        indexes = {k: {**m.indexes.get(k, {}), segment: v} for k, v in built.items()}
+        self._publish(replace(m, generation=m.generation + 1, segments=segments, deletes=deletes, log=[], indexes={**m.indexes, **indexes}))
 
     def optimize(self) -> None:
         """All live rows in segments of bounded size, in the order of their ids; indexes are rebuilt."""
         self._writable("optimize")
         self._rewrite(self.live(), self.schema)
-        for f in self.schema.fields:
-            if f.data_type.is_vector and f.index is not None and not isinstance(f.index, S.FlatIndexParams):
-                self._build(f)
 
     def _rewrite(self, rows: DataFrame, schema: S.CollectionSchema) -> None:
         m, kind = self._manifest, self._row_type(schema)
@@ -452,10 +518,11 @@ class Collection:
         parts = max(1, -(-count // schema.max_docs_per_segment))
         name = f"data/segment-{m.generation + 1}"
         rows.select(*(F.col(f"`{c.name}`") if isinstance(c.dataType, T.ArrayType | T.StructType) else F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in kind.fields)).repartitionByRange(parts, "_doc_id").sortWithinPartitions("_doc_id").write.option("maxRecordsPerFile", schema.max_docs_per_segment).parquet(self._files.full(name))
-        old = [*m.segments, *m.log, *m.deletes]
-        self._publish(replace(m, generation=m.generation + 1, schema=schema.to_json(), segments=[name], log=[], deletes=[], indexes={}))
-        for n in old:
-            self._files.delete(n)
+        built = {f.name: {name: self._build(f, name)} for f in schema.fields if self._stored(f)}
+        self._publish(replace(m, generation=m.generation + 1, schema=schema.to_json(), segments=[name], log=[], deletes=[], indexes=built))
+        for n in m.files:
+            if n not in self._manifest.files:
+                self._files.delete(n)
 
     def _with_field(self, changed: S.FieldSchema) -> S.CollectionSchema:
         schema = self.schema
@@ -468,10 +535,9 @@ class Collection:
             return
         schema = self._with_field(replace(old, index=params))
         schema.validate()
-        m = self._manifest
-        self._publish(replace(m, generation=m.generation + 1, schema=schema.to_json(), indexes={k: v for k, v in m.indexes.items() if k != column}))
-        if old.data_type.is_vector and not isinstance(params, S.FlatIndexParams):
-            self._build(self.schema.field(column))
+        m, f = self._manifest, schema.field(column)
+        built = {column: {n: self._build(f, n) for n in m.segments}} if self._stored(f) and m.segments else {}
+        self._publish(replace(m, generation=m.generation + 1, schema=schema.to_json(), indexes={k: v for k, v in m.indexes.items() if k != column} | built))
 
     def drop_index(self, column: str) -> None:
         self._writable("drop index")
@@ -527,19 +593,25 @@ class Collection:
 
     # --- Indexes -----------------------------------------------------------------------------
 
-    def _build(self, f: S.FieldSchema) -> None:
+    def _build(self, f: S.FieldSchema, segment: str) -> str:
+        """Writes the index of a field over one segment; the folder's name."""
         from ..ann import indexes
 
-        m = self._manifest
-        name = f"indexes/{f.name}-{m.generation + 1}"
-        indexes.build(self.live().where(F.col(f"`{f.name}`").isNotNull()).select("_doc_id", F.col(f"`{f.name}`").alias("v")), f, self._files.full(name))
-        self._publish(replace(m, generation=m.generation + 1, indexes={**m.indexes, f.name: {"path": name, "doc_id": m.next_doc_id, "seq": m.next_seq, "data": [*m.segments, *m.log]}}))
+        name = f"indexes/{f.name}-{uuid.uuid4().hex[:12]}"
+        rows = self.spark.read.parquet(self._files.full(segment))
+        if isinstance(f.index, S.FTSIndexParams):
+            text_index.store(text_index.documents(rows, f.name, Analyzer(f.index).column), self._files.full(name))
+        else:
+            indexes.build(rows.where(F.col(f"`{f.name}`").isNotNull()).select("_doc_id", F.col(f"`{f.name}`").alias("v")), f, self._files.full(name))
+        return name
 
-    def _artifact(self, f: S.FieldSchema) -> str | None:
-        """The path of a field's index, if it covers the rows as they are."""
-        m = self._manifest
-        found = m.indexes.get(f.name)
-        return self._files.full(found["path"]) if found and found["data"] == [*m.segments, *m.log] else None
+    def _artifacts(self, f: S.FieldSchema) -> dict[str, str]:
+        """The folders of a field's index by the segments that they cover."""
+        return {n: self._files.full(p) for n, p in self._manifest.indexes.get(f.name, {}).items()}
+
+    def _untouched(self) -> bool:
+        """Whether all rows of the segments are live."""
+        return not self._manifest.log and not self._manifest.deletes
 
     # --- Reads -------------------------------------------------------------------------------
 
@@ -579,7 +651,7 @@ class Collection:
         if target == "fts" or isinstance(index, S.FTSIndexParams):
             if not (target == "fts" and isinstance(index, S.FTSIndexParams)):
                 raise InvalidArgument("text search and a text index belong together", "query", self.path)
-            return self._text(q, f, live, where, k), "fts"
+            return self._text(q, f, where, k), "fts"
         column = f"`{f.name}`"
         vector: Any = q.vector if target == "vector" else q.sparse
         if target == "primary_key":
@@ -591,46 +663,91 @@ class Collection:
         radius = params.radius if params else 0.0
         rows = filtered.where(F.col(column).isNotNull())
         if f.data_type.is_sparse:
-            found = search.sparse(rows, vector, k, f.name, radius=radius)
-            return found.select("_doc_id", "_pk", "_score"), S.MetricType.IP
+            return self._sparse(f, index, params, vector, where, rows, k, radius).select("_doc_id", "_pk", "_score"), S.MetricType.IP
         if len(vector) != f.dimension or not all(math.isfinite(x) for x in vector):
             raise InvalidArgument(f"{f.name} takes {f.dimension} finite components", "query", self.path)
-        return self._dense(f, index, params, list(vector), rows, k, radius).select("_doc_id", "_pk", "_score"), index.metric
+        return self._dense(f, index, params, list(vector), where, rows, k, radius).select("_doc_id", "_pk", "_score"), index.metric
 
-    def _dense(self, f: S.FieldSchema, index: S.VectorIndexParams, params: S.QueryParams | None, vector: list[float], rows: DataFrame, k: int, radius: float) -> DataFrame:
+    def _indexed(self, f: S.FieldSchema, params: S.QueryParams | None, vector: Any, where: Column | None, k: int, radius: float) -> tuple[DataFrame, DataFrame] | None:
+        """Hits (_doc_id, _score) of the segments' indexes, and the live rows that none covers; null where there is no index to use."""
         from ..ann import indexes
 
-        linear, refine = bool(params and params.linear), bool(params and params.use_refiner)
+        artifacts = self._artifacts(f) if self._stored(f) else {}
+        coded = isinstance(f.index, S.HNSWRaBitQIndexParams)  # its linear scan reads codes
+        if not artifacts or (params and params.linear and not coded):
+            return None
+        old, rest = self._live(list(artifacts))
+        if where is not None:
+            old, rest = old.where(where), rest.where(where)
+        allowed = None if where is None and self._untouched() else old.where(F.col(f"`{f.name}`").isNotNull()).select("_doc_id")
+        p = params or S.QUERY_PARAMS[f.index.index_type]()
+        found = [indexes.search(self.spark, path, f, p, vector, k, allowed, radius, self.runtime.brute_force_by_keys_ratio) for path in artifacts.values()]
+        whole = found[0]
+        for more in found[1:]:
+            whole = whole.unionByName(more)
+        return whole, rest.where(F.col(f"`{f.name}`").isNotNull())
+
+    def _hits(self, found: DataFrame, metric: S.MetricType, k: int, live: DataFrame) -> DataFrame:
+        """live's rows of the k best hits, with _score."""
+        best = search.top_k(found, metric, k)  # k rows at most
+        return live.join(F.broadcast(best), "_doc_id")
+
+    def _sparse(self, f: S.FieldSchema, index: S.VectorIndexParams, params: S.QueryParams | None, vector: dict[int, float], where: Column | None, rows: DataFrame, k: int, radius: float) -> DataFrame:
+        """Through the graph if there is one; half-precision values, refined on request, if the index asks for them."""
+        half, refine = index.quantize == S.QuantizeType.FP16, bool(params and params.use_refiner)
+        wide = max(k, int(k * getattr(params, "scale_factor", 10.0))) if refine else k
+        column, metric = F.col(f"`{f.name}`"), S.MetricType.IP
+        value = F.struct(column["indices"].alias("indices"), V.to_half(column["values"]).alias("values")) if half else column
+        indexed = self._indexed(f, params, vector, where, wide, 0.0 if refine else radius)
+        if indexed is None and not (half and refine):
+            return search.top_k(rows.withColumn("_score", V.sparse_inner_product(value, vector)), metric, k, radius=radius)
+        found, rest = indexed or (self.spark.createDataFrame([], "_doc_id long, _score double"), rows)
+        found = found.unionByName(search.top_k(rest.select("_doc_id", V.sparse_inner_product(value, vector).alias("_score")), metric, wide, radius=0.0 if refine else radius))
+        hits = self._hits(found, metric, wide, rows)
+        return search.top_k(hits.withColumn("_score", V.sparse_inner_product(column, vector)), metric, k, radius=radius) if refine else hits
+
+    def _dense(self, f: S.FieldSchema, index: S.VectorIndexParams, params: S.QueryParams | None, vector: list[float], where: Column | None, rows: DataFrame, k: int, radius: float) -> DataFrame:
+        refine = bool(params and params.use_refiner)
         bits = {S.QuantizeType.INT8: 8, S.QuantizeType.INT4: 4}.get(index.quantize)
         column, metric = F.col(f"`{f.name}`"), index.metric
         scale = getattr(params, "scale_factor", 10.0)
-        artifact = None if linear or isinstance(index, S.FlatIndexParams) else self._artifact(f)
-        if artifact:
-            wide = max(k, int(k * scale)) if refine else k
-            found = indexes.search(self.spark, artifact, f, params or S.QUERY_PARAMS[index.index_type](), vector, wide, rows.select("_doc_id"), 0.0 if refine else radius)
-            hits = rows.join(F.broadcast(found.withColumnRenamed("_score", "_found")), "_doc_id")  # at most wide rows
-            if not refine:
-                return search.top_k(hits.withColumn("_score", F.col("_found")), metric, k, radius=radius)
-            return search.top_k(hits.withColumn("_score", V.score(metric, column, vector)), metric, k, radius=radius)
-        if bits or index.quantize == S.QuantizeType.FP16:
-            approximate = V.quantized_score(metric, V.quantize(column, bits), vector, bits) if bits else V.score(metric, V.to_half(column), np.asarray(vector, np.float16).astype(float).tolist())
-            if refine:
-                return search.refined(rows, approximate, vector, k, metric, f.name, scale_factor=scale, radius=radius)
-            return search.top_k(rows.withColumn("_score", approximate), metric, k, radius=radius)
-        return search.dense(rows, vector, k, metric, f.name, radius=radius)
-
-    def _text(self, q: VectorQuery, f: S.FieldSchema, live: DataFrame, where: Column | None, k: int) -> DataFrame:
+        wide = max(k, int(k * scale)) if refine else k
+        if bits:
+            approximate = V.quantized_score(metric, V.quantize(column, bits), vector, bits)
+        elif index.quantize == S.QuantizeType.FP16:
+            approximate = V.score(metric, V.to_half(column), np.asarray(vector, np.float16).astype(float).tolist())
+        else:
+            approximate = V.score(metric, column, vector)
+        if indexed := self._indexed(f, params, vector, where, wide, 0.0 if refine else radius):
+            found, rest = indexed
+            found = found.unionByName(search.top_k(rest.select("_doc_id", approximate.alias("_score")), metric, wide, radius=0.0 if refine else radius))
+            hits = self._hits(found, metric, wide, rows)
+            return search.top_k(hits.withColumn("_score", V.score(metric, column, vector)), metric, k, radius=radius) if refine else hits
+        if refine and index.quantize != S.QuantizeType.UNDEFINED:
+            return search.refined(rows, approximate, vector, k, metric, f.name, scale_factor=scale, radius=radius)
+        return search.top_k(rows.withColumn("_score", approximate), metric, k, radius=radius)
+
+    def _text(self, q: VectorQuery, f: S.FieldSchema, where: Column | None, k: int) -> DataFrame:
+        """Through the stored postings; rows that no segment's index covers are analysed now."""
         clause = q.fts
         if (clause.query is None) == (clause.match is None):
             raise InvalidArgument("either a query or a match", "text search", self.path)
         analyzer = Analyzer(f.index)
         default = q.params.default_operator if isinstance(q.params, S.FTSQueryParams) else "OR"
         tree = text_query.parse(clause.query, analyzer.terms, default) if clause.query is not None else text_query.match(clause.match, analyzer.terms, default)
-        docs = text_index.documents(live, f.name, analyzer.column)
-        found = text_index.matching(text_index.postings(docs), docs, tree)
-        rows = live if where is None else live.where(where)
-        joined = rows.select(F.col("_doc_id").alias("doc_id"), "_pk").join(found, "doc_id")
-        return joined.select(F.col("doc_id").alias("_doc_id"), "_pk", "_score").orderBy(F.desc("_score"), "_doc_id").limit(k)
+        artifacts = self._artifacts(f)
+        old, rest = self._live(list(artifacts))
+        stored = text_index.read(self.spark, list(artifacts.values()), None if self._untouched() else old.select(F.col("_doc_id").alias("doc_id"))) if artifacts else None
+        fresh = text_index.Index.of(text_index.documents(rest, f.name, analyzer.column)) if stored is None or set(artifacts) != set(self._manifest.segments) or self._manifest.log else None
+        whole = stored.union(fresh) if stored and fresh else stored or fresh
+        live = self.live()
+        rows = (live if where is None else live.where(where)).select(F.col("_doc_id").alias("doc_id"), "_pk")
+        seek = where is not None and rows.count() <= self.runtime.fts_brute_force_by_keys_ratio * max(1, live.count())
+        found = text_index.matching(whole.postings, whole.docs, tree, rows if seek else None)
+        if where is not None and not seek:
+            found = found.join(rows.select("doc_id"), "doc_id", "left_semi")
+        best = found.orderBy(F.desc("_score"), "doc_id").limit(k)  # k rows at most
+        return rows.join(F.broadcast(best), "doc_id").select(F.col("doc_id").alias("_doc_id"), "_pk", "_score")
 
     def _projected(self, best: DataFrame, live: DataFrame, projection: S.Projection, *extra: str) -> DataFrame:
         """Fields are read for the few best rows only."""
@@ -674,6 +791,12 @@ class Collection:
             raise InvalidArgument("groups need a vector or a key", "group by", self.path)
         bits = {S.QuantizeType.INT8: 8, S.QuantizeType.INT4: 4}.get(index.quantize)
         column = F.col(f"`{f.name}`")
+        named = search.group_value(rows, g.name)
+        radius = params.radius if params else 0.0
+        walked = self._walked_groups(f, params, vector, where, named, q, radius)
+        if walked is not None:
+            found = search.groups(walked, F.col("_named"), q.group_count, q.top_k_per_group, index.metric, radius=radius).select("_doc_id", "_score", "_group", "_group_rank", "_rank")
+            return self._projected(found, live, q.projection, "_group", "_group_rank", "_rank").orderBy("_group_rank", "_rank")
         if f.data_type.is_sparse:
             value = V.sparse_inner_product(column, vector)
         elif bits and not (params and params.use_refiner):
@@ -681,10 +804,30 @@ class Collection:
         else:
             value = V.score(index.metric, column, list(vector))
         scored = rows.withColumn("_score", value)
-        found = search.groups(scored, search.group_value(scored, g.name), q.group_count, q.top_k_per_group, index.metric, radius=params.radius if params else 0.0)
+        found = search.groups(scored, named, q.group_count, q.top_k_per_group, index.metric, radius=radius)
         found = found.select("_doc_id", "_score", "_group", "_group_rank", "_rank")
         return self._projected(found, live, q.projection, "_group", "_group_rank", "_rank").orderBy("_group_rank", "_rank")
 
+    def _walked_groups(self, f: S.FieldSchema, params: S.QueryParams | None, vector: Any, where: Column | None, named: Column, q: GroupByQuery, radius: float) -> DataFrame | None:
+        """_doc_id, _score, _named of a graph's best rows of enough groups, and of all rows that no graph covers; null without a graph."""
+        from ..ann import indexes
+
+        artifacts = self._artifacts(f) if self._stored(f) and f.index.index_type in (S.IndexType.HNSW, S.IndexType.HNSW_RABITQ) else {}
+        if not artifacts or (params and params.linear):
+            return None
+        parts = []
+        for df in self._live(list(artifacts)):
+            df = df if where is None else df.where(where)
+            parts.append(df.where(F.col(f"`{f.name}`").isNotNull()).withColumn("_named", named))
+        p = params or S.QUERY_PARAMS[f.index.index_type]()
+        allowed = parts[0].select("_doc_id", F.col("_named").alias("_group"))
+        value = V.sparse_inner_product(F.col(f"`{f.name}`"), vector) if f.data_type.is_sparse else V.score(f.index.metric, F.col(f"`{f.name}`"), list(vector))
+        found = parts[1].select("_doc_id", "_named", value.alias("_score"))
+        for path in artifacts.values():
+            hits = indexes.search(self.spark, path, f, p, vector, q.group_count * q.top_k_per_group, allowed, radius, self.runtime.brute_force_by_keys_ratio, (q.group_count, q.top_k_per_group))
+            found = found.unionByName(hits.join(parts[0].select("_doc_id", "_named"), "_doc_id"))
+        return found
+
     def multi_query(self, q: MultiQuery) -> DataFrame:
         """Branches over one version, fused: _pk, _doc_id, _score and the projected fields, best first."""
         self._open("multi query")

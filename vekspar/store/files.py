@@ -31,17 +31,25 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Whole or not at all: a temporary file takes the name when it is complete."""
+    def create(self, name: str, text: str) -> None:
+        """A new file, whole or not at all: a temporary one takes the name when it is complete. Nothing is ever replaced."""
         temporary = f"{name}.{uuid.uuid4().hex}.tmp"
         stream = self._fs.create(self._path(temporary), True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self.exists(name):
-            self._fs.delete(self._path(name), False)
-        if not self._fs.rename(self._path(temporary), self._path(name)):
+        if self.exists(name) or not self._fs.rename(self._path(temporary), self._path(name)):
+            self.delete(temporary)
             raise FailedPrecondition(f"{name} could not be published", path=self.root)
 
+    def sizes(self, name: str) -> dict[str, int]:
+        """The data files below a folder, by their names, with their lengths."""
+        found, files = {}, self._fs.listFiles(self._path(name), True)
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                found[f.getPath().toString().rpartition(f"/{name}/")[2]] = f.getLen()
+        return found
+
     def claim(self, name: str) -> bool:
         """Create a file that must not exist."""
         self._fs.mkdirs(self._path(""))
