@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from vekspar.plans import catalogue
+from vekspar.plans import catalogue, collections  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -47,10 +47,10 @@ def test_entry_point(spark):
 
 def test_writes_over_whole_tables(spark, con):
     orders = con.execute("select count(*) from orders").fetchone()[0]
-    rows = catalogue.QUERIES["write_update_missing_all"](spark, DATA).collect()
+    rows = catalogue.QUERIES["write_update_missing"](spark, DATA).collect()
     assert len(rows) == orders and {r._error for r in rows} == {None, "NOT_FOUND"} and len({r._pk for r in rows}) < orders
 
 
 def test_batch_of_all_stated_queries(spark, con):
     want = {r[0] for r in con.execute("select vec_id from embeddings where vec_id % 20 = 0").fetchall()}
-    assert {r.query_id for r in catalogue.QUERIES["dense_batch_20"](spark, DATA).collect()} == want
+    assert {r.query_id for r in catalogue.QUERIES["dense_batch"](spark, DATA).collect()} == want

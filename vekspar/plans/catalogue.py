@@ -6,11 +6,9 @@ floor(x * 1e6 + 0.5). Ranks and counts are BIGINT on both sides.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -21,6 +19,7 @@ from ..fts import query as text_query
 from ..functions import vectors as V
 from ..operators import fusion, search, writes
 from ..operators.expressions import compile_expression
+from ..scratch import Scratch
 from ..schema import CollectionSchema, DataType, FieldSchema, MetricType
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,7 +87,7 @@ def _contain(name: str, text: str, sql: str) -> None:
 
 
 _FIRST, _SECOND = "red", "blue"
-_contain("filter_contain_all", f"tags CONTAIN_ALL ('{_FIRST}', 'part')", f"list_has_all(tags, ['{_FIRST}', 'part'])")
+_contain("filter_contain_all", f"tags CONTAIN_ALL ('{_FIRST}', 'plate')", f"list_has_all(tags, ['{_FIRST}', 'plate'])")
 _contain("filter_contain_any", f"tags CONTAIN_ANY ('{_FIRST}', '{_SECOND}', 'large')", f"list_has_any(tags, ['{_FIRST}', '{_SECOND}', 'large'])")
 _contain("filter_not_contain_any", f"tags NOT CONTAIN_ANY ('{_FIRST}', 'small')", f"NOT list_has_any(tags, ['{_FIRST}', 'small'])")
 _contain("filter_contain_empty", "tags CONTAIN_ALL () AND tags NOT CONTAIN_ANY ()", "tags IS NOT NULL")
@@ -217,14 +216,8 @@ def dense_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(search.dense(d, search.stored_vector(d, 7, "vec_id", "v"), 5, MetricType.IP, "v", "vec_id", where=F.col("label") != 0), MetricType.IP)
 
 
-@query("dense_batch", f"SELECT query_id, vec_id, rank, CAST(floor(s * 1e6 + 0.5) AS BIGINT) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(b.v, a.v) AS s, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(b.v, a.v) DESC, b.vec_id) - 1 AS BIGINT) AS rank FROM {_SCALED} a, {_SCALED} b WHERE a.vec_id % 100 = 0) WHERE rank < 5")
+@query("dense_batch", f"SELECT query_id, vec_id, rank, CAST(floor(s * 1e6 + 0.5) AS BIGINT) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(b.v, a.v) AS s, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(b.v, a.v) DESC, b.vec_id) - 1 AS BIGINT) AS rank FROM {_SCALED} a, {_SCALED} b WHERE a.vec_id % 20 = 0) WHERE rank < 5")
 def dense_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = scaled(spark, sf_dir)
-    return search.batch(d.where("vec_id % 100 = 0"), d, 5, MetricType.IP, "v", "vec_id").select("query_id", "vec_id", "rank", micro(F.col("_score")).alias("score"))
-
-
-@query("dense_batch_20", ORACLE_SQL["dense_batch"].replace("% 100 = 0", "% 20 = 0"))
-def dense_batch_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scaled(spark, sf_dir)
     return search.batch(d.where("vec_id % 20 = 0"), d, 5, MetricType.IP, "v", "vec_id").select("query_id", "vec_id", "rank", micro(F.col("_score")).alias("score"))
 
@@ -333,7 +326,12 @@ def refine_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(best, MetricType.L2)
 
 
-@query("quant_fp16_scan")
+#: A value as IEEE half holds it: eleven significant bits, rounded to even.
+_STEP = "pow(2, greatest(floor(log2(abs(x))), -14) - 10)"
+_HALVES = f"(SELECT vec_id, label, list_transform(v, lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / {_STEP}, 0) * {_STEP} END) AS v FROM (SELECT vec_id, label, list_transform(v, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)) AS v FROM {_SCALED}))"
+
+
+@query("quant_fp16_scan", _ranked_sql(MetricType.L2, 10).replace(f"FROM {_SCALED}, {_Q}", f"FROM {_HALVES}, {_Q}"))
 def quant_fp16_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scaled(spark, sf_dir)
     q = _vector(d)
@@ -344,45 +342,138 @@ def quant_fp16_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Indexes -------------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/vekspar-index-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="vekspar-index-") + "/index"
-
-
 def _indexed(index: S.IndexParams, params: S.QueryParams, k: int = 10, label: int | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from ..ann import indexes
 
         d = scaled(spark, sf_dir)
         f = FieldSchema("v", DataType.VECTOR_FP32, True, 64, index)
-        path = _scratch(spark)
+        path = Scratch(spark).path("index")
         rows = d.select(F.col("vec_id").alias("_doc_id"), "v")
         indexes.build(rows, f, path)
-        allowed = d if label is None else d.where(F.col("label") == label)
-        found = indexes.search(spark, path, f, params, list(_vector(d)), k, allowed.select(F.col("vec_id").alias("_doc_id")), params.radius)
+        allowed = None if label is None else d.where(F.col("label") == label).select(F.col("vec_id").alias("_doc_id"))
+        found = indexes.search(spark, path, f, params, list(_vector(d)), k, allowed, params.radius)
         return search.ranked(found, index.metric).select(F.col("_doc_id").alias("vec_id"), "rank", micro(F.col("_score")).alias("score"))
 
     return run
 
 
 query("ivf_full_probe", _ranked_sql(MetricType.L2, 10))(_indexed(S.IVFIndexParams(MetricType.L2, n_list=16), S.IVFQueryParams(n_probe=16)))
-query("ivf_probe", None)(_indexed(S.IVFIndexParams(MetricType.IP, n_list=16), S.IVFQueryParams(n_probe=6)))
-query("ivf_int8", None)(_indexed(S.IVFIndexParams(MetricType.L2, S.QuantizeType.INT8, n_list=16), S.IVFQueryParams(n_probe=8)))
 query("ivf_filtered", _ranked_sql(MetricType.L2, 10, "label = 2"))(_indexed(S.IVFIndexParams(MetricType.L2, n_list=8), S.IVFQueryParams(n_probe=8), label=2))
 query("hnsw_small_exact", _ranked_sql(MetricType.COSINE, 10))(_indexed(S.HNSWIndexParams(MetricType.COSINE), S.HNSWQueryParams()))
 query("vamana_small_exact", _ranked_sql(MetricType.L2, 10))(_indexed(S.VamanaIndexParams(MetricType.L2), S.VamanaQueryParams()))
 query("diskann_small_exact", _ranked_sql(MetricType.L2, 10))(_indexed(S.DiskANNIndexParams(MetricType.L2, pq_chunks=16), S.DiskANNQueryParams()))
-query("hnsw_rabitq", None)(_indexed(S.HNSWRaBitQIndexParams(MetricType.L2), S.HNSWRaBitQQueryParams()))
 
 
-@query("recall_at_10", "SELECT vec_id AS query_id, 1.0::DOUBLE AS recall FROM embeddings WHERE vec_id % 100 = 0")
+#: A part's quantities by order modulo 16, as many vectors as parts are sold: above the size at which graphs are exact.
+_PARTS = "(SELECT l_partkey AS id, list_transform(range(16), lambda i: CAST(coalesce(list_sum(list_transform(list_filter(p, lambda z: z[1] = i), lambda z: z[2])), 0) AS DOUBLE)) AS v FROM (SELECT l_partkey, list([CAST(l_orderkey % 16 AS DOUBLE), l_quantity]) AS p FROM lineitem GROUP BY l_partkey))"
+
+
+def part_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns _doc_id, v (array<double>)."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") % 16).alias("i"), "l_quantity")
+    sums = [F.coalesce(F.sum(F.when(F.col("i") == i, F.col("l_quantity"))), F.lit(0.0)).cast("double") for i in range(16)]
+    return lines.groupBy(F.col("l_partkey").alias("_doc_id")).agg(F.array(*sums).alias("v"))
+
+
+def sparse_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns _doc_id, v (struct): a part's quantities by supplier modulo 40."""
+    cells = table(spark, sf_dir, "lineitem").groupBy("l_partkey", (F.col("l_orderkey") % 40).alias("i")).agg(F.sum("l_quantity").alias("x"))
+    pairs = cells.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
+    return pairs.select(F.col("l_partkey").alias("_doc_id"), F.struct(F.col("p.i").alias("indices"), F.col("p.x").alias("values")).alias("v"))
+
+
+def _sparse_truth(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact products of each query with all rows, by shared coordinates; a row without any has zero, behind all others."""
+    one = queries.select("query_id", F.explode(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x"))).alias("q")).select("query_id", F.col("q.i").alias("i"), F.col("q.x").alias("qx"))
+    cells = rows.select("_doc_id", F.explode(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x"))).alias("c")).select("_doc_id", F.col("c.i").alias("i"), F.col("c.x").alias("x"))
+    products = one.join(cells, "i").groupBy("query_id", "_doc_id").agg(F.sum(F.col("qx") * F.col("x")).alias("_score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("_score"), "_doc_id")
+    return products.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < k)
+
+
+def _recall(name: str, index: S.IndexParams, params: S.QueryParams, floor: float = 0.9, sparse: bool = False) -> None:
+    """Recall of the 10 best of each part whose key is divisible by 20 against an exact search over all parts."""
+
+    @query(f"recall_{name}", f"SELECT '{name}' AS index, count(*)::BIGINT AS queries, {floor}::DOUBLE AS floor, true AS enough FROM {_PARTS} WHERE id % 20 = 0")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..ann import indexes
+
+        scratch = Scratch(spark)
+        rows = scratch.save(sparse_parts(spark, sf_dir) if sparse else part_vectors(spark, sf_dir), "rows")
+        f = FieldSchema("v", DataType.SPARSE_VECTOR_FP32 if sparse else DataType.VECTOR_FP32, True, 0 if sparse else 16, index)
+        indexes.build(rows, f, scratch.path("index"))
+        asked = rows.where("_doc_id % 20 = 0")
+        queries = asked.select(F.col("_doc_id").alias("query_id"), "v")
+        truth = _sparse_truth(rows, queries, 10) if sparse else search.batch(asked, rows, 10, index.metric, "v")
+        found = scratch.save(indexes.search_many(spark, scratch.path("index"), f, params, queries, 10), "found")
+        each = search.recall(truth, found, 10)
+        return each.agg(F.count("*").alias("queries"), F.avg("recall").alias("recall")).select(F.lit(name).alias("index"), "queries", F.lit(floor).alias("floor"), (F.col("recall") >= floor).alias("enough"))
+
+
+_recall("ivf", S.IVFIndexParams(MetricType.L2, n_list=32), S.IVFQueryParams(n_probe=16))
+_recall("ivf_int8", S.IVFIndexParams(MetricType.IP, S.QuantizeType.INT8, n_list=16), S.IVFQueryParams(n_probe=12))
+_recall("hnsw", S.HNSWIndexParams(MetricType.L2, m=16, ef_construction=80), S.HNSWQueryParams(ef=200))
+_recall("hnsw_int8", S.HNSWIndexParams(MetricType.COSINE, S.QuantizeType.INT8, m=16, ef_construction=80), S.HNSWQueryParams(ef=200))
+_recall("hnsw_rabitq", S.HNSWRaBitQIndexParams(MetricType.L2, m=16, ef_construction=80), S.HNSWRaBitQQueryParams(ef=200), 0.85)
+_recall("rabitq_linear", S.HNSWRaBitQIndexParams(MetricType.L2, m=8, ef_construction=20), S.HNSWRaBitQQueryParams(linear=True), 0.85)
+_recall("vamana", S.VamanaIndexParams(MetricType.L2, max_degree=24, search_list_size=60), S.VamanaQueryParams(ef=150))
+_recall("diskann", S.DiskANNIndexParams(MetricType.L2, max_degree=24, list_size=60, pq_chunks=16), S.DiskANNQueryParams(list_size=200))
+_recall("hnsw_sparse", S.HNSWIndexParams(MetricType.IP, m=16, ef_construction=80), S.HNSWQueryParams(ef=200), sparse=True)
+
+
+def _filtered_sql(modulus: int) -> str:
+    q = f"(SELECT v AS q FROM {_PARTS} WHERE id = 7)"
+    return f"SELECT id AS _doc_id, CAST(row_number() OVER (ORDER BY s, id) - 1 AS BIGINT) AS rank, CAST(floor(s * 1e6 + 0.5) AS BIGINT) AS score FROM (SELECT id, {_METRIC_SQL[MetricType.L2]} AS s FROM {_PARTS}, {q} WHERE id % {modulus} = 1) ORDER BY s, id LIMIT 10"
+
+
+def _filtered_graph(name: str, index: S.IndexParams, params: S.QueryParams) -> None:
+    """The 10 best of the one part in fifty that a filter leaves: few, so they are scanned exactly."""
+
+    @query(name, _filtered_sql(50))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..ann import indexes
+
+        scratch = Scratch(spark)
+        rows = scratch.save(part_vectors(spark, sf_dir), "rows")
+        f = FieldSchema("v", DataType.VECTOR_FP32, True, 16, index)
+        indexes.build(rows, f, scratch.path("index"))
+        found = indexes.search(spark, scratch.path("index"), f, params, search.stored_vector(rows, 7, "_doc_id", "v"), 10, rows.where("_doc_id % 50 = 1").select("_doc_id"))
+        return search.ranked(found, index.metric).select("_doc_id", "rank", micro(F.col("_score")).alias("score"))
+
+
+_filtered_graph("hnsw_filtered", S.HNSWIndexParams(MetricType.L2, m=8, ef_construction=40), S.HNSWQueryParams(ef=50))
+_filtered_graph("vamana_filtered", S.VamanaIndexParams(MetricType.L2, max_degree=16, search_list_size=40), S.VamanaQueryParams(ef=50))
+_filtered_graph("diskann_filtered", S.DiskANNIndexParams(MetricType.L2, max_degree=16, list_size=40, pq_chunks=8), S.DiskANNQueryParams(list_size=50))
+
+
+@query("hnsw_filtered_walk", f"SELECT least(10, count(*))::BIGINT AS rows, true AS enough FROM {_PARTS} WHERE id % 3 = 1")
+def hnsw_filtered_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the parts is allowed and no scan: the walk alone finds ten allowed rows, nine of them right."""
+    from ..ann import indexes
+
+    scratch = Scratch(spark)
+    rows = scratch.save(part_vectors(spark, sf_dir), "rows")
+    f = FieldSchema("v", DataType.VECTOR_FP32, True, 16, S.HNSWIndexParams(MetricType.L2, m=16, ef_construction=80))
+    indexes.build(rows, f, scratch.path("index"))
+    allowed, q = rows.where("_doc_id % 3 = 1"), search.stored_vector(rows, 7, "_doc_id", "v")
+    found = indexes.search(spark, scratch.path("index"), f, S.HNSWQueryParams(ef=100), q, 10, allowed.select("_doc_id"), exact_share=0.0)
+    right = search.dense(allowed, q, 10, MetricType.L2, "v").select("_doc_id", F.lit(1).alias("hit"))
+    return found.join(right, "_doc_id", "left").agg(F.count("*").alias("rows"), (F.sum("hit") >= 9).alias("enough"))
+
+
+@query("recall_at_10", f"SELECT id AS query_id, 1.0::DOUBLE AS recall FROM {_PARTS} WHERE id % 20 = 0")
 def recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batched search against itself with another block size."""
-    d = scaled(spark, sf_dir)
-    q = d.where("vec_id % 100 = 0")
-    truth = search.batch(q, d, 10, MetricType.L2, "v", "vec_id")
-    found = search.batch(q, d, 10, MetricType.L2, "v", "vec_id", query_block=3, data_block=100)
-    return search.recall(truth, found, 10, id_col="vec_id")
+    """All lists probed: an index that leaves nothing out has recall 1 for each query."""
+    from ..ann import indexes
+
+    scratch = Scratch(spark)
+    rows = scratch.save(part_vectors(spark, sf_dir), "rows")
+    f = FieldSchema("v", DataType.VECTOR_FP32, True, 16, S.IVFIndexParams(MetricType.L2, n_list=16))
+    indexes.build(rows, f, scratch.path("index"))
+    asked = rows.where("_doc_id % 20 = 0")
+    found = indexes.search_many(spark, scratch.path("index"), f, S.IVFQueryParams(n_probe=16), asked.select(F.col("_doc_id").alias("query_id"), "v"), 10)
+    return search.recall(search.batch(asked, rows, 10, MetricType.L2, "v"), found, 10)
 
 
 # --- Text ----------------------------------------------------------------------------------
@@ -534,7 +625,7 @@ def weighted_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.weighted(_hybrid(spark, sf_dir), [MetricType.L2, "fts"], [0.7, 0.3], 10).select(F.col("_pk").alias("pk"), micro(F.col("_score")).alias("score"))
 
 
-@query("callback_hybrid")
+@query("callback_hybrid", _hybrid_sql("1.0 / (1 + rank)").replace("sum(1.0 / (1 + rank))", "max(1.0 / (1 + rank))"))
 def callback_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     def best_rank(batches: list[list[dict]], k: int) -> list[dict]:
         score: dict[str, float] = {}
@@ -548,42 +639,41 @@ def callback_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Writes --------------------------------------------------------------------------------
 
-#: Customers 1 to 40 as live rows and a batch that overlaps with them.
-_LIVE = f"(SELECT * FROM {_KEYED} WHERE _doc_id <= 40)"
-_BATCH = "(SELECT o_orderkey AS _pos, 'c' || (o_orderkey % 60) AS _pk, 'new' || o_orderkey AS c_name, o_totalprice AS c_acctbal, nullif(o_orderstatus, 'F') AS seg FROM orders WHERE o_orderkey <= 80)"
+#: All customers as live rows, all orders as the batch: keys of twice the customer's number exist, are missing and repeat at any size.
+_LIVE = f"(SELECT * FROM {_KEYED})"
+_BATCH = "(SELECT o_orderkey AS _pos, 'c' || (o_custkey * 2) AS _pk, 'new' || o_orderkey AS c_name, o_totalprice AS c_acctbal, nullif(o_orderstatus, 'F') AS seg FROM orders)"
+_FIRST_ID = 10**12  # above the ids of all live rows
 
 
 def _live_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    live = keyed(spark, sf_dir).where("_doc_id <= 40")
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 80")
-    batch = o.select(F.col("o_orderkey").alias("_pos"), F.concat(F.lit("c"), F.col("o_orderkey") % 60).alias("_pk"), F.concat(F.lit("new"), F.col("o_orderkey")).alias("c_name"), F.col("o_totalprice").alias("c_acctbal"), F.nullif("o_orderstatus", F.lit("F")).alias("seg"))
-    return live, batch
+    o = table(spark, sf_dir, "orders")
+    return keyed(spark, sf_dir), o.select(F.col("o_orderkey").alias("_pos"), F.concat(F.lit("c"), F.col("o_custkey") * 2).alias("_pk"), F.concat(F.lit("new"), F.col("o_orderkey")).alias("c_name"), F.col("o_totalprice").alias("c_acctbal"), F.nullif("o_orderstatus", F.lit("F")).alias("seg"))
 
 
 @query(
     "write_insert_conflict",
-    f"WITH x AS (SELECT b._pos, b._pk, l._pk IS NOT NULL OR row_number() OVER (PARTITION BY b._pk ORDER BY b._pos) > 1 AS old FROM {_BATCH} b LEFT JOIN {_LIVE} l ON l._pk = b._pk) SELECT _pos, _pk, CASE WHEN NOT old THEN CAST(999 + row_number() OVER (PARTITION BY old ORDER BY _pos) AS BIGINT) END AS _doc_id, CASE WHEN old THEN 'ALREADY_EXISTS' END AS _error FROM x",
+    f"WITH x AS (SELECT b._pos, b._pk, l._pk IS NOT NULL OR row_number() OVER (PARTITION BY b._pk ORDER BY b._pos) > 1 AS old FROM {_BATCH} b LEFT JOIN {_LIVE} l ON l._pk = b._pk) SELECT _pos, _pk, CASE WHEN NOT old THEN CAST({_FIRST_ID - 1} + row_number() OVER (PARTITION BY old ORDER BY _pos) AS BIGINT) END AS _doc_id, CASE WHEN old THEN 'ALREADY_EXISTS' END AS _error FROM x",
 )
 def write_insert_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, batch = _live_batch(spark, sf_dir)
-    return writes.insert(live, batch, 1000, ["c_name"])[1]
+    return writes.insert(live, batch, _FIRST_ID, ["c_name"])[1]
 
 
 _MERGED = f"(SELECT b._pos, b._pk, b.c_name, b.seg, l.c_acctbal AS old, l._pk IS NOT NULL AS there, row_number() OVER (PARTITION BY b._pk ORDER BY b._pos DESC) AS turn FROM {_BATCH} b LEFT JOIN {_LIVE} l ON l._pk = b._pk)"
 
 
-@query("write_upsert_partial", f"WITH m AS {_MERGED}, n AS (SELECT *, CAST(999 + row_number() OVER (ORDER BY _pos) AS BIGINT) AS id FROM m) SELECT id AS _doc_id, _pk, c_name, old AS c_acctbal, seg FROM n WHERE turn = 1")
+@query("write_upsert_partial", f"WITH m AS {_MERGED}, n AS (SELECT *, CAST({_FIRST_ID - 1} + row_number() OVER (ORDER BY _pos) AS BIGINT) AS id FROM m) SELECT id AS _doc_id, _pk, c_name, old AS c_acctbal, seg FROM n WHERE turn = 1")
 def write_upsert_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The balance is not given: existing rows keep theirs; an explicit null of seg replaces."""
     live, batch = _live_batch(spark, sf_dir)
     given = batch.withColumn("c_acctbal", F.lit(None).cast("double")).withColumn("_present", F.array(F.lit("c_name"), F.lit("seg")))
-    return writes.upsert(live, given, 1000, ["c_name"])[0].select("_doc_id", "_pk", "c_name", "c_acctbal", "seg")
+    return writes.upsert(live, given, _FIRST_ID, ["c_name"])[0].select("_doc_id", "_pk", "c_name", "c_acctbal", "seg")
 
 
-@query("write_update_missing", f"WITH m AS {_MERGED} SELECT _pos, _pk, CASE WHEN there THEN CAST(999 + row_number() OVER (PARTITION BY there ORDER BY _pos) AS BIGINT) END AS _doc_id, CASE WHEN NOT there THEN 'NOT_FOUND' END AS _error FROM m")
+@query("write_update_missing", f"WITH m AS {_MERGED} SELECT _pos, _pk, CASE WHEN there THEN CAST({_FIRST_ID - 1} + row_number() OVER (PARTITION BY there ORDER BY _pos) AS BIGINT) END AS _doc_id, CASE WHEN NOT there THEN 'NOT_FOUND' END AS _error FROM m")
 def write_update_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, batch = _live_batch(spark, sf_dir)
-    return writes.update(live, batch.withColumn("_present", F.array(F.lit("c_name"))), 1000, [])[1]
+    return writes.update(live, batch.withColumn("_present", F.array(F.lit("c_name"))), _FIRST_ID, [])[1]
 
 
 @query("write_delete_keys", f"SELECT b._pos, b._pk, CASE WHEN l._pk IS NOT NULL AND turn = 1 THEN l._doc_id END AS _doc_id, CASE WHEN l._pk IS NULL OR turn > 1 THEN 'NOT_FOUND' END AS _error FROM (SELECT _pos, _pk, row_number() OVER (PARTITION BY _pk ORDER BY _pos) AS turn FROM {_BATCH}) b LEFT JOIN {_LIVE} l ON l._pk = b._pk")
@@ -592,45 +682,6 @@ def write_delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.delete(live, batch.select("_pos", "_pk"))[1]
 
 
-#: The same writes over all customers and all orders: keys of twice the customer's number exist, are missing and repeat at any size.
-_ALL_BATCH = "(SELECT o_orderkey AS _pos, 'c' || (o_custkey * 2) AS _pk, 'new' || o_orderkey AS c_name, o_totalprice AS c_acctbal, nullif(o_orderstatus, 'F') AS seg FROM orders)"
-_ALL_FIRST = 10**12  # above the ids of all live rows
-
-
-def _whole_sql(name: str) -> str:
-    return ORACLE_SQL[name].replace(_LIVE, f"(SELECT * FROM {_KEYED})").replace(_BATCH, _ALL_BATCH).replace("CAST(999 +", f"CAST({_ALL_FIRST - 1} +")
-
-
-def _all_live_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders")
-    return keyed(spark, sf_dir), o.select(F.col("o_orderkey").alias("_pos"), F.concat(F.lit("c"), F.col("o_custkey") * 2).alias("_pk"), F.concat(F.lit("new"), F.col("o_orderkey")).alias("c_name"), F.col("o_totalprice").alias("c_acctbal"), F.nullif("o_orderstatus", F.lit("F")).alias("seg"))
-
-
-@query("write_insert_conflict_all", _whole_sql("write_insert_conflict"))
-def write_insert_conflict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live, batch = _all_live_batch(spark, sf_dir)
-    return writes.insert(live, batch, _ALL_FIRST, ["c_name"])[1]
-
-
-@query("write_upsert_partial_all", _whole_sql("write_upsert_partial"))
-def write_upsert_partial_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live, batch = _all_live_batch(spark, sf_dir)
-    given = batch.withColumn("c_acctbal", F.lit(None).cast("double")).withColumn("_present", F.array(F.lit("c_name"), F.lit("seg")))
-    return writes.upsert(live, given, _ALL_FIRST, ["c_name"])[0].select("_doc_id", "_pk", "c_name", "c_acctbal", "seg")
-
-
-@query("write_update_missing_all", _whole_sql("write_update_missing"))
-def write_update_missing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live, batch = _all_live_batch(spark, sf_dir)
-    return writes.update(live, batch.withColumn("_present", F.array(F.lit("c_name"))), _ALL_FIRST, [])[1]
-
-
-@query("write_delete_keys_all", _whole_sql("write_delete_keys"))
-def write_delete_keys_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live, batch = _all_live_batch(spark, sf_dir)
-    return writes.delete(live, batch.select("_pos", "_pk"))[1]
-
-
 @query("write_delete_filter", f"SELECT _pk, _doc_id FROM {_KEYED} WHERE NOT coalesce(c_acctbal < 0 AND seg <> 'MACHINERY', false)")
 def write_delete_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = CollectionSchema("customer", (FieldSchema("c_acctbal", DataType.DOUBLE), FieldSchema("seg", DataType.STRING, True)))

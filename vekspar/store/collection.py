@@ -132,6 +132,15 @@ class Manifest:
     version: int = 2
 
 
+def _loose(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed inside, as a cast never takes them away."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_loose(kind.elementType), True)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _loose(f.dataType), True) for f in kind.fields])
+    return kind
+
+
 class Collection:
     # --- Opening and closing -----------------------------------------------------------------
 
@@ -433,7 +442,14 @@ class Collection:
         given = [c for c in rows.columns if c in known]
         if "_present" not in rows.columns:
             rows = rows.withColumn("_present", F.array(*map(F.lit, given)).cast("array<string>"))
+        known = {c: _loose(k) for c, k in known.items()}
         whole = rows.select("_pos", "_pk", "_present", *((F.col(f"`{c}`").cast(k) if c in given else F.lit(None).cast(k)).alias(c) for c, k in known.items()))
+        wrong = F.lit(False)
+        for f in (f for f in self.schema.fields if f.data_type.is_dense and f.name in given):
+            v = F.col(f"`{f.name}`")
+            wrong = wrong | (v.isNotNull() & ((F.size(v) != f.dimension) | F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))))
+        if bad := whole.where(wrong).select("_pk").take(1):
+            raise InvalidArgument(f"{bad[0][0]!r} has a vector of another size, or with components that aren't finite", op, self.path)
         with Scratch(self.spark) as scratch:
             new, results = plan(self.live(), whole, self._manifest.next_doc_id, required, scratch)
             results = self._kept_results(results)
