@@ -151,16 +151,18 @@ def quantized_score(metric: MetricType, q: Column, query: Sequence[float], bits:
 def to_half(v: pd.Series) -> pd.Series:
     """Values as IEEE half holds them, rounded to nearest even; overflow is an error."""
 
-    def one(x):
-        if x is None:
-            return None
+    real = v.notna().to_numpy()
+    rows = [np.asarray(x, np.float32) for x in v[real]]
+    out: list = [None] * len(v)
+    if rows:
         with np.errstate(over="ignore"):
-            h = np.asarray(x, np.float32).astype(np.float16)
-        if not np.isfinite(h).all():
+            flat = np.concatenate(rows).astype(np.float16)
+        if not np.isfinite(flat).all():
             raise ValueError("a value is too large for half precision")
-        return h.astype(np.float32)
-
-    return v.map(one)
+        at = np.flatnonzero(real)
+        for i, part in zip(at.tolist(), np.split(flat.astype(np.float32), np.cumsum([len(r) for r in rows])[:-1]), strict=True):
+            out[i] = part
+    return pd.Series(out, index=v.index, dtype=object)
 
 
 def half_bits(x: float) -> int:

@@ -65,6 +65,36 @@ def refined(df: DataFrame, approximate: Column, query: Sequence[float], k: int,
     return top_k(first.drop("_approx").withColumn("_score", V.score(metric, F.col(vector_col), query)), metric, k, id_col, radius=radius)
 
 
+def coded(df: DataFrame, bits: int, query: Sequence[float], metric: MetricType, vector_col: str, id_col: str = "_doc_id") -> DataFrame:
+    """id_col and _score by 8- or 4-bit codes of the vectors, a block of rows at a time; rows without a vector are left out."""
+    low, high = V.CODES[bits]
+    q = np.asarray(query, np.float64)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, len(q)))
+            least, most = (f(axis=1, keepdims=True) for f in (x.min, x.max)) if len(x) else (np.zeros((0, 1)), np.zeros((0, 1)))
+            scale = (high - low) / np.maximum(most - least, 1.1920928955078125e-7)
+            bias = low - least * scale
+            t = x * scale + bias
+            code = np.clip(np.sign(t) * np.floor(np.abs(t) + 0.5), low, high)
+            near = np.where(most > least, (code - bias) / scale, x)
+            s = np.asarray(V.scores(metric, near, q), float).ravel() if len(x) else np.zeros(0)
+            yield pa.record_batch([batch.column(0), pa.array(s)], [id_col, "_score"])
+
+    rows = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    return rows.mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, _score double")
+
+
+def refined_codes(df: DataFrame, bits: int, query: Sequence[float], k: int, metric: MetricType, vector_col: str, id_col: str = "_doc_id", scale_factor: float = 10.0, radius: float = 0.0) -> DataFrame:
+    """Candidates by codes, then exact scores, radius and k."""
+    _check(k)
+    first = top_k(coded(df, bits, query, metric, vector_col, id_col), metric, max(1, int(k * scale_factor)), id_col).select(id_col)
+    rows = df.join(F.broadcast(first), id_col)  # k * scale_factor rows at most
+    return top_k(rows.withColumn("_score", V.score(metric, F.col(vector_col), query)), metric, k, id_col, radius=radius)
+
+
 def batch(queries: DataFrame, data: DataFrame, k: int, metric: MetricType, vector_col: str, id_col: str = "_doc_id", query_block: int = 4096, data_block: int = 50_000) -> DataFrame:
     """Columns query_id, rank (from 0), id_col, _score: the k best of data for each row of queries.
 

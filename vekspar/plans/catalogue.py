@@ -322,7 +322,7 @@ def refine_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty times as many candidates by codes as are wanted, then exact scores."""
     d = scaled(spark, sf_dir)
     q = _vector(d)
-    best = search.refined(d, V.quantized_score(MetricType.L2, V.quantize(F.col("v"), 8), q, 8), q, 5, MetricType.L2, "v", "vec_id", scale_factor=20.0)
+    best = search.refined_codes(d, 8, q, 5, MetricType.L2, "v", "vec_id", scale_factor=20.0)
     return _scored(best, MetricType.L2)
 
 
@@ -486,9 +486,22 @@ def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_index.documents(table(spark, sf_dir, "documents"), "text", analysis.simple_terms, "doc_id")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def text_of(spark: SparkSession, sf_dir: str) -> text_index.Index:
+    """The stored index of all documents, made once in a session for each folder of tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        path = Scratch(spark).path("text")
+        text_index.store(text_docs(spark, sf_dir), path)
+        _STORED[key] = path
+    return text_index.read(spark, [_STORED[key]])
+
+
 def _text(spark: SparkSession, sf_dir: str, tree: text_query.Node, k: int, candidates: DataFrame | None = None) -> DataFrame:
-    docs = text_docs(spark, sf_dir)
-    best = text_index.search(text_index.postings(docs), docs, tree, k, candidates)
+    index = text_of(spark, sf_dir)
+    best = text_index.search(index.postings, index.docs, tree, k, candidates)
     return search.ranked(best, MetricType.IP, "doc_id").select("doc_id", "rank", micro(F.col("_score")).alias("score"))
 
 
@@ -555,22 +568,22 @@ def fts_filtered_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fts_corpus_stats", f"SELECT count(*)::BIGINT AS n, CAST(sum(len(w)) AS BIGINT) AS tokens FROM {_WORDS}")
 def fts_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_index.corpus_stats(text_docs(spark, sf_dir))
+    return text_index.corpus_stats(text_of(spark, sf_dir).docs)
 
 
 @query("fts_term_df", f"SELECT term, count(*)::BIGINT AS df FROM {_POSTINGS} GROUP BY term")
 def fts_term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_index.frequencies(text_index.postings(text_docs(spark, sf_dir)))
+    return text_index.frequencies(text_of(spark, sf_dir).postings)
 
 
 @query("fts_prefix", f"SELECT term, count(*)::BIGINT AS df FROM {_POSTINGS} WHERE starts_with(term, 'thea') GROUP BY term")
 def fts_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_index.with_prefix(text_index.postings(text_docs(spark, sf_dir)), "thea")
+    return text_index.with_prefix(text_of(spark, sf_dir).postings, "thea")
 
 
 @query("fts_merge", f"SELECT term, count(*)::BIGINT AS df, CAST(sum(tf) AS BIGINT) AS tf FROM {_POSTINGS} WHERE doc_id % 10 <> 3 GROUP BY term")
 def fts_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = text_index.postings(text_docs(spark, sf_dir))
+    posted = text_of(spark, sf_dir).postings
     whole = text_index.merged([posted.where("doc_id % 2 = 0"), posted.where("doc_id % 2 = 1")], posted.where("doc_id % 10 = 3"))
     return whole.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
@@ -603,8 +616,8 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     english = docs.where("lang = 'en'").select("_doc_id", "_pk")
     vectors = scaled(spark, sf_dir)
     near = search.dense(vectors.select(F.col("vec_id").alias("_doc_id"), "v").join(english, "_doc_id"), _vector(vectors), 10, MetricType.L2, "v")
-    tokens = text_docs(spark, sf_dir)
-    words = text_index.search(text_index.postings(tokens), tokens, text_query.match("the of heed", _terms_of), 10, english.select(F.col("_doc_id").alias("doc_id")))
+    index = text_of(spark, sf_dir)
+    words = text_index.search(index.postings, index.docs, text_query.match("the of heed", _terms_of), 10, english.select(F.col("_doc_id").alias("doc_id")))
     words = words.select(F.col("doc_id").alias("_doc_id"), F.col("doc_id").cast("string").alias("_pk"), "_score")
     return [search.ranked(near.select("_doc_id", "_pk", "_score"), MetricType.L2), search.ranked(words, MetricType.IP)]
 

@@ -728,17 +728,20 @@ class Collection:
         column, metric = F.col(f"`{f.name}`"), index.metric
         scale = getattr(params, "scale_factor", 10.0)
         wide = max(k, int(k * scale)) if refine else k
-        if bits:
-            approximate = V.quantized_score(metric, V.quantize(column, bits), vector, bits)
-        elif index.quantize == S.QuantizeType.FP16:
+        if index.quantize == S.QuantizeType.FP16:
             approximate = V.score(metric, V.to_half(column), np.asarray(vector, np.float16).astype(float).tolist())
         else:
             approximate = V.score(metric, column, vector)
         if indexed := self._indexed(f, params, vector, where, wide, 0.0 if refine else radius):
             found, rest = indexed
-            found = found.unionByName(search.top_k(rest.select("_doc_id", approximate.alias("_score")), metric, wide, radius=0.0 if refine else radius))
+            more = search.coded(rest, bits, vector, metric, f.name) if bits else rest.select("_doc_id", approximate.alias("_score"))
+            found = found.unionByName(search.top_k(more, metric, wide, radius=0.0 if refine else radius))
             hits = self._hits(found, metric, wide, rows)
             return search.top_k(hits.withColumn("_score", V.score(metric, column, vector)), metric, k, radius=radius) if refine else hits
+        if bits and refine:
+            return search.refined_codes(rows, bits, vector, k, metric, f.name, scale_factor=scale, radius=radius)
+        if bits:
+            return self._hits(search.top_k(search.coded(rows, bits, vector, metric, f.name), metric, k, radius=radius), metric, k, rows)
         if refine and index.quantize != S.QuantizeType.UNDEFINED:
             return search.refined(rows, approximate, vector, k, metric, f.name, scale_factor=scale, radius=radius)
         return search.top_k(rows.withColumn("_score", approximate), metric, k, radius=radius)
