@@ -125,6 +125,15 @@ def test_pairs_and_components(spark):
     assert {x.node: x.root for x in simhash.components(pairs, Scratch(spark)).collect()} == {f: r for f, r in zip(fps, roots, strict=True) if f in linked}
 
 
+def test_keys_are_not_broadcast(spark, tmp_path):
+    """A small table whose keys are many: its file is under Spark's own threshold, the keys would not be."""
+    spark.range(20_000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fp"))
+    pairs = simhash.near_pairs(spark.read.parquet(str(tmp_path / "fp")))
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
     found = simhash.components(pairs, Scratch(spark)).collect()

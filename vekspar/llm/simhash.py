@@ -12,6 +12,7 @@ A key has about 26 bits, so N different fingerprints that lie at random meet in
 
 Equal fingerprints are collapsed before the join and carry a count, so thousands of copies
 cost one row. A key that many different fingerprints share is split by adaptive execution.
+The keys of the join, up to 75 rows for each fingerprint, are never broadcast.
 
 Defined results: a null text has no words, like an empty one; a text without words has
 fingerprint zero; repeated rows are documents of their own; a null id is never a smallest id;
@@ -84,7 +85,8 @@ def near_pairs(distinct: DataFrame, bits: int = 4) -> DataFrame:
     # The key has checked the chains of one and two segments from i; a start before i takes precedence.
     first_start = reduce(lambda p, q: p & q, [(F.col("i") <= j) | ~chain(j, 1) for j in range(4)])
     here = reduce(lambda p, q: p | q, [(F.col("i") == i) & chain(i, 3) for i in range(5)])
-    return a.join(b, ["i", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= bits) & here & first_start).select("a", "b")
+    # Both sides are shuffled: Spark takes an exploded table for as small as what it is made from, and would broadcast up to 75 rows for each of its rows.
+    return a.join(b.hint("merge"), ["i", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= bits) & here & first_start).select("a", "b")
 
 
 def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
