@@ -43,6 +43,21 @@ def test_stages(spark, tmp_path):
     assert set(total) == set(clean)
 
 
+def test_near_duplicates_send_no_keys_to_the_driver(spark, tmp_path, monkeypatch):
+    """The stage's pair join over a saved table that is far below Spark's own broadcast threshold."""
+    make_docs(spark, [(i, f"green house {i} of water {i * i} and stone {i % 7}") for i in range(50)]).write.parquet(str(tmp_path / "docs"))
+    plans, save = {}, simhash.Scratch.save
+
+    def saved(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, name)
+
+    monkeypatch.setattr(simhash.Scratch, "save", saved)
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    assert kept.columns == spark.read.parquet(str(tmp_path / "docs")).columns
+    assert "SortMergeJoin" in plans["pairs"] and "Broadcast" not in plans["pairs"]
+
+
 def test_run(spark):
     if not os.path.isdir(DATA):
         pytest.skip("no test tables")
