@@ -517,6 +517,39 @@ def test_scores_against_plain_ones(spark):
         assert got[d] == pytest.approx(plain_score(text, told), rel=1e-4, abs=1e-3)
 
 
+def test_saved_ids_are_counted_as_words_are(edges):
+    v = lm_score.VOCABULARY
+    want = lm_score.subword_counts(lm_score.word_counts(edges), v)
+    want[lm_score.END] = edges.count()
+    got = lm_score.id_counts(lm_score.with_ids(edges, v))
+    assert got.sum() > 30_000 and got.tolist() == want.tolist()
+
+
+def test_texts_are_encoded_once(spark, monkeypatch):
+    """Texts are read to count words and to encode them; rounds and scores read the saved ids."""
+    read, mapped = [], lm_score.mapped
+    monkeypatch.setattr(lm_score, "mapped", lambda df, run, kind: read.append(df.columns) or mapped(df, run, kind))
+    docs = make_docs(spark, [(i, f"a green house {i}") for i in range(20)])
+    assert lm_score.score(docs).count() == 20
+    assert sum("text" in c for c in read) == 2 and sum(c == ["ids"] for c in read) == 1 + len(lm_score.ROUNDS)
+
+
+def test_runs_of_rows():
+    batch = pa.record_batch([pa.array(["a" * 40, None, "b" * 70, "", "c" * 300, "d"]), pa.array(range(6))], ["text", "i"])
+    parts = list(lm_score.gathered(iter([batch, batch, batch.slice(0, 0)]), size=120))
+    assert [i for p in parts for i in p.column("i").to_pylist()] == [*range(6), *range(6)]
+    assert [sum(len(x or "") for x in p.column("text").to_pylist()) for p in parts] == [110, 301, 110, 301]
+
+
+def test_hidden_from_a_place_on_and_far_weights():
+    model = Model(6, 6, 1)
+    x = np.random.default_rng(3).integers(0, 6, (5, WINDOW))
+    assert np.allclose(model.hidden(x, 8), model.hidden(x).reshape(5, WINDOW, -1)[:, 8:].reshape(-1, 16), atol=1e-5)
+    model.p["cb"] += 500
+    found = model.log10(model.hidden(x), np.zeros(5 * WINDOW, np.int64))
+    assert np.isfinite(found).all() and np.isfinite(model.gradients(x, x, np.ones(x.shape, np.float32))[0])
+
+
 def test_gradients():
     model = Model(6, 6, 1)
     r = np.random.default_rng(2)

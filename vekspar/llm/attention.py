@@ -20,6 +20,9 @@ from .common import run_lengths
 
 WINDOW, FRESH = 32, 24
 DIM, HIDDEN = 16, 32
+SCALE, LOG2E = np.float32(DIM**-0.5), np.float32(1.4426950409)
+#: Rows of hidden states whose class scores are made at once.
+BLOCK = 512
 
 
 @dataclass
@@ -58,6 +61,15 @@ def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return bounds[:-1][seq] + k * FRESH, bounds[1:][seq], np.where(k > 0, WINDOW - FRESH, 0), seq
 
 
+def powers(bits: np.ndarray, place: np.ndarray | None = None) -> np.ndarray | None:
+    """Makes bits their powers of two, of 115 bits (80 nats) at most; returns what bits had at the flat places."""
+    if not bits.max() <= 115:
+        np.minimum(bits, 115, out=bits)
+    before = None if place is None else bits.ravel()[place]
+    np.exp2(bits, out=bits)
+    return before
+
+
 class Model:
     def __init__(self, classes: int, inputs: int, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
@@ -95,97 +107,130 @@ class Model:
             keep.update(x=x, e=e, q=q, k=k, v=v, a=a, z=z, h=h, u=u, m=m)
         return m
 
-    def hidden(self, x: np.ndarray) -> np.ndarray:
-        """What forward() gives, (n * WINDOW, DIM), with fewer passes over memory.
+    def hidden(self, x: np.ndarray, skip: int = 0) -> np.ndarray:
+        """What forward() gives from place skip on, (n * (WINDOW - skip), DIM), with fewer passes over memory.
 
-        Weights are exponentials without a shift, cut off far above what training reaches; a
+        Weights are powers of two without a shift, cut off far above what training reaches; a
         column of ones next to the values yields their sums.
         """
         p, n = self.p, len(x)
-        e = (p["emb"][x] + p["pos"]).reshape(-1, DIM)
-        q, k = e @ (p["q"] * np.float32(DIM**-0.5)), e @ p["k"]
-        a = q.reshape(n, WINDOW, DIM) @ k.reshape(n, WINDOW, DIM).transpose(0, 2, 1)
-        np.exp(np.minimum(a, 80, out=a), out=a)
-        a *= self.open
-        v = np.empty((n * WINDOW, DIM + 1), np.float32)
+        e = p["emb"].take(x.ravel(), axis=0)
+        e.reshape(n, WINDOW, DIM)[...] += p["pos"]
+        k, v = e @ p["k"], np.empty((n * WINDOW, DIM + 1), np.float32)
         np.matmul(e, p["v"], out=v[:, :DIM])
         v[:, DIM] = 1
+        e = e.reshape(n, WINDOW, DIM)[:, skip:].reshape(-1, DIM)
+        a = self._open_weights(e @ (p["q"] * (SCALE * LOG2E)), k)
         z = (a @ v.reshape(n, WINDOW, DIM + 1)).reshape(-1, DIM + 1)
         e += (z[:, :DIM] / z[:, DIM:]) @ p["o"]
         u = e @ p["w1"]
         u += p["b1"]
-        np.maximum(u, 0, out=u)
+        u *= u > 0
         e += u @ p["w2"]
         return e
 
+    def _open_weights(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Attention weights of each window's last places before they are made to sum to one; q . k counts in bits."""
+        k = k.reshape(-1, WINDOW, DIM)
+        a = q.reshape(len(k), -1, DIM) @ k.transpose(0, 2, 1)
+        powers(a)
+        a *= self.open[WINDOW - a.shape[1] :]
+        return a
+
+    def _table(self) -> np.ndarray:
+        """Weights and, as the last row, biases of the classes, in bits."""
+        return np.vstack((self.p["c"], self.p["cb"])) * LOG2E
+
     def log10(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 of the probability of the target class, for rows of hidden states."""
-        logits = hidden @ self.p["c"]
-        logits += self.p["cb"]
-        np.minimum(logits, 80, out=logits)
-        right = logits.ravel()[np.arange(len(target)) * logits.shape[1] + target]
-        np.exp(logits, out=logits)
-        return (right - np.log(logits @ np.ones(logits.shape[1], np.float32))) * np.float32(0.4342944819)
+        table, out = self._table(), np.empty(len(target), np.float32)
+        ones, state = np.ones(table.shape[1], np.float32), np.ones((BLOCK, DIM + 1), np.float32)
+        for at in range(0, len(target), BLOCK):
+            y = target[at : at + BLOCK]
+            state[: len(y), :DIM] = hidden[at : at + BLOCK]
+            d = state[: len(y)] @ table
+            place = np.arange(len(y)) * d.shape[1] + y
+            right = powers(d, place)
+            out[at : at + BLOCK] = (right - np.log2(d @ ones)) * np.float32(0.30102999566)
+        return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss (nats) over real places and its gradients."""
+        """Mean loss (nats) over real places and its gradients.
+
+        Weights that would sum to one, and probabilities, are never divided by their sums: the
+        narrower arrays that they are multiplied with are.
+        """
         p, g, n = self.p, {}, len(x)
-        scale, at = np.float32(DIM**-0.5), x.ravel()
+        at, y = x.ravel(), y.ravel()
 
         def cut(t: np.ndarray) -> np.ndarray:
-            return t.reshape(n, WINDOW, DIM)
+            return t.reshape(n, WINDOW, t.shape[1])
 
-        e = (p["emb"][x] + p["pos"]).reshape(-1, DIM)
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-        a = cut(q * scale) @ cut(k).transpose(0, 2, 1)
-        np.exp(np.minimum(a, 80, out=a), out=a)
-        a *= self.open
-        a /= (a @ np.ones(WINDOW, np.float32))[..., None]
-        z = (a @ cut(v)).reshape(-1, DIM)
+        e = p["emb"].take(at, axis=0)
+        cut(e)[...] += p["pos"]
+        q, k = e @ (p["q"] * (SCALE * LOG2E)), e @ p["k"]
+        v = np.empty((len(e), DIM + 1), np.float32)
+        np.matmul(e, p["v"], out=v[:, :DIM])
+        v[:, DIM] = 1
+        a = self._open_weights(q, k)
+        z = (a @ cut(v)).reshape(-1, DIM + 1)
+        sums, z = z[:, DIM:].copy(), z[:, :DIM] / z[:, DIM:]
         h = e + z @ p["o"]
-        u = h @ p["w1"] + p["b1"]
-        np.maximum(u, 0, out=u)
-        m = h + u @ p["w2"]
-        d = m @ p["c"] + p["cb"]
-        np.minimum(d, 80, out=d)
-        place, weight = np.arange(len(at)) * d.shape[1] + y.ravel(), (real / real.sum()).ravel().astype(np.float32)
-        right = d.ravel()[place]
-        np.exp(d, out=d)
-        total = d @ np.ones(d.shape[1], np.float32)
-        loss = float(((np.log(total) - right) * weight).sum())
-        d *= (weight / total)[:, None]
-        d.ravel()[place] -= weight
-        g["c"], g["cb"] = m.T @ d, d.sum(axis=0)
-        dm = d @ p["c"].T
+        u = h @ p["w1"]
+        u += p["b1"]
+        on = u > 0
+        u *= on
+        m = np.ones((len(e), DIM + 1), np.float32)
+        np.matmul(u, p["w2"], out=m[:, :DIM])
+        m[:, :DIM] += h
+        table, back = self._table(), np.ascontiguousarray(p["c"].T)
+        ones, weight = np.ones(table.shape[1], np.float32), (real / real.sum()).ravel().astype(np.float32)
+        loss, classes, dm = 0.0, np.zeros_like(table), np.empty_like(h)
+        for lo in range(0, len(m), BLOCK):  # what is as wide as the classes stays in the cache
+            rows, w = m[lo : lo + BLOCK], weight[lo : lo + BLOCK]
+            d = rows @ table
+            place = np.arange(len(d)) * d.shape[1] + y[lo : lo + BLOCK]
+            right = powers(d, place)
+            total = d @ ones
+            loss += float(((np.log2(total) - right) * w).sum()) / float(LOG2E)
+            d.ravel()[place] -= total
+            w = (w / total)[:, None]
+            classes += (rows * w).T @ d
+            np.multiply(d @ back, w, out=dm[lo : lo + BLOCK])
+        g["c"], g["cb"] = classes[:DIM], classes[DIM]
         g["w2"] = u.T @ dm
-        du = (dm @ p["w2"].T) * (u > 0)
-        g["w1"], g["b1"] = h.T @ du, du.sum(axis=0)
+        du = dm @ p["w2"].T
+        du *= on
+        g["w1"], g["b1"] = h.T @ du, np.ones(len(du), np.float32) @ du
         de = dm + du @ p["w1"].T
         g["o"] = z.T @ de
-        dz = cut(de @ p["o"].T)
-        dv = (a.transpose(0, 2, 1) @ dz).reshape(-1, DIM)
-        ds = dz @ cut(v).transpose(0, 2, 1)
-        ds -= (dz * cut(z)).sum(axis=2, keepdims=True)  # the mean of ds under a
+        dz = np.empty((len(e), DIM + 1), np.float32)
+        np.divide(de @ p["o"].T, sums, out=dz[:, :DIM])
+        np.negative(np.einsum("ij,ij->i", dz[:, :DIM], z), out=dz[:, DIM])  # the mean of ds under a
+        dv = (a.transpose(0, 2, 1) @ cut(dz)[:, :, :DIM]).reshape(-1, DIM)
+        ds = cut(dz) @ cut(v).transpose(0, 2, 1)
         ds *= a
-        ds *= scale
         dq, dk = (ds @ cut(k)).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ cut(q)).reshape(-1, DIM)
+        dq *= SCALE
+        dk /= LOG2E
         for name, dx in (("q", dq), ("k", dk), ("v", dv)):
             g[name] = e.T @ dx
             de += dx @ p[name].T
         g["pos"] = cut(de).sum(axis=0)
-        g["emb"] = np.bincount((at[:, None] * DIM + np.arange(DIM)).ravel(), de.ravel(), p["emb"].size).reshape(-1, DIM).astype(np.float32)
+        g["emb"] = np.zeros_like(p["emb"])
+        np.add.at(g["emb"].ravel(), (at[:, None] * DIM + np.arange(DIM)).ravel(), de.ravel())
         return loss, g
 
     def flat(self) -> np.ndarray:
         """All weights in one row."""
         return np.concatenate([v.ravel() for v in self.p.values()])
 
-    def with_weights(self, flat: np.ndarray) -> Model:
-        """A model of the same shape with weights as flat() gives them."""
+    def with_weights(self, flat: np.ndarray, shared: bool = False) -> Model:
+        """A model of the same shape with weights as flat() gives them; shared: as views of flat."""
         out, at = copy.copy(self), 0
         out.p = {}
         for k, v in self.p.items():
-            out.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            out.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32, copy=not shared)
             at += v.size
         return out
 
@@ -193,32 +238,43 @@ class Model:
         """log10 probability of each target class, in sequences that lie one after the other."""
         out = np.zeros(len(target), np.float32)
         padded = np.concatenate((inputs, np.zeros(WINDOW, inputs.dtype)))
-        start, end, new, _ = windows(bounds)
-        place = np.arange(WINDOW)
-        for at in range(0, len(start), batch):
-            pos = start[at : at + batch, None] + place
-            hidden = self.hidden(padded[pos])
-            fresh = np.flatnonzero((place >= new[at : at + batch, None]) & (pos < end[at : at + batch, None]))
-            where = pos.ravel()[fresh]
-            out[where] = self.log10(hidden[fresh], target[where])
+        starts, ends, new, _ = windows(bounds)
+        for skip in (0, WINDOW - FRESH):
+            start, end, place = starts[new == skip], ends[new == skip], np.arange(WINDOW)
+            for at in range(0, len(start), batch):
+                pos = start[at : at + batch, None] + place
+                hidden, pos = self.hidden(padded[pos], skip), pos[:, skip:]
+                fresh = np.flatnonzero(pos < end[at : at + batch, None])
+                where = pos.ravel()[fresh]
+                out[where] = self.log10(hidden[fresh], target[where])
         return out
 
 
 class Adam:
-    """Steps of Adam on a model's weights."""
+    """Steps of Adam on a model's weights, which become views of one row."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.t = model, 0
-        self.first = {k: np.zeros_like(v) for k, v in model.p.items()}
-        self.second = {k: np.zeros_like(v) for k, v in model.p.items()}
+        self.model, self.t, self.row = model, 0, model.flat()
+        model.p = model.with_weights(self.row, shared=True).p
+        self.first, self.second = np.zeros_like(self.row), np.zeros_like(self.row)
 
     def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, rate: float) -> float:
         self.t += 1
-        loss, g = self.model.gradients(x, y, real)
-        for k, v in self.model.p.items():
-            self.first[k] += 0.1 * (g[k] - self.first[k])
-            self.second[k] += 0.01 * (g[k] ** 2 - self.second[k])
-            v -= (rate * (self.first[k] / (1 - 0.9**self.t)) / (np.sqrt(self.second[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        loss, found = self.model.gradients(x, y, real)
+        g = np.concatenate([found[k].ravel() for k in self.model.p])
+        change = g - self.first
+        change *= np.float32(0.1)
+        self.first += change
+        g *= g
+        g -= self.second
+        g *= np.float32(0.01)
+        self.second += g
+        np.multiply(self.second, np.float32(1 / (1 - 0.99**self.t)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-8)
+        np.divide(self.first, g, out=g)
+        g *= np.float32(rate / (1 - 0.9**self.t))
+        self.row -= g
         return loss
 
 
@@ -230,6 +286,7 @@ def all_windows(ids: np.ndarray, bounds: np.ndarray, start: int) -> tuple[np.nda
     at = np.repeat(bounds[:-1], many) + k * WINDOW
     pos = at[:, None] + np.arange(WINDOW)
     inside = pos < np.repeat(bounds[1:], many)[:, None]
+    ids = ids.astype(np.int32)  # -1 stands behind the end
     y = np.where(inside, ids[np.minimum(pos, max(len(ids) - 1, 0))], -1) if len(ids) else pos
     x = np.where(inside, ids[np.clip(pos - 1, 0, max(len(ids) - 1, 0))], -1) if len(ids) else pos
     x[k == 0, 0] = start

@@ -9,6 +9,9 @@ which every task steps over its own rows from common weights, and the tasks' wei
 averaged by their numbers of ids. So windows and steps grow with the training rows, without
 any bound on them. The weights depend on how the input is split.
 
+Each text is cut into words and subwords once for both: the ids, 16 bits each, are saved, and
+counts, steps and scores read those.
+
 The base score needs every word's count. The `head` most frequent words are looked up in a
 broadcast table of bounded size; all other words of a text are joined with the whole table of
 counts. The model scores each subword once, in overlapping windows.
@@ -33,12 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .attention import Adam, Classes, Model, all_windows
-from .common import Scratch, mapped, pick, release, run_lengths, slices
+from .common import Scratch, mapped, pick, release, slices
 from .substring_dedup import split_words
 from .tokens import REMEMBERED, SEP, WordEncoder, encoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 START, END, IDS = 49406, 49407, 49408
+END_BYTES = END.to_bytes(2, "little")
+#: Bytes of ids that are counted, learned or scored in one go.
+PIECE = 2_000_000
 #: Sixteenths of the training rows in each round, and the rate of its steps.
 ROUNDS = ((1, 6e-3), (5, 4e-3), (10, 2.5e-3))
 
@@ -47,36 +53,37 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(10)) == 0
 
 
-def _subwords(words: list[str], vocabulary: str) -> list[bytes]:
-    """The ids of each word as 16-bit numbers."""
+def _subwords(words: list[str], vocabulary: str) -> pa.Array:
+    """The ids of each word as 16-bit numbers, in a binary column."""
     encode = encoder(WordEncoder, vocabulary, REMEMBERED, False)
-    odd = [i for i, w in enumerate(words) if SEP in w]
-    if not odd:
-        return encode.chunks(encode.normal(words))
-    found = _subwords([w if SEP not in w else "" for w in words], vocabulary)
-    for i in odd:
-        found[i] = encode.whole(words[i])
-    return found
+    odd = {i: encode.whole(w) for i, w in enumerate(words) if SEP in w}
+    ids, sizes = encode.joined(encode.normal([w if SEP not in w else "" for w in words] if odd else words))
+    ends = np.concatenate(([0], np.cumsum(sizes))) * 2
+    found = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+    return pa.array([odd.get(i, w) for i, w in enumerate(found.to_pylist())], pa.large_binary()) if odd else found
+
+
+def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in a binary column, one after the other, and where each row's begin (and the last one's end)."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    ids = np.frombuffer(data, "<u2", offsets[-1] // 2) if data and offsets[-1] else np.zeros(0, "<u2")
+    return ids[offsets[0] // 2 :], (offsets - offsets[0]) // 2
 
 
 def _sequences(coded: pa.DictionaryArray, bounds: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each with the end id, and where each text's begin (and the last one's end)."""
-    table = _subwords(coded.dictionary.to_pylist(), vocabulary)
-    lengths = np.fromiter(map(len, table), np.int64, len(table)) // 2
-    flat, starts = np.frombuffer(b"".join(table), "<u2"), np.concatenate(([0], np.cumsum(lengths)))
-    index = np.asarray(coded.indices)
-    sizes = lengths[index]
-    ids = flat[run_lengths(starts[index], sizes)].astype(np.int64)
-    ends = np.concatenate(([0], np.cumsum(sizes)))[bounds]
-    return np.insert(ids, ends[1:], END), ends + np.arange(len(bounds))
+    table = pa.concat_arrays([_subwords(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), vocabulary), pa.array([END_BYTES], pa.large_binary())])
+    index = np.insert(np.asarray(coded.indices), bounds[1:], len(coded.dictionary))
+    ids, ends = _ids_of(table.take(pa.array(index)))
+    return ids, ends[bounds + np.arange(len(bounds))]
 
 
 @dataclass
 class Shared:
-    """What each worker needs; every part is bounded."""
+    """What each worker needs to score; every part is bounded."""
 
-    head: pa.Array
-    head_logs: np.ndarray
     classes: Classes
     inputs: np.ndarray
     model: Model
@@ -86,11 +93,25 @@ def _plain(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays([c.cast(pa.string()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.string())
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 9_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about size bytes (one row at least): the longer, the fewer words are met again."""
+    held, total = [], 0
+    for piece in (p for whole in batches for p in slices(whole, size=size // 3)):
+        more = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
+        if held and total + more > size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+        held.append(piece)
+        total += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """Columns word, n over the texts of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, size=6_000_000)):
+        for batch in gathered(batches):
             words, _ = split_words(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
             found = words.value_counts()
             yield pa.record_batch([found.field("values"), found.field("counts")], ["word", "n"])
@@ -118,9 +139,8 @@ def subword_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(IDS)
         for batch in batches:
-            table = _subwords(batch.column("word").to_pylist(), vocabulary)
-            lengths = np.fromiter(map(len, table), np.int64, len(table)) // 2
-            total += np.bincount(np.frombuffer(b"".join(table), "<u2"), weights=np.repeat(np.asarray(batch.column("n"), float), lengths), minlength=IDS)
+            ids, ends = _ids_of(_subwords(batch.column("word").to_pylist(), vocabulary))
+            total += np.bincount(ids, weights=np.repeat(np.asarray(batch.column("n"), float), np.diff(ends)), minlength=IDS)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["id", "n"])
 
@@ -130,6 +150,43 @@ def subword_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
     return out
 
 
+def part(doc_id: Column, text: Column) -> Column:
+    """The sixteenth of the training rows that a row is in."""
+    return F.pmod(F.xxhash64(doc_id, text, F.lit("lm")), F.lit(16)).cast("int")
+
+
+def ids_column(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The ids of all texts as a binary column, 16 bits each."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 2).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+
+
+def with_ids(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """Columns part, ids of rows (columns doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
+            words, bounds = split_words(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
+            yield pa.record_batch([batch.column("part"), ids_column(*_sequences(words.dictionary_encode(), bounds, vocabulary))], ["part", "ids"])
+
+    return mapped(rows.select(part(F.col("doc_id"), F.col("text")).alias("part"), "text"), run, "part int, ids binary")
+
+
+def id_counts(rows: DataFrame) -> np.ndarray:
+    """How often each id occurs in rows (column ids), end ids too; a row for each id goes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(IDS, np.int64)
+        for piece in (p for whole in batches for p in slices(whole, "ids", PIECE)):
+            total += np.bincount(_ids_of(piece.column("ids"))[0], minlength=IDS)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
+
+    out = np.zeros(IDS)
+    for r in mapped(rows.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r.id] = r.n
+    return out
+
+
 def untrained(counts: np.ndarray, vocabulary: str, embedded: int = 1024) -> tuple[Classes, np.ndarray, Model]:
     """Classes, the input row of each id, and a model whose weights are those of its seed."""
     names = encoder(WordEncoder, vocabulary, REMEMBERED, False).tokenizer.get_vocab()
@@ -142,8 +199,8 @@ def untrained(counts: np.ndarray, vocabulary: str, embedded: int = 1024) -> tupl
     return classes, inputs, Model(classes.count, embedded + classes.count)
 
 
-def trained(rows: DataFrame, classes: Classes, inputs: np.ndarray, model: Model, vocabulary: str, rate: float, batch: int = 64) -> tuple[Model, int]:
-    """The model after steps over all windows of rows (column text), and the number of ids that it has seen.
+def trained(rows: DataFrame, classes: Classes, inputs: np.ndarray, model: Model, rate: float, batch: int = 64) -> tuple[Model, int]:
+    """The model after steps over all windows of rows (column ids), and the number of ids that it has seen.
 
     Each task yields one row of weights; they are summed in 32 groups before the driver.
     """
@@ -151,38 +208,42 @@ def trained(rows: DataFrame, classes: Classes, inputs: np.ndarray, model: Model,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, row, start = shared.value
-        own, seen, part = start.with_weights(start.flat()), 0, TaskContext.get().partitionId()
-        adam, order = Adam(own), np.random.default_rng(part)
-        for piece in (p for whole in batches for p in slices(whole, size=3_000_000)):
-            words, bounds = split_words(pc.ascii_lower(pc.fill_null(piece.column("text"), "")))
-            x, y = all_windows(*_sequences(words.dictionary_encode(), bounds, vocabulary), START)
+        own, seen, task = start.with_weights(start.flat()), 0, TaskContext.get().partitionId()
+        adam, order = Adam(own), np.random.default_rng(task)
+        for piece in (p for whole in batches for p in slices(whole, "ids", PIECE)):
+            x, y = all_windows(*_ids_of(piece.column("ids")), START)
             mixed = order.permutation(len(x))
+            x, y = x[mixed], y[mixed]
+            real = (y >= 0).astype(np.float32)
+            seen += int(np.count_nonzero(real))
+            x, y = row[np.maximum(x, 0, out=x)], of[np.maximum(y, 0, out=y)]
             for at in range(0, len(x), batch):
-                i = mixed[at : at + batch]
-                real = y[i] >= 0
+                i = slice(at, at + batch)
                 # A step counts by its ids, so that the last few windows of a piece don't weigh as much as a whole batch.
-                adam.step(row[np.maximum(x[i], 0)], of[np.maximum(y[i], 0)], real.astype(np.float32), rate * len(i) / batch * min(1.0, (adam.t + 1) / 50) / (1 + adam.t / 200) ** 0.5)
-                seen += int(real.sum())
+                adam.step(x[i], y[i], real[i], rate * len(x[i]) / batch * min(1.0, (adam.t + 1) / 50) / (1 + adam.t / 200) ** 0.5)
         if seen:
-            yield pa.record_batch([pa.array([part % 32]), pa.array([seen]), pa.array([(own.flat().astype(np.float64) * seen).tobytes()], pa.binary())], ["part", "seen", "weights"])
+            yield pa.record_batch([pa.array([task % 32]), pa.array([seen]), pa.array([(own.flat().astype(np.float64) * seen).tobytes()], pa.binary())], ["part", "seen", "weights"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(w.as_py()) for w in table.column("weights"))
         return pa.table([table.column("part")[:1], pa.array([pc.sum(table.column("seen")).as_py()]), pa.array([total.tobytes()], pa.binary())], ["part", "seen", "weights"])
 
     kind = "part long, seen long, weights binary"
-    found = sorted(mapped(rows.select("text"), run, kind).groupBy("part").applyInArrow(add, kind).collect())
+    found = sorted(mapped(rows.select("ids"), run, kind).groupBy("part").applyInArrow(add, kind).collect())
     shared.destroy()
     seen = sum(r.seen for r in found)
     return (model.with_weights(sum(np.frombuffer(r.weights) for r in found) / seen), seen) if seen else (model, 0)
 
 
 def fit_attention(train: DataFrame, counts: np.ndarray, vocabulary: str) -> tuple[Classes, np.ndarray, Model, int]:
-    """Classes, inputs and the model after all rounds, and the number of ids that it has seen: all of train's."""
+    """Classes, inputs and the model after all rounds, and the number of ids that it has seen: all of train's.
+
+    train has columns part, ids, or doc_id, text, which are then encoded in each round.
+    """
     classes, inputs, model = untrained(counts, vocabulary)
-    seen, first, of = 0, 0, F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(16))
+    rows, seen, first = train if "ids" in train.columns else with_ids(train, vocabulary), 0, 0
     for share, rate in ROUNDS:
-        model, n = trained(train.where((of >= first) & (of < first + share)), classes, inputs, model, vocabulary, rate)
+        model, n = trained(rows.where(F.col("part").between(first, first + share - 1)), classes, inputs, model, rate)
         seen, first = seen + n, first + share
     return classes, inputs, model, seen
 
@@ -211,46 +272,60 @@ def score(
     floor = float(np.log10(n + 0.1 * (v + 1))) if n else float(np.log10(0.1))
 
     top = counts.where(F.col("n") >= head_count(counts, head)).toArrow().combine_chunks()  # head rows at most
-    ids = subword_counts(counts, vocabulary)
-    ids[END] = rows
-    classes, inputs, model, seen = fit_attention(train, ids, vocabulary)
-    if report is not None:
-        report.update(classes=classes, inputs=inputs, model=model, seen=seen)
-    shared = spark.sparkContext.broadcast(Shared(_plain(top.column("word")), np.log10(np.asarray(top.column("n"), float) + 0.1), classes, inputs, model))
+    lookup = spark.sparkContext.broadcast((_plain(top.column("word")), np.log10(np.asarray(top.column("n"), float) + 0.1)))
     del top
     end_log = float(np.log10(rows + 0.1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
-        for batch in (part for whole in batches for part in slices(whole, size=3_000_000)):
+    def looked_up(coded: pa.DictionaryArray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+        words, logs_of = lookup.value
+        doc, index = np.repeat(np.arange(len(many)), many), np.asarray(coded.indices)
+        place = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, words), -1))
+        known = place >= 0
+        logs = np.where(known, logs_of[place] if len(logs_of) else 0.0, 0.0)
+        of_head = np.bincount(doc, weights=logs[index], minlength=len(many))
+        n_head = np.bincount(doc, weights=known[index], minlength=len(many)).astype(np.int64)
+        # The other words, with their number in each text.
+        far = ~known[index]
+        pairs, times = np.unique(doc[far] * len(coded.dictionary) + index[far], return_counts=True)
+        size = max(1, len(coded.dictionary))
+        cuts = np.searchsorted(pairs // size, np.arange(len(many) + 1))
+        tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % size)), pa.array(times.astype(np.int64))], ["word", "times"]))
+        return n_head, of_head, tail
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
             found, bounds = split_words(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
             coded, many = found.dictionary_encode(), np.diff(bounds)
-            doc, index = np.repeat(np.arange(len(many)), many), np.asarray(coded.indices)
-            place = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, s.head), -1))
-            known = place >= 0
-            logs = np.where(known, s.head_logs[place] if len(s.head_logs) else 0.0, 0.0)
-            of_head = np.bincount(doc, weights=logs[index], minlength=len(many))
-            n_head = np.bincount(doc, weights=known[index], minlength=len(many)).astype(np.int64)
-            # The other words, with their number in each text.
-            far = ~known[index]
-            pairs, times = np.unique(doc[far] * len(coded.dictionary) + index[far], return_counts=True)
-            size = max(1, len(coded.dictionary))
-            cuts = np.searchsorted(pairs // size, np.arange(len(many) + 1))
-            tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % size)), pa.array(times.astype(np.int64))], ["word", "times"]))
-            seq, ends = _sequences(coded, bounds, vocabulary)
-            before = np.concatenate(([START], seq[:-1]))
+            n_head, of_head, tail = looked_up(coded, many)
+            ids = ids_column(*_sequences(coded, bounds, vocabulary))
+            yield pa.record_batch([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), batch.column("part"), pa.array(many + 1), pa.array(n_head), pa.array(of_head), tail, ids], ["row", "doc_id", "held_out", "part", "n_tokens", "n_head", "of_head", "tail", "ids"])
+
+    kind = d.schema["doc_id"].dataType.simpleString()
+    facts = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, of_head double"
+    keyed = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", part(F.col("doc_id"), F.col("text")).alias("part"), "text")
+    coded = scratch.save(mapped(keyed, code, f"row long, doc_id {kind}, held_out boolean, part int, n_tokens long, n_head long, of_head double, tail array<struct<word: string, times: long>>, ids binary"), "coded")
+    lookup.destroy()
+    learned = coded.where(~F.col("held_out")).select("part", "ids")
+    classes, inputs, model, seen = fit_attention(learned, id_counts(learned), vocabulary)
+    if report is not None:
+        report.update(classes=classes, inputs=inputs, model=model, seen=seen)
+    shared = spark.sparkContext.broadcast(Shared(classes, inputs, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        for batch in (part for whole in batches for part in slices(whole, "ids", PIECE)):
+            seq, ends = _ids_of(batch.column("ids"))
+            before = np.concatenate((np.array([START], seq.dtype), seq[:-1]))
             before[ends[:-1]] = START
             of = s.classes.of[seq]
             tokens = s.model.score(s.inputs[before], of, ends).astype(np.float64) + s.classes.inside[seq]
-            total = np.add.reduceat(tokens, ends[:-1])
-            yield pa.record_batch([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(many + 1), pa.array(n_head), pa.array(of_head), pa.array(total), tail], ["row", "doc_id", "held_out", "n_tokens", "n_head", "of_head", "score", "tail"])
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(np.add.reduceat(tokens, ends[:-1]))], [*names, "score"])
 
-    kind = d.schema["doc_id"].dataType.simpleString()
-    keyed = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    scored = scratch.save(mapped(keyed, run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, of_head double, score double, tail array<struct<word: string, times: long>>"), "scored")
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_head", "of_head"]
+    scored = scratch.save(mapped(coded.select(*names, "ids"), run, f"{facts}, score double"), "scored")
     release(spark)
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
+    tail = coded.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
     logs = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("of_tail"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_tail"))
     n_known = F.col("n_head") + F.coalesce("n_tail", F.lit(0)) + F.lit(int(rows > 0))
     base = F.col("of_head") + F.coalesce("of_tail", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(floor)
-    return scored.drop("tail").join(logs, "row", "left").select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return scored.join(logs, "row", "left").select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
