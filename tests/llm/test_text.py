@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vekspar.llm import bpe, html_extract, langid, lm_score, media_gif, packing, secrets
-from vekspar.llm.attention import FRESH, WINDOW, Adam, Classes, Model, all_windows, windows
+from vekspar.llm.attention import FRESH, WINDOW, Adam, Classes, Model, all_windows, crossed, spread, turned, windows
 from vekspar.llm.common import pick
-from vekspar.llm.tokens import ByteEncoder, WordEncoder, encoder
+from vekspar.llm.tokens import ByteEncoder, Encoder, WordEncoder, encoder
 
 from .conftest import EDGES, make_docs
 
@@ -534,6 +534,37 @@ def test_texts_are_encoded_once(spark, monkeypatch):
     assert sum("text" in c for c in read) == 2 and sum(c == ["ids"] for c in read) == 1 + len(lm_score.ROUNDS)
 
 
+def test_chunks_of_letters_skip_the_pattern():
+    """Their ids are those of the pattern, and only the other chunks go through it."""
+    r = random.Random(6)
+    parts = ["a", "house", "über", "ß", "ª", "ñandú", "日本", "é", "'s", "'", "7", ".", ",", "!", "?", "-", "\x1c", "\xa0", "ﬁ"]
+    chunks = ["", ".", "house", "house.", "über,", "a1", "house's", "house!?", *("".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(2000))]
+    fast, plain = WordEncoder(lm_score.VOCABULARY, 100, False), WordEncoder(lm_score.VOCABULARY, 100, False)
+    got, want = fast.joined(chunks), Encoder.joined(plain, chunks)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want] and len(fast.known) <= 100
+    assert [len(x) for x in fast.joined([])] == [0, 0]
+    cut, seen = fast.cut, []
+    fast.cut = lambda text: seen.append(text) or cut(text)
+    fast.joined(["house", "über", "green.", "ñandú?", "x-y", "日本"])
+    assert seen == ["x-y\x00日本"]
+
+
+def test_words_of_the_head_are_encoded_once(monkeypatch):
+    """Ids that lie ready are taken; only the other words of a batch are encoded, and the ids are those of encoding all."""
+    v, said, subwords = lm_score.VOCABULARY, [], lm_score._subwords
+    words, bounds = lm_score.split_words(pa.array(["a green house", "", "green x\0y zebras green", "house a"]))
+    coded = words.dictionary_encode()
+    want = lm_score._sequences(coded, bounds, v)
+    head = ["house", "x\0y", "green", "unseen"]
+    ready = subwords(head, v)
+    monkeypatch.setattr(lm_score, "_subwords", lambda w, vocabulary: said.extend(w) or subwords(w, vocabulary))
+    place = np.array([head.index(w) if w in head else -1 for w in coded.dictionary.to_pylist()])
+    got = lm_score._sequences(coded, bounds, v, place, ready)
+    assert said == ["a", "zebras"] and [x.tolist() for x in got] == [x.tolist() for x in want]
+    none = lm_score._sequences(coded, bounds, v, np.full(len(place), -1), ready.slice(0, 0))
+    assert [x.tolist() for x in none] == [x.tolist() for x in want]
+
+
 def test_runs_of_rows():
     batch = pa.record_batch([pa.array(["a" * 40, None, "b" * 70, "", "c" * 300, "d"]), pa.array(range(6))], ["text", "i"])
     parts = list(lm_score.gathered(iter([batch, batch, batch.slice(0, 0)]), size=120))
@@ -550,6 +581,15 @@ def test_hidden_from_a_place_on_and_far_weights():
     assert np.isfinite(found).all() and np.isfinite(model.gradients(x, x, np.ones(x.shape, np.float32))[0])
 
 
+def test_products_over_windows():
+    r = np.random.default_rng(4)
+    for n in (3, 8, 16):  # windows; eight at a time where they go
+        a, b = r.random((n * WINDOW, 16)).astype(np.float32), r.random((n * WINDOW, 48)).astype(np.float32)
+        assert np.allclose(crossed(a, b), a.T @ b, rtol=1e-4)
+        assert np.array_equal(turned(a), a.reshape(n, WINDOW, 16).transpose(0, 2, 1))
+    assert spread(np.array([1, 2], np.float32)).tolist() == [[1.0] * 16, [2.0] * 16]
+
+
 def test_gradients():
     model = Model(6, 6, 1)
     r = np.random.default_rng(2)

@@ -23,6 +23,7 @@ DIM, HIDDEN = 16, 32
 SCALE, LOG2E = np.float32(DIM**-0.5), np.float32(1.4426950409)
 #: Rows of hidden states whose class scores are made at once.
 BLOCK = 512
+ONES, ZEROS = np.ones(WINDOW, np.float32), np.zeros(8 * HIDDEN, np.float32)
 
 
 @dataclass
@@ -70,6 +71,22 @@ def powers(bits: np.ndarray, place: np.ndarray | None = None) -> np.ndarray | No
     return before
 
 
+def turned(t: np.ndarray) -> np.ndarray:
+    """The rows of each window as columns, in memory too: small products with these are far faster than with views."""
+    return np.ascontiguousarray(t.reshape(-1, WINDOW, t.shape[1]).transpose(0, 2, 1))
+
+
+def spread(t: np.ndarray) -> np.ndarray:
+    """Each number in a row of DIM, as numpy is slow at stretching narrow rows by itself."""
+    return np.repeat(t, DIM).reshape(-1, DIM)
+
+
+def crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b over all rows of windows: a sum of small products, which are faster than a long one."""
+    size = 8 * WINDOW if len(a) % (8 * WINDOW) == 0 else WINDOW
+    return (a.reshape(-1, size, a.shape[1]).transpose(0, 2, 1) @ b.reshape(-1, size, b.shape[1])).sum(axis=0)
+
+
 class Model:
     def __init__(self, classes: int, inputs: int, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
@@ -86,6 +103,7 @@ class Model:
         }
         self.open = np.tril(np.ones((WINDOW, WINDOW), np.float32))
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.places = np.arange(inputs * DIM // 2).reshape(inputs, DIM // 2)  # of the pairs of numbers in each row of emb
 
     def forward(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Hidden states of input windows (n, WINDOW)."""
@@ -110,49 +128,54 @@ class Model:
     def hidden(self, x: np.ndarray, skip: int = 0) -> np.ndarray:
         """What forward() gives from place skip on, (n * (WINDOW - skip), DIM), with fewer passes over memory.
 
-        Weights are powers of two without a shift, cut off far above what training reaches; a
-        column of ones next to the values yields their sums.
+        Weights are powers of two without a shift, cut off far above what training reaches.
         """
         p, n = self.p, len(x)
         e = p["emb"].take(x.ravel(), axis=0)
         e.reshape(n, WINDOW, DIM)[...] += p["pos"]
-        k, v = e @ p["k"], np.empty((n * WINDOW, DIM + 1), np.float32)
-        np.matmul(e, p["v"], out=v[:, :DIM])
-        v[:, DIM] = 1
+        k, v = turned(e @ p["k"]), (e @ p["v"]).reshape(n, WINDOW, DIM)
         e = e.reshape(n, WINDOW, DIM)[:, skip:].reshape(-1, DIM)
         a = self._open_weights(e @ (p["q"] * (SCALE * LOG2E)), k)
-        z = (a @ v.reshape(n, WINDOW, DIM + 1)).reshape(-1, DIM + 1)
-        e += (z[:, :DIM] / z[:, DIM:]) @ p["o"]
-        u = e @ p["w1"]
-        u += p["b1"]
-        u *= u > 0
+        z = (a @ v).reshape(-1, DIM)
+        z /= spread(a.reshape(-1, WINDOW) @ ONES)
+        e += z @ p["o"]
+        u = self._positive(e)
         e += u @ p["w2"]
         return e
 
     def _open_weights(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Attention weights of each window's last places before they are made to sum to one; q . k counts in bits."""
-        k = k.reshape(-1, WINDOW, DIM)
-        a = q.reshape(len(k), -1, DIM) @ k.transpose(0, 2, 1)
+        """Attention weights of each window's last places before they are made to sum to one; k is turned, q . k counts in bits."""
+        a = q.reshape(len(k), -1, DIM) @ k
         powers(a)
         a *= self.open[WINDOW - a.shape[1] :]
         return a
 
+    def _positive(self, h: np.ndarray) -> np.ndarray:
+        """What the first feed-forward layer yields; eight rows in one, as numpy is slow on narrow rows and with a single number."""
+        u = h @ self.p["w1"]
+        wide = u.reshape(-1, 8 * HIDDEN)
+        wide += np.tile(self.p["b1"], 8)
+        np.maximum(wide, ZEROS, out=wide)
+        return u
+
     def _table(self) -> np.ndarray:
         """Weights and, as the last row, biases of the classes, in bits."""
         return np.vstack((self.p["c"], self.p["cb"])) * LOG2E
 
     def log10(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 of the probability of the target class, for rows of hidden states."""
-        table, out = self._table(), np.empty(len(target), np.float32)
-        ones, state = np.ones(table.shape[1], np.float32), np.ones((BLOCK, DIM + 1), np.float32)
+        table, right, total = self.p["c"] * LOG2E, np.empty(len(target), np.float32), np.empty(len(target), np.float32)
+        bias = (self.p["cb"] - self.p["cb"].max()) * LOG2E  # as factors of the powers; what all have in common cancels out
+        factor, row = np.exp2(bias), np.arange(min(BLOCK, len(target))) * table.shape[1]
         for at in range(0, len(target), BLOCK):
             y = target[at : at + BLOCK]
-            state[: len(y), :DIM] = hidden[at : at + BLOCK]
-            d = state[: len(y)] @ table
-            place = np.arange(len(y)) * d.shape[1] + y
-            right = powers(d, place)
-            out[at : at + BLOCK] = (right - np.log2(d @ ones)) * np.float32(0.30102999566)
-        return out
+            d = hidden[at : at + BLOCK] @ table
+            right[at : at + BLOCK] = powers(d, row[: len(y)] + y)
+            np.matmul(d, factor, out=total[at : at + BLOCK])
+        right += bias.take(target)
+        right -= np.log2(total)
+        right *= np.float32(0.30102999566)
+        return right
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss (nats) over real places and its gradients.
@@ -168,57 +191,55 @@ class Model:
 
         e = p["emb"].take(at, axis=0)
         cut(e)[...] += p["pos"]
-        q, k = e @ (p["q"] * (SCALE * LOG2E)), e @ p["k"]
-        v = np.empty((len(e), DIM + 1), np.float32)
-        np.matmul(e, p["v"], out=v[:, :DIM])
-        v[:, DIM] = 1
-        a = self._open_weights(q, k)
-        z = (a @ cut(v)).reshape(-1, DIM + 1)
-        sums, z = z[:, DIM:].copy(), z[:, :DIM] / z[:, DIM:]
+        q, k, v = e @ (p["q"] * (SCALE * LOG2E)), e @ p["k"], e @ p["v"]
+        a = self._open_weights(q, turned(k))
+        sums = spread(a.reshape(-1, WINDOW) @ ONES)
+        z = (a @ cut(v)).reshape(-1, DIM)
+        z /= sums
         h = e + z @ p["o"]
-        u = h @ p["w1"]
-        u += p["b1"]
-        on = u > 0
-        u *= on
+        u = self._positive(h)
         m = np.ones((len(e), DIM + 1), np.float32)
-        np.matmul(u, p["w2"], out=m[:, :DIM])
-        m[:, :DIM] += h
+        np.add(h, u @ p["w2"], out=m[:, :DIM])
         table, back = self._table(), np.ascontiguousarray(p["c"].T)
         ones, weight = np.ones(table.shape[1], np.float32), (real / real.sum()).ravel().astype(np.float32)
-        loss, classes, dm = 0.0, np.zeros_like(table), np.empty_like(h)
+        classes, dm, total, right = np.zeros_like(table), np.empty_like(h), np.empty_like(weight), np.empty_like(weight)
+        row = np.arange(min(BLOCK, len(m))) * table.shape[1]
         for lo in range(0, len(m), BLOCK):  # what is as wide as the classes stays in the cache
-            rows, w = m[lo : lo + BLOCK], weight[lo : lo + BLOCK]
+            rows, part = m[lo : lo + BLOCK], slice(lo, lo + BLOCK)
             d = rows @ table
-            place = np.arange(len(d)) * d.shape[1] + y[lo : lo + BLOCK]
-            right = powers(d, place)
-            total = d @ ones
-            loss += float(((np.log2(total) - right) * w).sum()) / float(LOG2E)
-            d.ravel()[place] -= total
-            w = (w / total)[:, None]
-            classes += (rows * w).T @ d
-            np.multiply(d @ back, w, out=dm[lo : lo + BLOCK])
+            place = row[: len(d)] + y[part]
+            right[part] = powers(d, place)
+            d.ravel()[place] -= np.matmul(d, ones, out=total[part])
+            classes += (rows * (weight[part] / total[part])[:, None]).T @ d
+            np.matmul(d, back, out=dm[part])
+        loss = float((np.log2(total) - right) @ weight) / float(LOG2E)
+        dm *= spread(weight / total)
         g["c"], g["cb"] = classes[:DIM], classes[DIM]
-        g["w2"] = u.T @ dm
+        g["w2"] = crossed(u, dm)
         du = dm @ p["w2"].T
-        du *= on
-        g["w1"], g["b1"] = h.T @ du, np.ones(len(du), np.float32) @ du
+        du *= (u > 0).astype(np.float32)
+        g["w1"], g["b1"] = crossed(h, du), np.ones(len(du), np.float32) @ du
         de = dm + du @ p["w1"].T
-        g["o"] = z.T @ de
-        dz = np.empty((len(e), DIM + 1), np.float32)
-        np.divide(de @ p["o"].T, sums, out=dz[:, :DIM])
-        np.negative(np.einsum("ij,ij->i", dz[:, :DIM], z), out=dz[:, DIM])  # the mean of ds under a
-        dv = (a.transpose(0, 2, 1) @ cut(dz)[:, :, :DIM]).reshape(-1, DIM)
-        ds = cut(dz) @ cut(v).transpose(0, 2, 1)
+        g["o"] = crossed(z, de)
+        dz = de @ p["o"].T
+        dz /= sums
+        both, turn = np.empty((len(e), DIM + 1), np.float32), np.ones((n, DIM + 1, WINDOW), np.float32)
+        both[:, :DIM], turn[:, :DIM] = dz, cut(v).transpose(0, 2, 1)
+        np.negative((dz * z) @ ONES[:DIM], out=both[:, DIM])  # the mean of ds under a
+        ds = cut(both) @ turn
         ds *= a
-        dq, dk = (ds @ cut(k)).reshape(-1, DIM), (ds.transpose(0, 2, 1) @ cut(q)).reshape(-1, DIM)
-        dq *= SCALE
-        dk /= LOG2E
-        for name, dx in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = e.T @ dx
-            de += dx @ p[name].T
+        dx = np.empty((n, WINDOW, 3 * DIM), np.float32)  # of q, k and v, side by side
+        np.matmul(ds, cut(k), out=dx[:, :, :DIM])
+        np.matmul(ds.transpose(0, 2, 1), cut(q), out=dx[:, :, DIM : 2 * DIM])
+        np.matmul(a.transpose(0, 2, 1), cut(dz), out=dx[:, :, 2 * DIM :])
+        dx = dx.reshape(-1, 3 * DIM)
+        found = crossed(e, dx)
+        g["q"], g["k"], g["v"] = found[:, :DIM] * SCALE, found[:, DIM : 2 * DIM] / LOG2E, found[:, 2 * DIM :]
+        de += dx @ np.hstack((p["q"] * SCALE, p["k"] / LOG2E, p["v"])).T
         g["pos"] = cut(de).sum(axis=0)
         g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"].ravel(), (at[:, None] * DIM + np.arange(DIM)).ravel(), de.ravel())
+        # Pairs of numbers are added as complex ones, which takes half as many places.
+        np.add.at(g["emb"].ravel().view(np.complex64), self.places.take(at, axis=0).ravel(), de.ravel().view(np.complex64))
         return loss, g
 
     def flat(self) -> np.ndarray:

@@ -13,8 +13,8 @@ Each text is cut into words and subwords once for both: the ids, 16 bits each, a
 counts, steps and scores read those.
 
 The base score needs every word's count. The `head` most frequent words are looked up in a
-broadcast table of bounded size; all other words of a text are joined with the whole table of
-counts. The model scores each subword once, in overlapping windows.
+broadcast table of bounded size, which also holds their ids; all other words of a text are
+encoded with it and joined with the whole table of counts. The model scores each subword once, in overlapping windows.
 
 Defined results: a null text is empty and has the end token alone; a null id counts as an
 empty one for the split; repeated rows are texts of their own; with no training row all counts
@@ -72,10 +72,19 @@ def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids[offsets[0] // 2 :], (offsets - offsets[0]) // 2
 
 
-def _sequences(coded: pa.DictionaryArray, bounds: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, each with the end id, and where each text's begin (and the last one's end)."""
-    table = pa.concat_arrays([_subwords(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), vocabulary), pa.array([END_BYTES], pa.large_binary())])
-    index = np.insert(np.asarray(coded.indices), bounds[1:], len(coded.dictionary))
+def _sequences(coded: pa.DictionaryArray, bounds: np.ndarray, vocabulary: str, place: np.ndarray | None = None, ready: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with the end id, and where each text's begin (and the last one's end).
+
+    place, if given, is where in ready the ids of each word of the dictionary are; -1 for a word that is encoded here.
+    """
+    words, before = coded.dictionary, 0
+    at = np.arange(len(words))
+    if place is not None:
+        far, before, at = place < 0, len(ready), place.copy()
+        words = words.filter(pa.array(far))
+        at[far] = before + np.arange(len(words))
+    table = pa.concat_arrays([*([] if place is None else [ready]), _subwords(words.to_numpy(zero_copy_only=False).tolist(), vocabulary), pa.array([END_BYTES], pa.large_binary())])
+    index = np.insert(at[np.asarray(coded.indices)], bounds[1:], before + len(words))
     ids, ends = _ids_of(table.take(pa.array(index)))
     return ids, ends[bounds + np.arange(len(bounds))]
 
@@ -89,8 +98,8 @@ class Shared:
     model: Model
 
 
-def _plain(column: pa.ChunkedArray) -> pa.Array:
-    return pa.concat_arrays([c.cast(pa.string()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.string())
+def _plain(column: pa.ChunkedArray, kind: pa.DataType = pa.string()) -> pa.Array:
+    return pa.concat_arrays([c.cast(kind) for c in column.chunks]) if column.num_chunks else pa.array([], kind)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], size: int = 9_000_000) -> Iterator[pa.RecordBatch]:
@@ -271,13 +280,17 @@ def score(
     release(spark)
     floor = float(np.log10(n + 0.1 * (v + 1))) if n else float(np.log10(0.1))
 
-    top = counts.where(F.col("n") >= head_count(counts, head)).toArrow().combine_chunks()  # head rows at most
-    lookup = spark.sparkContext.broadcast((_plain(top.column("word")), np.log10(np.asarray(top.column("n"), float) + 0.1)))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("word"), batch.column("n"), _subwords(batch.column("word").to_pylist(), vocabulary).cast(pa.binary())], ["word", "n", "ids"])
+
+    top = mapped(counts.where(F.col("n") >= head_count(counts, head)), encode, "word string, n long, ids binary").toArrow().combine_chunks()  # head rows at most
+    lookup = spark.sparkContext.broadcast((_plain(top.column("word")), np.log10(np.asarray(top.column("n"), float) + 0.1), _plain(top.column("ids"), pa.large_binary())))
     del top
     end_log = float(np.log10(rows + 0.1))
 
-    def looked_up(coded: pa.DictionaryArray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
-        words, logs_of = lookup.value
+    def looked_up(coded: pa.DictionaryArray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray, np.ndarray]:
+        words, logs_of, _ = lookup.value
         doc, index = np.repeat(np.arange(len(many)), many), np.asarray(coded.indices)
         place = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, words), -1))
         known = place >= 0
@@ -290,14 +303,14 @@ def score(
         size = max(1, len(coded.dictionary))
         cuts = np.searchsorted(pairs // size, np.arange(len(many) + 1))
         tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % size)), pa.array(times.astype(np.int64))], ["word", "times"]))
-        return n_head, of_head, tail
+        return n_head, of_head, tail, place
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
             found, bounds = split_words(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
             coded, many = found.dictionary_encode(), np.diff(bounds)
-            n_head, of_head, tail = looked_up(coded, many)
-            ids = ids_column(*_sequences(coded, bounds, vocabulary))
+            n_head, of_head, tail, place = looked_up(coded, many)
+            ids = ids_column(*_sequences(coded, bounds, vocabulary, place, lookup.value[2]))
             yield pa.record_batch([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), batch.column("part"), pa.array(many + 1), pa.array(n_head), pa.array(of_head), tail, ids], ["row", "doc_id", "held_out", "part", "n_tokens", "n_head", "of_head", "tail", "ids"])
 
     kind = d.schema["doc_id"].dataType.simpleString()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Callable
 from functools import cache
 
@@ -175,6 +176,8 @@ class WordEncoder(Encoder):
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}" + SEP + "]+"
     #: Characters that the normalizer only lower-cases, as Python does.
     simple = regex.compile(r"[\x01-\x7e\xa1-ɏ]*").fullmatch
+    #: Marks that often end a chunk; behind letters each is a pre-token of its own.
+    marks = ".,;:!?"
 
     def __init__(self, path: str, limit: int = REMEMBERED, special: bool = True) -> None:
         super().__init__(path, self.pattern, limit)
@@ -185,6 +188,32 @@ class WordEncoder(Encoder):
     def alone(self, texts: pa.Array) -> pa.Array:
         return pc.match_substring_regex(texts, self.odd, ignore_case=True)
 
+    def joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As Encoder.joined(); only chunks that aren't simple letters with one of marks at most behind them go through the pattern."""
+        found, rest = [], []
+        known, letters, simple, marks = self.known.get, self.letters, self.simple, {m: self.piece(m) for m in self.marks}
+        for text in texts:
+            end = b"" if text.isalpha() else marks.get(text[-1:])
+            stem = text if end == b"" else text[:-1]
+            if end is None or not stem.isalpha() or not (stem.isascii() or simple(stem)):
+                rest.append(len(found))
+                found.append(b"")
+            else:
+                found.append((known(stem) or letters(stem)) + end)
+        ids, sizes = super().joined([texts[i] for i in rest])
+        at, ids = 0, ids.tobytes()
+        for i, size in zip(rest, (sizes * 2).tolist(), strict=True):
+            found[i] = ids[at : at + size]
+            at += size
+        return np.frombuffer(b"".join(found), "<u2"), np.fromiter(map(len, found), np.int64, len(found)) // 2
+
+    def letters(self, text: str) -> bytes:
+        """As piece(), of letters that aren't remembered."""
+        found = array("H", [t.id for t in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_TO_CHAR))]).tobytes()
+        if len(self.known) < self.limit:
+            self.known[text] = found
+        return found
+
     def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, bool]:
         parts = pc.ascii_split_whitespace(texts)
         return parts.flatten(), np.array(parts.offsets, dtype=np.int64) - parts.offsets[0].as_py(), False
