@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,24 @@ def test_builtin_terms_agree(spark):
     texts = ["Go  Database", "", None, "\tX y\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(A.simple_terms(F.col("t")).alias("w")).collect()
     assert [r.w for r in df] == [A.Analyzer(FTSIndexParams("whitespace", ("lowercase",))).terms(t) for t in texts]
+
+
+@pytest.mark.parametrize("params", [FTSIndexParams("standard", ("lowercase", "ascii_folding")), FTSIndexParams("standard", ("ascii_folding", "lowercase", "stemmer"), '{"max_token_length": 5}'), FTSIndexParams("whitespace", ("lowercase",)), FTSIndexParams("ngram", ("lowercase",))])
+def test_terms_are_the_tokens_texts(spark, params):
+    texts = ["It's 3.14, a_b:c don't. x;y 1,000 'q' _", "Ünïcode ÆON, 東京 タワー it's", "ab" * 20 + "'s", "", None]
+    analyzer = A.Analyzer(params)
+    whole = [[t.text for t in analyzer(x)] for x in texts]
+    assert [analyzer.terms(x) for x in texts] == whole
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    found = {r.i: (r.terms, r.n) for r in rows.select("i", analyzer.terms_column(F.col("x")).alias("terms"), analyzer.count(F.col("x")).alias("n")).collect()}
+    assert found == {i: (t, len(t)) for i, t in enumerate(whole)}
+
+
+def test_token_counts_hold_no_tokens(spark, tmp_path):
+    """A batch of texts gives numbers; their tokens never leave the analysis of one text."""
+    from vekspar.plans.catalogue import standard_tokens
+
+    spark.createDataFrame([(1, "Go, go!"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = standard_tokens(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(1, 2), (2, 0)}
+    assert "size(" not in found._jdf.queryExecution().analyzed().toString()
