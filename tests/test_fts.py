@@ -134,3 +134,25 @@ def test_token_counts_hold_no_tokens(spark, tmp_path):
     found = standard_tokens(spark, str(tmp_path))
     assert {tuple(r) for r in found.collect()} == {(1, 2), (2, 0)}
     assert "size(" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_postings_need_no_shuffle(spark, tmp_path, monkeypatch):
+    """A document's postings are made from its own row, in runs of whole documents, and the texts are read once."""
+    monkeypatch.setattr(I, "RUN_ROWS", 3)
+    docs = I.documents(spark.createDataFrame([(5, "b a b"), (2, None), (9, "a"), (7, "b é b b")], "_doc_id long, title string"), "title", A.simple_terms)
+    assert "Exchange" not in I.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    I.store(docs, str(tmp_path / "text"))
+    index = I.read(spark, [str(tmp_path / "text")])
+    want = {("a", 5): (1, 3, [1]), ("a", 9): (1, 1, [0]), ("b", 5): (2, 3, [0, 2]), ("b", 7): (3, 4, [0, 2, 3]), ("é", 7): (1, 4, [1])}
+    assert {(r.term, r.doc_id): (r.tf, r.dl, r.positions) for r in index.postings.collect()} == want
+    assert {(r.doc_id, r.dl) for r in index.docs.collect()} == {(5, 3), (2, 0), (9, 1), (7, 4)}
+
+
+def test_runs_are_sorted_and_whole(monkeypatch):
+    monkeypatch.setattr(I, "RUN_TOKENS", 7)
+    docs = [(i * 7 % 50, list("dcbadcb"[: i % 8])) for i in range(50)]
+    batches = [pa.record_batch([pa.array([d for d, _ in docs[a : a + 9]], pa.int64()), pa.array([t for _, t in docs[a : a + 9]], pa.list_(pa.string()))], ["doc_id", "tokens"]) for a in range(0, 50, 9)]
+    runs = [b.to_pylist() for b in I._runs(iter(batches))]
+    rows = [(r["term"], r["doc_id"], r["positions"]) for run in runs for r in run if r["term"]]
+    assert sorted(rows) == sorted((t, d, [i for i, x in enumerate(ts) if x == t]) for d, ts in docs for t in set(ts))
+    assert len(runs) > 10 and all([(r["term"] or "", r["doc_id"]) for r in run] == sorted((r["term"] or "", r["doc_id"]) for r in run) for run in runs)
