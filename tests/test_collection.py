@@ -179,3 +179,9 @@ def test_stream(spark, tmp_path):
             ingest(spark.readStream.schema("_pos long, _pk string, n int").parquet(str(source)), c, str(tmp_path / "check")).awaitTermination()
         assert sorted((r._pk, r.n) for r in c.live().collect()) == [("a", 3), ("b", 2)]
         assert c.progress(str(tmp_path / "check")) == 0
+
+
+def test_text_of_the_log_is_analysed_once(hybrid):
+    """The postings of the log are kept for the query, so that no part of it analyses the texts again."""
+    found = hybrid.query(VectorQuery("title", fts=FTSClause(match="go")))
+    assert "Python" not in found._jdf.queryExecution().analyzed().toString() and keys(found) == "bac"
